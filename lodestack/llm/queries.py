@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality
+from . import decontam, langid, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,14 @@ select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coale
 from d left join h using (doc_id) left join t using (doc_id)"""
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op2_decontamination": op2_decontamination, "op4_language_id": op4_language_id, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
