@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, quality
+from . import decontam, langid, mixing, neardup, quality, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,17 @@ select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coale
 from d left join h using (doc_id) left join t using (doc_id)"""
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +58,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op4_language_id": op4_language_id, "op8_near_duplicates": op8_near_duplicates, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_token_files": op3_token_files, "op4_language_id": op4_language_id, "op8_near_duplicates": op8_near_duplicates, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
