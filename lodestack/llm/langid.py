@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, buffers, mix, slices
+from .textkit import LOWER, Lookup, buffers, slices
 
 ORDER = 4
 #: Most bytes of text a language's tree is learnt from, besides the last row taken.
@@ -46,36 +46,13 @@ def _mask(order: int) -> np.uint64:
     return np.uint64((1 << (8 * (order + 1))) - 1)
 
 
-class _Lookup:
-    """Rows of a table by 64-bit key: entries sorted by mixed key, with a bucket index on the top bits."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        h = mix(keys)
-        at = np.argsort(h)
-        self.h, self.values = np.append(h[at], np.uint64(2**64 - 1)), values[at]
-        self.bits = max(8, int(2 * len(keys) + 1).bit_length())
-        self.begin = np.searchsorted(h[at] >> np.uint64(64 - self.bits), np.arange(1 << self.bits, dtype=np.uint64)).astype(np.int32)
-
-    def rows(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 if it has none."""
-        h = mix(keys)
-        at = self.begin[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
-        go = np.flatnonzero(self.h[at] < h)
-        while len(go):
-            at[go] += 1
-            go = go[self.h[at[go]] < h[go]]
-        hit = (self.h[at] == h) & (at < len(self.values))
-        at[~hit] = -1
-        return at
-
-
 class Trees:
     """Frozen context trees of all languages. counts: (language number, order, gram, times seen), as arrays."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, order: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs, self.order = langs, int(order.max()) if len(order) else -1
-        self.grams: list[_Lookup] = []
-        self.escapes: list[_Lookup] = []
+        self.grams: list[Lookup] = []
+        self.escapes: list[Lookup] = []
         below_keys = below = None
         for k in range(self.order + 1):
             m = order == k
@@ -91,8 +68,8 @@ class Trees:
             escape = np.where(total > 0, np.log2(np.maximum(distinct, 1) / all_), 0.0)
             shorter = np.full((len(keys), len(langs)), -8.0) if k == 0 else below[np.searchsorted(below_keys, keys & _mask(k - 1))]
             value = np.where(seen > 0, np.log2(np.maximum(seen, 1) / all_[of]), escape[of] + shorter)
-            self.grams.append(_Lookup(keys, value.astype(np.float32)))
-            self.escapes.append(_Lookup(ctx, escape.astype(np.float32)))
+            self.grams.append(Lookup(keys, value.astype(np.float32)))
+            self.escapes.append(Lookup(ctx, escape.astype(np.float32)))
             below_keys, below = keys, value
 
     def bits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -184,3 +184,26 @@ def grouped_min(values: np.ndarray, first: np.ndarray, empty) -> np.ndarray:
     if len(has):
         out[has] = np.minimum.reduceat(values, first[has])
     return out
+
+
+class Lookup:
+    """Rows of a table by 64-bit key: entries sorted by mixed key, with a bucket index on the top bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        h = mix(keys)
+        at = np.argsort(h)
+        self.h, self.values = np.append(h[at], np.uint64(2**64 - 1)), values[at]
+        self.bits = max(8, int(2 * len(keys) + 1).bit_length())
+        self.begin = np.searchsorted(h[at] >> np.uint64(64 - self.bits), np.arange(1 << self.bits, dtype=np.uint64)).astype(np.int32)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 if it has none."""
+        h = mix(keys)
+        at = self.begin[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
+        go = np.flatnonzero(self.h[at] < h)
+        while len(go):
+            at[go] += 1
+            go = go[self.h[at[go]] < h[go]]
+        hit = (self.h[at] == h) & (at < len(self.values))
+        at[~hit] = -1
+        return at
