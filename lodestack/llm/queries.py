@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, mixing, neardup, quality, tokencount, tokenfile, urltrust
+from . import decontam, langid, lm, mixing, neardup, pii, quality, tokencount, tokenfile, urltrust
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"), pii.train(pii.labelled_table(spark)))
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_held_out(_table(spark, sf_dir, "documents"))
 
@@ -70,5 +74,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = {"op1_url_trust": op1_url_trust, "op2_decontamination": op2_decontamination, "op3_token_files": op3_token_files, "op4_language_id": op4_language_id, "op6_language_model": op6_language_model, "op7_token_counts": op7_token_counts, "op8_near_duplicates": op8_near_duplicates, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_url_trust": op1_url_trust, "op2_decontamination": op2_decontamination, "op3_token_files": op3_token_files, "op4_language_id": op4_language_id, "op5_personal_data": op5_personal_data, "op6_language_model": op6_language_model, "op7_token_counts": op7_token_counts, "op8_near_duplicates": op8_near_duplicates, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
