@@ -152,7 +152,7 @@ def block_spans(text: Column, most: int, which: str) -> Column:
 
 
 def windows(text: Column, most: int, overlap: int) -> Column:
-    """PIECES of a text by line windows."""
+    """PIECES of a text by line windows; null text has none."""
 
     @F.pandas_udf(PIECES)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,19 +90,26 @@ def utc_stamp(moment: Column) -> Column:
 _MARK = "\ue000"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pieces(text: Column, pattern: str) -> Column:
     """array<struct<text, begin, end>>: the text before the first match of a multi-line pattern (maybe empty), then from
     each match to the next. Matches are found left to right without overlap; offsets are characters from 0."""
     marked = F.regexp_replace(F.translate(text, _MARK, "\ufffd"), f"(?md){pattern}", f"{_MARK}$0")
-    parts = F.split(marked, _MARK)
-    ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    return F.transform(parts, lambda p, i: F.struct(p.alias("text"), F.element_at(ends, i + 1).alias("begin"), F.element_at(ends, i + 2).alias("end")))
+
+    def cut(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+        return bind(ends, lambda e: F.transform(parts, lambda p, i: F.struct(p.alias("text"), F.get(e, i).alias("begin"), F.get(e, i + 1).alias("end"))))
+
+    return bind(F.split(marked, _MARK), cut)
 
 
 def matched_pieces(text: Column, pattern: str) -> Column:
     """The pieces that start with a match."""
-    found = pieces(text, pattern)
-    return F.when(F.size(found) > 1, F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(F.slice(found, 1, 0))
+    return bind(pieces(text, pattern), lambda found: F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))))
 
 
 def line_at(text: Column, offset: Column) -> Column:

@@ -30,13 +30,16 @@ def _null_if_empty(text: Column) -> Column:
 def markdown_spans(text: Column, most: int) -> Column:
     """Sections of levels 1 to 3; each runs to the next header of its own level or above, so parents hold children."""
     parts = X.matched_pieces(text, MARKDOWN_HEADER)
-    heads = F.transform(parts, lambda p: F.struct(p["begin"].alias("begin"), F.length(F.regexp_extract(p["text"], f"(?md){MARKDOWN_HEADER}", 1)).alias("level"), X.strip(F.regexp_extract(p["text"], f"(?md){MARKDOWN_HEADER}", 2)).alias("title")))
+    all_heads = F.transform(parts, lambda p: F.struct(p["begin"].alias("begin"), F.length(F.regexp_extract(p["text"], f"(?md){MARKDOWN_HEADER}", 1)).alias("level"), X.strip(F.regexp_extract(p["text"], f"(?md){MARKDOWN_HEADER}", 2)).alias("title")))
 
-    def section(h: Column, i: Column) -> Column:
-        later = F.filter(F.slice(heads, i + 2, F.size(heads)), lambda y: y["level"] <= h["level"])
-        return _span(h["begin"], F.coalesce(F.array_min(F.transform(later, lambda y: y["begin"])), F.length(text)), F.lit("section"), h["title"])
+    def sections(heads: Column) -> Column:
+        def section(h: Column, i: Column) -> Column:
+            later = F.filter(F.slice(heads, i + 2, F.size(heads)), lambda y: y["level"] <= h["level"])
+            return _span(h["begin"], F.coalesce(F.array_min(F.transform(later, lambda y: y["begin"])), F.length(text)), F.lit("section"), h["title"])
 
-    return F.transform(heads, section)
+        return F.transform(heads, section)
+
+    return X.bind(all_heads, sections)
 
 
 def typescript_spans(text: Column, most: int) -> Column:
@@ -53,15 +56,19 @@ def typescript_spans(text: Column, most: int) -> Column:
 def yaml_spans(text: Column, most: int, name: Column | None = None) -> Column:
     """Top-level keys; in a compose file with services, its services instead."""
     name = X.base_name(F.col("path")) if name is None else name
-    top = X.matched_pieces(text, YAML_KEY)
     key = lambda p: X.strip(F.regexp_extract(p["text"], f"(?md){YAML_KEY}", 1))
-    keys = F.transform(top, lambda p: _span(p["begin"], p["end"], F.lit("config"), key(p)))
-    services = F.get(F.filter(top, lambda p: key(p) == "services"), F.lit(0))
-    inner = F.transform(
-        X.matched_pieces(F.coalesce(services["text"], F.lit("")), COMPOSE_SERVICE),
-        lambda p: _span(services["begin"] + p["begin"], services["begin"] + p["end"], F.lit("config"), F.regexp_extract(p["text"], f"(?md){COMPOSE_SERVICE}", 1)),
-    )
-    return F.when(F.contains(name, F.lit("docker-compose")) & (F.size(inner) > 0), inner).otherwise(keys)
+
+    def service_spans(s: Column) -> Column:
+        found = X.matched_pieces(s["text"], COMPOSE_SERVICE)
+        return F.transform(found, lambda p: _span(s["begin"] + p["begin"], s["begin"] + p["end"], F.lit("config"), F.regexp_extract(p["text"], f"(?md){COMPOSE_SERVICE}", 1)))
+
+    def spans(top: Column) -> Column:
+        keys = F.transform(top, lambda p: _span(p["begin"], p["end"], F.lit("config"), key(p)))
+        services = F.filter(top, lambda p: key(p) == "services")
+        inner = F.when(F.contains(name, F.lit("docker-compose")), X.bind(F.get(services, F.lit(0)), service_spans))
+        return X.bind(inner, lambda found: F.when(F.size(found) > 0, found).otherwise(keys))
+
+    return X.bind(X.matched_pieces(text, YAML_KEY), spans)
 
 
 def vue_spans(text: Column, most: int) -> Column:
@@ -84,18 +91,33 @@ CHUNKERS: dict[str, Callable[[Column, int], Column]] = {"markdown": markdown_spa
 _KEEP = ("repo_name", "path", "abs_path", "mtime", "language")
 
 
-def _rows(spans: DataFrame) -> DataFrame:
-    """Chunks of files with ``spans``; blocks over budget in Vue files are cut to windows later, by ``over``."""
-    s = spans.select(*_KEEP, "content", F.explode("spans").alias("s"))
-    start = X.line_at(F.col("content"), F.col("s.begin"))
-    end = X.line_at(F.col("content"), F.greatest(F.col("s.end") - 1, F.col("s.begin")))
-    return s.select(*_KEEP, F.expr("substring(content, s.begin + 1, s.end - s.begin)").alias("text"), start.alias("start_line"), end.alias("end_line"), F.col("s.chunk_type").alias("chunk_type"), F.col("s.symbol_name").alias("symbol_name"))
+_ROW = "array<struct<start_line:int,end_line:int,text:string,chunk_type:string,symbol_name:string>>"
+
+
+def _rows_of(spans: Column) -> Column:
+    """Rows of a file's spans: lines and text. ``base_line`` is the line that the text starts at."""
+
+    def row(s: Column) -> Column:
+        start = X.line_at(F.col("content"), s["begin"])
+        end = X.line_at(F.col("content"), F.greatest(s["end"] - 1, s["begin"]))
+        text = F.substring(F.col("content"), s["begin"] + 1, s["end"] - s["begin"])
+        return F.struct(start.alias("start_line"), end.alias("end_line"), text.alias("text"), s["chunk_type"].alias("chunk_type"), s["symbol_name"].alias("symbol_name"))
+
+    return F.transform(spans, row).cast(_ROW)
+
+
+def _rows_of_windows(windows: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.transform(windows, lambda w: F.struct(w["start_line"].alias("start_line"), w["end_line"].alias("end_line"), w["text"].alias("text"), F.lit("text").alias("chunk_type"), none.alias("symbol_name"))).cast(_ROW)
 
 
-def _windowed(files: DataFrame, most: int, overlap: int, base: Column | None = None, kind: Column | None = None, symbol: Column | None = None) -> DataFrame:
-    """Line-window chunks of ``content``; base: the line it starts at."""
-    w = files.select(*_KEEP, (F.lit(1) if base is None else base).alias("base"), (F.lit("text") if kind is None else kind).alias("chunk_type"), (F.lit(None).cast("string") if symbol is None else symbol).alias("symbol_name"), F.explode(packing.windows(F.col("content"), most, overlap)).alias("w"))
-    return w.select(*_KEEP, F.col("w.text").alias("text"), (F.col("w.start_line") + F.col("base") - 1).alias("start_line"), (F.col("w.end_line") + F.col("base") - 1).alias("end_line"), "chunk_type", "symbol_name")
+def _cut_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Blocks over budget as line windows that keep type and symbol, their lines counted on from the block's first."""
+    over = X.tokens(F.col("text")) > most
+    cut = rows.withColumn("w", packing.windows(F.when(over, F.col("text")), most, 64))
+    whole = F.array(F.struct(F.lit(1).alias("start_line"), (F.col("end_line") - F.col("start_line") + 1).alias("end_line"), F.col("text").alias("text")))
+    cut = cut.withColumn("w", F.explode(F.when(F.size("w") > 0, F.col("w")).otherwise(whole)))
+    return cut.withColumns({"text": F.col("w.text"), "end_line": F.col("start_line") + F.col("w.end_line") - 1, "start_line": F.col("start_line") + F.col("w.start_line") - 1}).drop("w")
 
 
 def enforce_budget(chunks: DataFrame, most: int) -> DataFrame:
@@ -119,16 +141,15 @@ def chunk_files(files: DataFrame, most: int = 512, overlap: int = 64) -> DataFra
     ``overlap``, the former 64. Chunk ids are not unique across repositories of one name or blocks of one line.
     """
     files = files.where(F.col("content") != "").withColumn("language", X.language(F.col("path"))).select(*_KEEP, "content")
-    out = _windowed(files.where(~F.col("language").isin(*CHUNKERS)), most, overlap)
+    plain = files.where(~F.col("language").isin(*CHUNKERS)).withColumn("w", packing.windows(F.col("content"), most, overlap))
+    columns = [*_KEEP, F.col("r.text").alias("text"), F.col("r.start_line").alias("start_line"), F.col("r.end_line").alias("end_line"), F.col("r.chunk_type").alias("chunk_type"), F.col("r.symbol_name").alias("symbol_name")]
+    out = plain.withColumn("r", F.explode(_rows_of_windows(F.col("w")))).select(*columns)
     for name, chunker in CHUNKERS.items():
         mine = files.where(F.col("language") == name).withColumn("spans", chunker(F.col("content"), most).cast(SPANS))
-        out = out.unionByName(_windowed(mine.where(F.size("spans") == 0), most, 64))
-        rows = _rows(mine)
-        if name == "vue":
-            over = X.tokens(F.col("text")) > most
-            out = out.unionByName(_windowed(rows.where(over).withColumn("content", F.col("text")), most, 64, F.col("start_line"), F.col("chunk_type"), F.col("symbol_name")))
-            rows = rows.where(~over)
-        out = out.unionByName(rows)
+        mine = mine.withColumn("w", packing.windows(F.when(F.size("spans") == 0, F.col("content")), most, 64))
+        found = F.when(F.size("w") > 0, _rows_of_windows(F.col("w"))).otherwise(_rows_of(F.col("spans")))
+        rows = mine.withColumn("r", F.explode(found)).select(*columns)
+        out = out.unionByName(_cut_blocks(rows, most) if name == "vue" else rows)
     out = out.select(
         F.format_string("%s:%s:%d", "repo_name", "path", "start_line").alias("id"), "text", "repo_name", F.col("path").alias("file_path"), F.col("abs_path").alias("abs_file_path"),
         F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "language", "chunk_type", "symbol_name", F.col("mtime").alias("file_mtime"),
