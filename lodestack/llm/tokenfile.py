@@ -16,8 +16,9 @@ token, so that a reader finds any range of ids without touching other chunks.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,50 +29,101 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import new_path
-from .textkit import slices
+from .textkit import SLICE_BYTES, buffers, running_sums, runs, slices, span_hash
 
 CHUNK = 1 << 16
 END_ID = 2
 #: Text bytes that a shard holds, about.
 SHARD_BYTES = 24 << 20
-#: Distinct words whose ids a worker remembers.
+#: Distinct pieces of a generation whose ids a worker remembers.
 REMEMBERED = 300_000
 
 CHUNK_SCHEMA = (
     "shard int, chunk int, n_tokens bigint, first_token bigint, bytes bigint, crc32 bigint, planes array<binary>, doc_ids array<bigint>, doc_begins array<bigint>, doc_lengths array<bigint>"
 )
 
-# White space as the tokenizer's own splitting rule has it (the Unicode property), not Python's \s.
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_WORD = re.compile(f"[{_WS}]?[^{_WS}]+|[{_WS}]+(?=[{_WS}][^{_WS}])|[{_WS}]+")
+_bytes = np.arange(256)
+_BLANK = (_bytes == 32) | ((_bytes >= 9) & (_bytes <= 13))
+# First bytes of white space beyond ASCII, among other characters.
+_MAYBE_BLANK = _BLANK | np.isin(_bytes, [0xC2, 0xE1, 0xE2, 0xE3])
+_LETTER = ((_bytes | 32) >= 97) & ((_bytes | 32) <= 122) & (_bytes < 128)
+_SIGN = (_bytes > 32) & (_bytes < 127) & ~_LETTER & ~((_bytes >= 48) & (_bytes <= 57)) & (_bytes != 39)
+
+
+def pieces(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts start (UTF-8 bytes; ``offsets`` of the texts and their end).
+
+    The tokenizer's own rule splits a text before the last white space ahead of a word, and between a letter and a sign
+    other than the apostrophe, whatever else is near; pieces are cut at such places only, so that encoding them one by
+    one gives the text's ids. Where a byte could begin other white space, nothing is cut.
+    """
+    n = len(text)
+    cut = np.zeros(n + 1, bool)
+    if n > 1:
+        letter, sign = _LETTER[text], _SIGN[text]
+        latin = (text[:-1] == 0xC3) & (text[1:] != 0x97) & (text[1:] != 0xB7)  # letters of two bytes
+        begins = letter.copy()
+        begins[:-1] |= latin
+        letter[1:] |= latin
+        cut[: n - 1] = _BLANK[text[:-1]] & ~_MAYBE_BLANK[text[1:]]
+        cut[1:n] |= (letter[:-1] & sign[1:]) | (sign[:-1] & begins[1:])
+    cut[offsets] = True
+    return np.flatnonzero(cut)[:-1]
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file, each distinct word once.
+    """Encodes texts with a tokenizers file of a byte-level vocabulary, each distinct piece once.
 
-    A byte-level vocabulary never joins a word with the white space behind it or with all but the last character of the
-    white space before it, so the ids of a text are those of its words, one after the other.
+    Pieces are remembered in two generations of ``REMEMBERED`` each, so that frequent ones stay.
     """
 
     def __init__(self, path: str):
+        # One thread: Spark has a task on each core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [_WORD.findall(t) for t in texts]
-        known = self.known
-        new = {w for ws in words for w in ws if w not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {w for ws in words for w in ws}
-        new = list(new)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def ids_of(self, distinct: list[bytes]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = [p for p in distinct if p not in known]
+        known.update((p, older[p]) for p in missing if p in older)
+        new = [p for p in missing if p not in older]
+        # ASCII letters, with or without a space before them, are one word of the vocabulary's model, which then needs no
+        # splitting; the space is written as the vocabulary does.
+        model, rest = self.tokenizer.model, []
+        for p in new:
+            if p.isalpha():
+                known[p] = array("I", [t.id for t in model.tokenize(p.decode())]).tobytes()
+            elif p[0] == 32 and p[1:].isalpha():
+                known[p] = array("I", [t.id for t in model.tokenize("\u0120" + p[1:].decode())]).tobytes()
+            else:
+                rest.append(p)
+        for i in range(0, len(rest), 2048):
+            part = rest[i : i + 2048]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
+        return list(map(known.__getitem__, distinct))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        text, offsets = buffers(texts)
+        starts = pieces(text, offsets)
+        ends = np.append(starts[1:], len(text))
+        _, rep, of = np.unique(span_hash(running_sums(text), starts, ends), return_index=True, return_inverse=True)
+        raw = text.tobytes()
+        found = self.ids_of([raw[a:b] for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)])
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(found), "<u4")[runs(begin[of], size[of])].tobytes()
+        total = np.concatenate([[0], np.cumsum(size[of])]) * 4
+        cut = total[np.searchsorted(starts, offsets)].tolist()
+        return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def pack(ids: np.ndarray, bits: bool = False, level: int = 3) -> list[bytes]:
@@ -147,8 +199,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chun
         if not encoder:
             encoder.append(Encoder(tokenizer))
         shard, end = _Shard(TaskContext.get().partitionId(), chunk, bits), np.array([end_id], "<u4").tobytes()
-        for part in slices(batches):
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder[0].encode(part.column("text").to_pylist()), strict=True):
+        for part in slices(batches, most=2 * SLICE_BYTES):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder[0].encode(part.column("text")), strict=True):
                 shard.add(doc_id, ids + end)
             if rows := list(shard.chunks()):
                 yield pa.RecordBatch.from_pylist(rows, _arrow)
@@ -182,7 +234,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         shard, held, base = None, np.zeros(0, "<u4"), 0
         waiting: list[tuple[int | None, int, int]] = []
         for batch in batches:
-            out: list[tuple[int, int | None, int, np.ndarray]] = []
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
                 if row["shard"] != shard:
@@ -195,13 +246,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 end = base + len(held)
                 ready = [d for d in waiting if d[1] + d[2] <= end]
                 waiting = waiting[len(ready) :]
-                out += [(shard, i, b, held[b - base : b - base + n]) for i, b, n in ready]
+                if ready:
+                    texts = [held[b - base : b - base + n].tobytes() for _, b, n in ready]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard] * len(ready), pa.int32()), pa.array([d[0] for d in ready], pa.int64()), pa.array([d[1] for d in ready], pa.int64()), pa.array(texts, pa.binary())], ["shard", "doc_id", "begin", "ids"]
+                    )
                 cut = waiting[0][1] if waiting else end
                 held, base = held[cut - base :], cut
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3].tobytes() for x in out], pa.binary())], ["shard", "doc_id", "begin", "ids"]
-                )
 
     chunks = read_chunks(spark, path)
     chunks = chunks.repartition("shard").sortWithinPartitions("shard", "chunk")
