@@ -66,6 +66,7 @@ def pieces(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         begins[:-1] |= latin
         letter[1:] |= latin
         cut[: n - 1] = _BLANK[text[:-1]] & ~_MAYBE_BLANK[text[1:]]
+        cut[np.maximum(offsets[1:] - 1, 0)] = False  # nothing follows a text's last character
         cut[1:n] |= (letter[:-1] & sign[1:]) | (sign[:-1] & begins[1:])
     cut[offsets] = True
     return np.flatnonzero(cut)[:-1]
