@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, settle
+from .store import bound_batches, discard, settle
 from .textkit import ALNUM, LOWER, Words, cover, mix, runs, slices
 
 #: Most bytes of benchmark text that one pass searches for; more text takes more passes.
@@ -143,6 +143,7 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Pat
 
 def _mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int, block_bytes: int) -> DataFrame:
     """``keep`` columns and __words, __hits, __items of every document row."""
+    bound_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     columns = [*keep, *(["text"] if "text" not in keep else [])]
     state = docs.select(*columns, F.lit(None).cast("binary").alias("__hit"), F.array().cast("array<string>").alias("__items"))

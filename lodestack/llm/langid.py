@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import bound_batches
 from .textkit import LOWER, Lookup, buffers, slices
 
 ORDER = 4
@@ -140,6 +141,7 @@ def identify(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",))
     Text that is null or without a letter, or a model without languages, gives ``und`` and score 0. The score compares
     the winner with the others over the evidence of at most 64 bytes; ties go to the first language by name.
     """
+    bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

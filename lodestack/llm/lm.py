@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import local_path, new_path
+from .store import bound_batches, local_path, new_path
 from .textkit import LOWER, NON_BLANK, Words, mix, slices
 
 #: Tokens whose counts a task holds before it packs them.
@@ -257,6 +257,7 @@ def _count(texts: DataFrame, keys: Callable[[Words], np.ndarray], bits: int) ->
 def train(texts: DataFrame) -> Model:
     """The model of all texts (column ``text``; null is an empty text), in a new folder of the shared folder."""
     spark = texts.sparkSession
+    bound_batches(spark)
     folder = local_path(new_path(spark, "lm"))
     os.makedirs(folder)
     size = texts.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
@@ -345,6 +346,7 @@ def train(texts: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, perplexity of every row; null text is empty and has END alone."""
+    bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import settle
+from .store import bound_batches, settle
 from .textkit import NON_BLANK, Words, count_in, cover, mix, slices, span_hash, window_starts, windows
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -69,6 +69,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
             found = text_statistics(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(found[k]) for k in FEATURES], [*keep, *FEATURES])
 
+    bound_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{k} bigint" for k in FEATURES])
     return docs.select(*keep, "text").mapInArrow(run, schema)

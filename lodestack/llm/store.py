@@ -44,3 +44,16 @@ def local_path(uri: str) -> str:
     if not uri.startswith("file:"):
         raise ValueError(f"{uri}: memory-mapped files need a shared folder that is mounted, as file:///...")
     return "/" + uri[5:].lstrip("/")
+
+
+#: Most bytes of an Arrow batch that goes to a Python worker, unless the session has it smaller.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes: long texts would else come ten thousand at a time, which costs a task
+    several times their size in the JVM and in Python. Operators call this before they hand texts to Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

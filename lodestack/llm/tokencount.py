@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .store import bound_batches
 from .textkit import NON_BLANK, SAME, SLICE_BYTES, Lookup, Words, running_sums, runs, slices, span_hash
 
 
@@ -94,6 +95,7 @@ def best_counts(running: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, slice_bytes: int = 2 * SLICE_BYTES) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every document row; null and empty text have none. Extra columns are ignored."""
+    bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

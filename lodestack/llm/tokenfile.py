@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import new_path
+from .store import bound_batches, new_path
 from .textkit import SLICE_BYTES, buffers, running_sums, runs, slices, span_hash
 
 CHUNK = 1 << 16
@@ -192,6 +192,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chun
     Shards are ranges of doc_id; equal ids stay in one shard, next to each other, ordered by text. An empty table gives
     empty tables. tokenizer: the vocabulary file, at a path that every executor has.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     encoder: list[Encoder] = []
@@ -255,6 +256,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 cut = waiting[0][1] if waiting else end
                 held, base = held[cut - base :], cut
 
+    bound_batches(spark)
     chunks = read_chunks(spark, path)
     chunks = chunks.repartition("shard").sortWithinPartitions("shard", "chunk")
     found = chunks.mapInArrow(run, "shard int, doc_id bigint, begin bigint, ids binary")
