@@ -168,6 +168,6 @@ def token_pieces(text: Column, most: int) -> Column:
     @F.pandas_udf("array<string>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda t: split_pieces(t or "", most))
+            yield s.map(lambda t: split_pieces(t, most) if t else [])
 
     return run(text)

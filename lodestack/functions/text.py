@@ -98,7 +98,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 def pieces(text: Column, pattern: str) -> Column:
     """array<struct<text, begin, end>>: the text before the first match of a multi-line pattern (maybe empty), then from
     each match to the next. Matches are found left to right without overlap; offsets are characters from 0."""
-    marked = F.regexp_replace(F.translate(text, _MARK, "\ufffd"), f"(?md){pattern}", f"{_MARK}$0")
+    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit("\ufffd")), f"(?md){pattern}", f"{_MARK}$0")
 
     def cut(parts: Column) -> Column:
         ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))

@@ -124,14 +124,18 @@ def enforce_budget(chunks: DataFrame, most: int) -> DataFrame:
     """Cut chunks over the budget; lines of the parts are estimated evenly. ``most`` of 0 or less: nothing is cut."""
     if most <= 0:
         return chunks
-    small = chunks.where(X.tokens(F.col("text")) <= most)
-    large = chunks.where(X.tokens(F.col("text")) > most).withColumn("parts", packing.token_pieces(F.col("text"), most))
-    large = large.withColumn("n", F.size("parts")).select("*", F.posexplode("parts").alias("i", "part"))
+    over = X.tokens(F.col("text")) > most
+    cut = chunks.withColumn("parts", packing.token_pieces(F.when(over, F.col("text")), most))
+    cut = cut.withColumn("parts", F.when(over, F.col("parts")).otherwise(F.array("text")))
+    cut = cut.withColumn("n", F.size("parts")).select("*", F.posexplode("parts").alias("i", "part"))
     each = F.greatest(F.floor(F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1)) / F.col("n")), F.lit(1)).cast("int")
     start = F.col("start_line") + F.col("i") * each
     end = F.when(F.col("i") < F.col("n") - 1, F.col("start_line") + (F.col("i") + 1) * each - 1).otherwise(F.col("end_line"))
-    large = large.withColumns({"id": F.when(F.col("i") > 0, F.format_string("%s#part%d", "id", "i")).otherwise(F.col("id")), "text": F.col("part"), "start_line": start, "end_line": F.greatest(end, start)})
-    return small.unionByName(large.select(*small.columns))
+    parted = F.col("n") > 1
+    return cut.withColumns({
+        "id": F.when(F.col("i") > 0, F.format_string("%s#part%d", "id", "i")).otherwise(F.col("id")), "text": F.col("part"),
+        "start_line": F.when(parted, start).otherwise(F.col("start_line")), "end_line": F.when(parted, F.greatest(end, start)).otherwise(F.col("end_line")),
+    }).select(*chunks.columns)
 
 
 def chunk_files(files: DataFrame, most: int = 512, overlap: int = 64) -> DataFrame:
