@@ -189,8 +189,8 @@ _arrow = pa.schema(
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chunk: int = CHUNK, shard_bytes: int = SHARD_BYTES, bits: bool = False) -> None:
     """Encode ``text`` of every row (null: empty) and write chunks to ``path``/chunks and their index to ``path``/index.
 
-    Shards are ranges of doc_id; equal ids stay in one shard, next to each other, ordered by text. An empty table gives
-    empty tables. tokenizer: the vocabulary file, at a path that every executor has.
+    Shards are ranges of doc_id, and of a hash of the text among rows of one id, which stay next to each other. An empty
+    table gives empty tables. tokenizer: the vocabulary file, at a path that every executor has.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -209,8 +209,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chun
         if rows := list(shard.chunks(rest=True)):
             yield pa.RecordBatch.from_pylist(rows, _arrow)
 
-    ordered = docs.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "none").parquet(f"{path}/chunks")
+    # The text's hash splits one id with very many rows (no id, say) over shards.
+    ordered = docs.withColumn("key", F.xxhash64("text")).repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "none").parquet(f"{path}/chunks")
     index = read_chunks(docs.sparkSession, path).drop("planes", "doc_ids", "doc_begins", "doc_lengths")
     index.join(shard_starts(docs.sparkSession, path), "shard").withColumn("global_first", F.col("shard_start") + F.col("first_token")).drop("shard_start").write.parquet(f"{path}/index")
 
