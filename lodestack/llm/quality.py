@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import bound_batches, settle
-from .textkit import NON_BLANK, Words, count_in, cover, mix, slices, span_hash, window_starts, windows
+from .textkit import Words, count_in, cover, mix, slices, span_hash, window_starts, windows
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _symbol = np.zeros(256, bool)
@@ -56,8 +56,8 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _distinct(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    key = np.sort(hashes + mix(doc.astype(np.uint64)))
-    keep = np.unique(hashes + mix(doc.astype(np.uint64)), return_index=True)[1] if len(key) else np.zeros(0, np.int64)
+    """Distinct hashes of each document."""
+    keep = np.unique(hashes + mix(doc.astype(np.uint64)), return_index=True)[1]
     return np.bincount(doc[keep], minlength=n)
 
 
