@@ -12,6 +12,8 @@ similarity. Texts that agree in a sketch share a bucket.
   matched / (n + m - matched), matched being the longest chain of equal labelled shingles in both orders whose diagonal
   stays in the band that this similarity allows. First each text is aligned with the partner it shares most sketches
   with; of the remaining candidates those between different classes follow.
+* Members of one bucket that are still in different classes may resemble each other and no centre (texts that share a
+  long passage): their candidates are found exactly, by common shingles (``_missed``).
 * Classes are connected components of links and equal texts.
 """
 
@@ -31,6 +33,8 @@ from .textkit import ALNUM, LOWER, Words, grouped_min, mix, runs, slices, window
 SHINGLE, SIMILARITY, SKETCHES, LENGTH = 5, 0.8, 16, 2
 #: Most digests (about 50 bytes each) that are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: A shingle in more texts than this joins them by equal sequences of such shingles, not pair by pair.
+COMMON = 32
 _MAX = np.uint64(2**64 - 1)
 
 
@@ -145,9 +149,8 @@ def _candidates(rows: DataFrame, least: float) -> DataFrame:
     return pairs.groupBy(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def _aligned_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b) of those pairs whose texts align with ``least`` similarity or more."""
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").toDF("n", "d"), "neardup-wanted")
+def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, s): shingle sequences, as bytes, of the texts of ``wanted`` (n: digest, d: the doc_id to read it from)."""
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     marked = docs.where("text is not null").withColumn("node", _digest())
@@ -159,7 +162,13 @@ def _aligned_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least: f
             raw = h.tobytes()
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([raw[8 * s : 8 * e] for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], ["node", "s"])
 
-    held = settle(held.mapInArrow(shingles, "node binary, s binary"), "neardup-shingles")
+    return settle(held.mapInArrow(shingles, "node binary, s binary"), "neardup-shingles")
+
+
+def _aligned_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b) of those pairs whose texts align with ``least`` similarity or more."""
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").toDF("n", "d"), "neardup-wanted")
+    held = _shingled(docs, wanted)
     both = pairs.select("a", "b").join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +180,60 @@ def _aligned_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least: f
     return both.mapInArrow(verify, "a binary, b binary")
 
 
+def _open(distinct: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, doc_id, size, c) of the members of buckets that hold several classes and pairs that no centre is in.
+
+    c: the member's class.
+    """
+    held = distinct.where("size > 0").join(label.toDF("l", "label"), F.col("node") == F.col("l"), "left").withColumn("c", F.xxhash64(F.coalesce("label", "node")))
+    rows = held.select("node", "c", F.posexplode("values").alias("i", "value"))
+    mixed = rows.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 3 and lo < hi")
+    members = rows.join(mixed.select("i", "value"), ["i", "value"], "left_semi").select("node").distinct()
+    return settle(held.select("node", "doc_id", "size", "c").join(members, "node", "left_semi"), "neardup-open")
+
+
+def _missed(nodes: DataFrame, docs: DataFrame, least: float, common: int | None = None) -> DataFrame:
+    """(a, b) of pairs of ``nodes`` that, if any pair of different classes is similar, connect its two texts.
+
+    Similar texts have ``least`` of each one's shingles in common. So of a text's shingles that texts of other classes
+    have too, rarest first, one of the first k - ``least`` * size + 1 of k is in the first ones of both; a text with less
+    than ``least`` of such shingles has no partner. Texts with a common shingle of at most ``common`` (``COMMON``) texts are paired.
+    Similar texts without one share common shingles only: then those with the same sequence of common shingles and the
+    smallest size is as near to either, and each text is paired with it alone, for its own sequence and for
+    every one that has a first shingle with it.
+    """
+    common = COMMON if common is None else common
+    held = _shingled(docs, nodes.select(F.col("node").alias("n"), F.col("doc_id").alias("d")))
+
+    def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "s"):
+            values = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("s")]
+            of = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+            at = np.concatenate([np.arange(len(v), dtype=np.int32) for v in values])
+            yield pa.RecordBatch.from_arrays([part.column(c).take(of) for c in ("node", "size", "c")] + [pa.array(np.concatenate(values)), pa.array(at)], ["node", "size", "c", "s", "at"])
+
+    flat = held.join(nodes.select("node", "size", "c"), "node").mapInArrow(single, "node binary, size int, c bigint, s bigint, at int")
+    seen = flat.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    seen = settle(seen.select("s", "n"), "neardup-seen")
+    need = F.ceil(F.col("size") * least - 1e-9).cast("int")
+    texts = flat.join(seen, "s").groupBy("node", "size", "c").agg(F.sort_array(F.collect_list(F.struct("n", "s", "at"))).alias("x")).withColumn("k", F.size("x"))
+    texts = texts.where(F.col("k") >= need).withColumn("hot", F.filter("x", lambda e: e.n > common))
+    texts = texts.withColumn("g", F.xxhash64(F.transform(F.array_sort(F.transform("hot", lambda e: F.struct(e["at"].alias("at"), e["s"].alias("s")))), lambda e: e["s"])))
+    first = lambda x: F.transform(F.slice(x, 1, F.greatest(F.size(x) - need + 1, F.lit(0))), lambda e: F.struct(e["n"].alias("n"), e["s"].alias("s")))
+    texts = settle(texts.select("node", "size", "c", "k", F.size("hot").alias("h"), "g", first(F.col("x")).alias("first"), first(F.col("hot")).alias("hot")), "neardup-texts")
+    enough = lambda k, kb: F.least(k, kb) >= least / (1 + least) * (F.col("size") + F.col("size_b")) - 1e-9
+    rare = texts.select("node", "size", "c", "k", F.explode("first").alias("e")).where(F.col("e.n") <= common).select("node", "size", "c", "k", F.col("e.s").alias("s"))
+    near = rare.join(rare.toDF("node_b", "size_b", "c_b", "k_b", "s"), "s").where((F.col("c") != F.col("c_b")) & (F.col("node") < F.col("node_b")) & enough("k", "k_b"))
+    hot = texts.where(F.size("hot") > 0)
+    groups = hot.groupBy("g").agg(F.min(F.struct("size", "node", "c", "h", "hot")).alias("r"))
+    groups = settle(groups.select("g", "r.*"), "neardup-groups")
+    keys = groups.select("g", F.explode("hot.s").alias("s"))
+    meet = keys.join(keys.toDF("g_b", "s"), "s").select("g", "g_b").distinct()
+    ends = meet.join(groups.select(F.col("g").alias("g_b"), F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"), F.col("h").alias("h_b")), "g_b")
+    same = hot.select("node", "size", "c", "h", "g").join(ends, "g").where((F.col("c") != F.col("c_b")) & enough("h", "h_b"))
+    return near.select("node", "node_b").union(same.select("node", "node_b")).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each link's connected component, by label propagation with shortcuts.
 
@@ -216,7 +279,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES
     rest = settle(rest.where(~(F.coalesce("la", "a") == F.coalesce("lb", "b"))).select("a", "b"), "neardup-rest")
     more = settle(_aligned_pairs(rest, docs, nodes, least).distinct(), "neardup-links")
     if not more.isEmpty():
-        label = components(links.union(more))
+        links = links.union(more)
+        label = components(links)
+    # Third round: pairs of one bucket without a centre.
+    left = _open(distinct, label)
+    if not left.isEmpty():
+        missed = settle(_missed(left, docs, least).join(pairs, ["a", "b"], "left_anti"), "neardup-missed")
+        more = settle(_aligned_pairs(missed, docs, nodes, least).distinct(), "neardup-links")
+        if not more.isEmpty():
+            label = components(links.union(more))
     low = label.join(nodes, "node").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     linked = label.join(low, "label").select("node", "class_id")  # most texts are in no link
     named = nodes.join(linked, "node", "left").select(F.col("node").alias("n"), F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -207,6 +207,45 @@ def test_near_duplicates(spark, small):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+@pytest.mark.parametrize("common", [3, 32])
+def test_near_duplicates_with_shared_passage(spark, monkeypatch, common):
+    monkeypatch.setattr(neardup, "COMMON", common, raising=False)
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for share in (0.80, 0.84, 0.88):
+        passage, own = words(int(400 * share)), 400 - int(400 * share)
+        for _ in range(120):
+            text = passage + words(own)
+            want[len(rows)] = len(rows)
+            rows.append((len(rows), " ".join(text)))
+            if len(rows) % 4 == 0:  # a near copy with another end
+                want[len(rows)] = len(rows) - 1
+                rows.append((len(rows), " ".join(text[:-6] + words(6))))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
+def test_missed_pairs_of_common_shingles(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = words(300)
+    texts = [passage + words(60) for _ in range(20)] + [passage[:290], passage + words(2)]  # like the last two, not one another
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    h, first = neardup.labelled_shingles(pa.array([" ".join(t) for t in texts]))
+    sets = [h[a:b] for a, b in zip(first[:-1], first[1:])]
+    digest = d.select("doc_id", neardup._digest().alias("node")).toPandas()
+    node = {r.doc_id: bytes(r.node) for r in digest.itertuples()}
+    n = spark.createDataFrame([(node[i], i, len(s), i) for i, s in enumerate(sets)], "node binary, doc_id bigint, size int, c bigint")
+    got = {(bytes(r.a), bytes(r.b)) for r in neardup._missed(n, d, 0.8, 5).collect()}
+    links = [(i, j) for i in range(22) for j in range(i) if neardup.aligned(sets[i], sets[j]) > 0]
+    found = {i: {j for a, b in links for j in (a, b) if i in (a, b) and tuple(sorted((node[a], node[b]))) in got} | {i} for i in range(22)}
+    assert links
+    for _ in range(22):
+        found = {i: set().union(*(found[j] for j in x)) for i, x in found.items()}
+    assert all(j in found[i] for i, j in links)
+
+
 def test_near_duplicates_odd_rows(spark):
     d = odd(spark)
     assert neardup.near_duplicates(d).count() == 7 and neardup.near_duplicates(d.limit(0)).count() == 0
