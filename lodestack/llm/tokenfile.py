@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -75,16 +76,20 @@ def pieces(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts with a tokenizers file of a byte-level vocabulary, each distinct piece once.
 
-    Pieces are remembered in two generations of ``REMEMBERED`` each, so that frequent ones stay.
+    Pieces are remembered in two generations of ``REMEMBERED`` each, so that frequent ones stay. Pieces are ordinary text
+    to the tokenizer. With ``added``, literals of added tokens (``<|endoftext|>``, say) give those tokens' ids, as the
+    tokenizer has it unless told otherwise: a text that holds one is encoded whole, not by pieces.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         # One thread: Spark has a task on each core already.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path) if added else None
+        self.literals = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -113,6 +118,17 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        marked = np.zeros(len(texts), bool)
+        for x in self.literals:
+            marked |= pc.fill_null(pc.match_substring(texts, x), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._encode(texts)
+        out = self._encode(pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts))
+        for i in np.flatnonzero(marked).tolist():
+            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
         text, offsets = buffers(texts)
         starts = pieces(text, offsets)
         ends = np.append(starts[1:], len(text))
@@ -199,7 +215,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chun
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not encoder:
-            encoder.append(Encoder(tokenizer))
+            encoder.append(Encoder(tokenizer, added=True))
         shard, end = _Shard(TaskContext.get().partitionId(), chunk, bits), np.array([end_id], "<u4").tobytes()
         for part in slices(batches, most=2 * SLICE_BYTES):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder[0].encode(part.column("text")), strict=True):

@@ -74,6 +74,19 @@ def test_token_files_odd_rows(spark):
     assert tokenfile.round_trip(odd(spark).limit(0), BPE).count() == 0
 
 
+def test_token_files_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BPE)  # as it comes
+    texts = ["one<|endoftext|>two", "<|endoftext|>", " a <|endoftext|>  <|endoftext|>b!\n", "plain <|endof text|>", None, "don't (stop)"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    start = 0
+    for r, t in zip(tokenfile.round_trip(d, BPE).orderBy("doc_id").collect(), texts, strict=True):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_unmix():
     x = np.random.default_rng(0).integers(0, 2**63, 999).astype(np.uint64)
     assert (lm.unmix(mix_hash(x)) == x).all() and (lm.unpack_sorted(lm.pack_sorted(np.sort(x))) == np.sort(x)).all()
