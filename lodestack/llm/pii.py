@@ -1,8 +1,9 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word shapes that adds spans.
 
 The field is trained on a small labelled table (text, spans) with full-batch gradients of the exact likelihood, and
-decoded by Viterbi in numpy, many regions of text in step. A region is the surroundings of a digit, an ``@`` or the word
-``dot``: data of these kinds has one of them, so tokens outside regions are held at "none". Spans that the field adds
+decoded by Viterbi in numpy, many regions of text in step. A region is the surroundings of a digit, an ``@``, the word
+``dot``, the word ``at`` in brackets, or ``at`` before a name with a full stop: data of these kinds has one of them, so
+tokens outside regions are held at "none". Spans that the field adds
 are kept if they fulfil their kind's own condition (digits, Luhn sum, parts) and meet no base span.
 """
 
@@ -34,7 +35,9 @@ _BASE = {
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|\b[dD][oO][tT]\b", re.ASCII)
+#: What a region surrounds; means the same to re (ASCII) and to Arrow's expressions.
+_TRIGGERS = r"[0-9@]|\b[dD][oO][tT]\b|[\[({<][\x09-\x0D\x20]*[aA][tT][\x09-\x0D\x20]*[\])}>]|\b[aA][tT][\x09-\x0D\x20]+[^\x00-\x20.]+\.[^\x00-\x20.]"
+_TRIGGER = re.compile(_TRIGGERS, re.ASCII)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _BLANK = " \t\n\x0b\x0c\r"
 #: Characters of text on each side of a trigger that belong to its region.
@@ -408,7 +411,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
         for part in slices(batches):
             n = part.num_rows
             texts = part.column("text")
-            likely = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, r"[0-9@]|\b[dD][oO][tT]\b"), False).to_numpy(zero_copy_only=False))
+            likely = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _TRIGGERS), False).to_numpy(zero_copy_only=False))
             counts = np.zeros((4, n), np.int64)
             digest, spans = [none] * n, [""] * n
             for i, (base, every) in zip(likely.tolist(), all_spans(texts.take(pa.array(likely)).to_pylist(), known.value), strict=True):

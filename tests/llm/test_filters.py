@@ -221,6 +221,18 @@ def test_added_spans(spark, field):
         pii.train(table, most=5)
 
 
+def test_at_with_full_stop(spark, field):
+    texts = ["write to anna[at]milo.de", "write to anna (at) milo.de now", "write to anna at milo.de", "we met at noon. Then we left"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.find(d, field).collect()}
+    assert got == {0: "email:9:24", 1: "email:9:26", 2: "email:9:24", 3: ""}
+    held = pii.examples(700)[500:]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(held)], "doc_id bigint, text string")
+    got = {r.doc_id: r.spans.split(",") for r in pii.find(d, field).collect()}
+    found = [f"{k}:{a}:{b}" in got[i] for i, (_, spans) in enumerate(held) for k, a, b in spans if k == "email"]
+    assert sum(found) >= 0.95 * len(found)
+
+
 def plain_statistics(t):
     t = t or ""
     words, seen, dup, lines = re.findall(r"[^\x20\x09-\x0D]+", t), set(), 0, 0
