@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -82,48 +84,91 @@ def block_end(text: str, start: int) -> int:
     return len(text)
 
 
-# What starts a block in PHP and Go.
-PHP_CLASS = re.compile(r"^\s*(?:final\s+|abstract\s+)?class\s+([A-Za-z_][A-Za-z0-9_]*)\b", re.M)
-PHP_METHOD = re.compile(r"^\s*(?:public|protected|private|static|final|abstract|\s)*function\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", re.M)
-PHP_FUNCTION = re.compile(r"^\s*function\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", re.M)
-PHP_NAMESPACE = re.compile(r"^\s*namespace\s+([^;]+);", re.M)
-GO_FUNC = re.compile(r"^\s*func\s*(\([^)]+\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*\(", re.M)
-GO_STRUCT = re.compile(r"^\s*type\s+([A-Za-z_][A-Za-z0-9_]*)\s+struct\b", re.M)
-GO_PACKAGE = re.compile(r"^\s*package\s+([A-Za-z_][A-Za-z0-9_]*)\b", re.M)
+# What starts a block in PHP and Go. Each stands at a line's start behind any blanks (a method behind any
+# blanks and METHOD_WORDS, a class behind one of CLASS_WORDS too), which ``openings`` finds by looking back.
+PHP_CLASS = re.compile(r"class\s+([A-Za-z_][A-Za-z0-9_]*)\b")
+PHP_FUNCTION = re.compile(r"function\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(")
+PHP_NAMESPACE = re.compile(r"namespace\s+([^;]+);")
+GO_FUNC = re.compile(r"func\s*(\([^)]+\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*\(")
+GO_STRUCT = re.compile(r"type\s+([A-Za-z_][A-Za-z0-9_]*)\s+struct\b")
+GO_PACKAGE = re.compile(r"package\s+([A-Za-z_][A-Za-z0-9_]*)\b")
+METHOD_WORDS = ("public", "protected", "private", "static", "final", "abstract")
+CLASS_WORDS = ("final", "abstract")
 
+#: (begin, end, type, symbol) in characters.
 Spans = list[tuple[int, int, str, str | None]]
 
 
+def _word_before(text: str, at: int, words: tuple[str, ...]) -> int:
+    """Length of the word that ends at ``at``; 0 if none does."""
+    return next((len(w) for w in words if text.startswith(w, at - len(w)) and at >= len(w)), 0)
+
+
+def _line_start(text: str, at: int, many: tuple[str, ...] = (), one: tuple[str, ...] = ()) -> int:
+    """The first line start from which blanks and words of ``many`` lead to ``at``; -1 if none does. A word of ``one``
+    with blanks behind it may stand once."""
+    found, p, blank = -1, at, False
+    while True:
+        if p == 0 or text[p - 1] == "\n":
+            found = p
+        if p and text[p - 1].isspace():
+            p, blank = p - 1, True
+        elif n := _word_before(text, p, many):
+            p -= n
+        elif blank and (n := _word_before(text, p, one)):
+            p, one, blank = p - n, (), False
+        else:
+            return found
+
+
+def openings(pattern: re.Pattern, text: str, many: tuple[str, ...] = (), one: tuple[str, ...] = ()) -> Iterator[tuple[int, re.Match]]:
+    """(start, match) of a pattern's matches that stand at a line's start, as ``_line_start`` has it; start is there.
+
+    Every blank is looked at once or twice, however many lines of blanks there are.
+    """
+    m = pattern.search(text)
+    while m:
+        start = _line_start(text, m.start(), many, one)
+        if start >= 0:
+            yield start, m
+        m = pattern.search(text, m.end() if start >= 0 else m.start() + 1)
+
+
 def php_spans(text: str, most: int) -> Spans:
     """Classes within budget, else their methods, else windows; and functions outside classes; by start line."""
-    space = PHP_NAMESPACE.search(text)
-    prefix = f"{space[1].strip()}\\" if space else ""
-    bodies = [(m.start(), block_end(text, m.end()), m[1]) for m in PHP_CLASS.finditer(text)]
+    space = next(openings(PHP_NAMESPACE, text), None)
+    prefix = f"{space[1][1].strip()}\\" if space else ""
+    bodies = [(a, block_end(text, m.end()), m[1]) for a, m in openings(PHP_CLASS, text, one=CLASS_WORDS)]
     found: Spans = []
     for a, b, name in bodies:
         body = text[a:b]
-        methods = list(PHP_METHOD.finditer(body))
         if len(body) // 4 <= most:
             found.append((a, b, "class", prefix + name))
-        elif methods:
-            stops = [m.start() for m in methods[1:]] + [len(body)]
-            found += [(a + m.start(), a + e, "method", f"{name}.{m[1]}") for m, e in zip(methods, stops, strict=True)]
+            continue
+        methods = list(openings(PHP_FUNCTION, body, METHOD_WORDS))
+        if methods:
+            stops = [s for s, _ in methods[1:]] + [len(body)]
+            found += [(a + s, a + e, "method", f"{name}.{m[1]}") for (s, m), e in zip(methods, stops, strict=True)]
         else:
             found += _windows_of(body, a, most, "text", None)
-    outside = [m for m in PHP_FUNCTION.finditer(text) if not any(a <= m.start() < b for a, b, _ in bodies)]
-    found += [(m.start(), block_end(text, m.end()), "function", prefix + m[1]) for m in outside]
-    return _by_line(text, found)
+    starts, reach = [a for a, _, _ in bodies], list(accumulate((b for _, b, _ in bodies), max))
+    for a, m in openings(PHP_FUNCTION, text):
+        k = bisect_right(starts, a)
+        if not k or reach[k - 1] <= a:
+            found.append((a, block_end(text, m.end()), "function", prefix + m[1]))
+    return found
 
 
 def go_spans(text: str, most: int) -> Spans:
     """Structs and functions, by start line; a method's symbol has its receiver's first name."""
-    package = GO_PACKAGE.search(text)
-    found: Spans = [(m.start(), block_end(text, m.end()), "struct", f"{package[1]}.{m[1]}" if package else m[1]) for m in GO_STRUCT.finditer(text)]
-    for m in GO_FUNC.finditer(text):
+    package = next(openings(GO_PACKAGE, text), None)
+    owner_of_all = package[1][1] if package else None
+    named = lambda owner, name: f"{owner}.{name}" if owner else name
+    found: Spans = [(a, block_end(text, m.end()), "struct", named(owner_of_all, m[1])) for a, m in openings(GO_STRUCT, text)]
+    for a, m in openings(GO_FUNC, text):
         receiver = re.search(r"[A-Za-z_][A-Za-z0-9_]*", m[1] or "")
-        owner = receiver[0] if receiver else package[1] if package else None
-        found.append((m.start(), block_end(text, m.end()), "function", f"{owner}.{m[2]}" if owner else m[2]))
-    return _by_line(text, found)
+        found.append((a, block_end(text, m.end()), "function", named(receiver[0] if receiver else owner_of_all, m[2])))
+    return found
 
 
 def _windows_of(body: str, base: int, most: int, kind: str, symbol: str | None) -> Spans:
@@ -135,20 +180,39 @@ def _windows_of(body: str, base: int, most: int, kind: str, symbol: str | None)
     return out
 
 
-def _by_line(text: str, spans: Spans) -> Spans:
-    return sorted(spans, key=lambda s: text.count("\n", 0, s[0]))
+def block_rows(text: str, most: int, find: Callable[[str, int], Spans]) -> list[dict]:
+    """SPANS entries of the spans that ``find`` gives, in order of their first lines."""
+    found = find(text, most)
+    feeds = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+    line = lambda offsets: np.searchsorted(feeds, offsets) + 1
+    first = line([a for a, *_ in found]).tolist()
+    last = line([max(b - 1, a) for a, b, *_ in found]).tolist()
+    rows = [{"begin": a, "start_line": s, "end_line": e, "text": text[a:b], "chunk_type": kind, "symbol_name": symbol} for (a, b, kind, symbol), s, e in zip(found, first, last, strict=True)]
+    return sorted(rows, key=lambda r: r["start_line"])
+
 
+def window_rows(text: str, most: int, overlap: int) -> list[dict]:
+    """SPANS entries of the line windows of a text."""
+    return [{"begin": 0, "start_line": a, "end_line": b, "text": x, "chunk_type": "text", "symbol_name": None} for a, b, x in line_windows(text, most, overlap)]
 
-def block_spans(text: Column, most: int, which: str) -> Column:
-    """SPANS of PHP or Go text."""
-    find = {"php": php_spans, "go": go_spans}[which]
+
+FINDERS: dict[str, Callable[[str, int], Spans]] = {"php": php_spans, "go": go_spans}
+
+
+def helper_spans(text: Column, language: Column, most: int, overlap: int, fallback: int = 64) -> Column:
+    """SPANS of text that Spark's own functions can't cut: blocks of the languages of ``FINDERS``; line windows that
+    share ``overlap`` for ``text``, and ``fallback`` for other languages and where no block is found. Null text: null."""
+
+    def rows(t: str, lang: str) -> list[dict]:
+        found = block_rows(t, most, FINDERS[lang]) if lang in FINDERS else []
+        return found or window_rows(t, most, overlap if lang == "text" else fallback)
 
     @F.pandas_udf(SPANS)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: [dict(zip(("begin", "end", "chunk_type", "symbol_name"), x, strict=True)) for x in find(t or "", most)])
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, langs in parts:
+            yield pd.Series([None if t is None else rows(t, k) for t, k in zip(texts, langs, strict=True)], dtype=object)
 
-    return run(text)
+    return run(text, language)
 
 
 def windows(text: Column, most: int, overlap: int) -> Column:
@@ -157,17 +221,17 @@ def windows(text: Column, most: int, overlap: int) -> Column:
     @F.pandas_udf(PIECES)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda t: [dict(zip(("start_line", "end_line", "text"), x, strict=True)) for x in line_windows(t or "", most, overlap)])
+            yield pd.Series([[dict(zip(("start_line", "end_line", "text"), x, strict=True)) for x in line_windows(t or "", most, overlap)] for t in s], dtype=object)
 
     return run(text)
 
 
 def token_pieces(text: Column, most: int) -> Column:
-    """array<string>: a text cut to at most ``most`` tokens a piece."""
+    """array<string>: a text cut to at most ``most`` tokens a piece; null text: null."""
 
     @F.pandas_udf("array<string>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda t: split_pieces(t, most) if t else [])
+            yield pd.Series([None if t is None else split_pieces(t, most) for t in s], dtype=object)
 
     return run(text)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,32 +86,56 @@ def utc_stamp(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-_MARK = "\ue000"
+# What follows is built as SQL text: one expression of many nested functions, which is parsed once, where a call of a
+# function for each node would cost the driver seconds.
 
+# Characters for private use that mark where a text is cut; the first that the text doesn't have is taken.
+_MARKS = ("\ue000", "\ue001", "\uf8ff")
+_BLOCK = 64
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)``, with the value computed once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def let(value: str, name: str, body: str) -> str:
+    """``body``, in which ``name`` stands for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def pieces(text: Column, pattern: str) -> Column:
-    """array<struct<text, begin, end>>: the text before the first match of a multi-line pattern (maybe empty), then from
-    each match to the next. Matches are found left to right without overlap; offsets are characters from 0."""
-    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit("\ufffd")), f"(?md){pattern}", f"{_MARK}$0")
 
-    def cut(parts: Column) -> Column:
-        ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-        return bind(ends, lambda e: F.transform(parts, lambda p, i: F.struct(p.alias("text"), F.get(e, i).alias("begin"), F.get(e, i + 1).alias("end"))))
+def _sums(values: str) -> str:
+    return f"aggregate({values}, array(0), (acc, v) -> concat(acc, array(element_at(acc, -1) + v)))"
 
-    return bind(F.split(marked, _MARK), cut)
 
+def running(values: str) -> str:
+    """Sums of the first 0, 1, ... all entries of an array<int>. Blocks are summed first, then the blocks' totals, so
+    that long arrays aren't copied for every entry."""
+    blocks = f"transform(filter(sequence(1, greatest(size(vs), 1), {_BLOCK}), k -> k <= size(vs)), k -> {_sums(f'slice(vs, k, {_BLOCK})')})"
+    whole = "concat(array(0), flatten(transform(bs, (b, i) -> transform(slice(b, 2, size(b) - 1), v -> v + get(ts, i)))))"
+    return let(values, "vs", let(blocks, "bs", let(_sums("transform(bs, b -> element_at(b, -1))"), "ts", whole)))
 
-def matched_pieces(text: Column, pattern: str) -> Column:
+
+def line_feeds(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, '\n', '')))"
+
+
+def pieces(text: str, pattern: str) -> str:
+    """array<struct<text, begin, line>>: the text before the first match of a multi-line pattern (maybe empty), then from
+    each match to the next. Matches are found left to right without overlap; begin: characters before it; line: 1 and the
+    line feeds before it. The pattern has no single quote. A text that has all three marks of ``_MARKS`` gets the first
+    one replaced by U+FFFD."""
+    mark = "coalesce(" + ", ".join(f"if(contains({text}, '{m}'), null, '{m}')" for m in _MARKS) + ", '')"
+    clean = f"if(free = '', replace({text}, '{_MARKS[0]}', '\ufffd'), {text})"
+    parts = let(f"if(free = '', '{_MARKS[0]}', free)", "mk", f"split(regexp_replace({clean}, r'(?md){pattern}', concat(mk, '$0')), mk)")
+    where = f"struct({running('transform(ps, p -> length(p))')} as w, {running(f'transform(ps, p -> {line_feeds("p")})')} as l)"
+    return let(mark, "free", let(parts, "ps", let(where, "s", "transform(ps, (p, i) -> struct(p as text, get(s.w, i) as begin, get(s.l, i) + 1 as line))")))
+
+
+def matched_pieces(text: str, pattern: str) -> str:
     """The pieces that start with a match."""
-    return bind(pieces(text, pattern), lambda found: F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))))
+    return let(pieces(text, pattern), "found", "slice(found, 2, greatest(size(found) - 1, 0))")
+
+
+def group(text: str, pattern: str, k: int) -> str:
+    return f"regexp_extract({text}, r'(?md){pattern}', {k})"
 
 
-def line_at(text: Column, offset: Column) -> Column:
-    """1 and the line feeds before an offset."""
-    head = F.substring(text, F.lit(1), offset)
-    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+def stripped(text: str) -> str:
+    """As ``strip``."""
+    return f"regexp_replace({text}, r'(?U)\\A\\s+|\\s+\\z', '')"

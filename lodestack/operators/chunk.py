@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import packing
@@ -19,101 +19,60 @@ YAML_KEY = r"^([A-Za-z0-9_.-][^:\n]*)\s*:"
 COMPOSE_SERVICE = r"^\s{2}([A-Za-z0-9_.-]+)\s*:\s*$"
 VUE_BLOCKS = ("template", "script", "style")
 
-def _span(begin: Column, end: Column, kind: Column, symbol: Column) -> Column:
-    return F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end"), kind.alias("chunk_type"), symbol.alias("symbol_name"))
+def _span(begin: str, line: str, text: str, kind: str, symbol: str) -> str:
+    last = f"sp.line + {X.line_feeds('sp.text')} - int(endswith(sp.text, '\n'))"
+    return X.let(f"struct({begin} as begin, {line} as line, {text} as text)", "sp", f"struct(sp.begin as begin, sp.line as start_line, greatest({last}, sp.line) as end_line, sp.text as text, {kind} as chunk_type, {symbol} as symbol_name)")
 
 
-def _null_if_empty(text: Column) -> Column:
-    return F.when(text != "", text)
+def _piece(kind: str, symbol: str) -> str:
+    return _span("p.begin", "p.line", "p.text", kind, symbol)
 
 
-def markdown_spans(text: Column, most: int) -> Column:
+def markdown_spans(text: str, most: int) -> str:
     """Sections of levels 1 to 3; each runs to the next header of its own level or above, so parents hold children."""
-    parts = X.matched_pieces(text, MARKDOWN_HEADER)
-    all_heads = F.transform(parts, lambda p: F.struct(p["begin"].alias("begin"), F.length(F.regexp_extract(p["text"], f"(?md){MARKDOWN_HEADER}", 1)).alias("level"), X.strip(F.regexp_extract(p["text"], f"(?md){MARKDOWN_HEADER}", 2)).alias("title")))
+    levels = f"transform(hs, p -> length({X.group('p.text', MARKDOWN_HEADER, 1)}))"
+    # For each level: the headers of that level or above, and how many of them each header has before or at it.
+    ends = ", ".join(f"filter(sequence(0, greatest(size(lv), 1) - 1), i -> get(lv, i) <= {k}) as at{k}, {X.running(f'transform(lv, x -> int(x <= {k}))')} as n{k}" for k in (1, 2, 3))
+    stop = "coalesce(case get(lv, j) when 1 then get(e.at1, get(e.n1, j + 1)) when 2 then get(e.at2, get(e.n2, j + 1)) else get(e.at3, get(e.n3, j + 1)) end, size(hs))"
+    section = _span("p.begin", "p.line", f"array_join(transform(slice(hs, j + 1, {stop} - j), x -> x.text), '')", "'section'", X.stripped(X.group("p.text", MARKDOWN_HEADER, 2)))
+    return X.let(X.matched_pieces(text, MARKDOWN_HEADER), "hs", X.let(levels, "lv", X.let(f"struct({ends})", "e", f"transform(hs, (p, j) -> {section})")))
 
-    def sections(heads: Column) -> Column:
-        def section(h: Column, i: Column) -> Column:
-            later = F.filter(F.slice(heads, i + 2, F.size(heads)), lambda y: y["level"] <= h["level"])
-            return _span(h["begin"], F.coalesce(F.array_min(F.transform(later, lambda y: y["begin"])), F.length(text)), F.lit("section"), h["title"])
 
-        return F.transform(heads, section)
-
-    return X.bind(all_heads, sections)
-
-
-def typescript_spans(text: Column, most: int) -> Column:
+def typescript_spans(text: str, most: int) -> str:
     """Exported functions, classes and constants, each to the next export."""
-
-    def export(p: Column) -> Column:
-        line = F.regexp_extract(p["text"], r"\A[^\n]*", 0)
-        kind = F.when(line.rlike(r"\bfunction\b"), "function").when(line.rlike(r"\bclass\b"), "class").otherwise("const")
-        return _span(p["begin"], p["end"], kind, _null_if_empty(F.regexp_extract(line, TYPESCRIPT_SYMBOL, 1)))
-
-    return F.transform(X.matched_pieces(text, TYPESCRIPT_EXPORT), export)
+    kind = "case when ln rlike r'\\bfunction\\b' then 'function' when ln rlike r'\\bclass\\b' then 'class' else 'const' end"
+    export = X.let("regexp_extract(p.text, r'\\A[^\\n]*', 0)", "ln", _piece(kind, f"nullif({X.group('ln', TYPESCRIPT_SYMBOL, 1)}, '')"))
+    return f"transform({X.matched_pieces(text, TYPESCRIPT_EXPORT)}, p -> {export})"
 
 
-def yaml_spans(text: Column, most: int, name: Column | None = None) -> Column:
+def yaml_spans(text: str, most: int, name: str = "element_at(split(path, '/'), -1)") -> str:
     """Top-level keys; in a compose file with services, its services instead."""
-    name = X.base_name(F.col("path")) if name is None else name
-    key = lambda p: X.strip(F.regexp_extract(p["text"], f"(?md){YAML_KEY}", 1))
+    key = X.stripped(X.group("p.text", YAML_KEY, 1))
+    keys = f"transform(top, p -> {_piece("'config'", key)})"
+    service = _span("sv.begin + p.begin", "sv.line + p.line - 1", "p.text", "'config'", X.group("p.text", COMPOSE_SERVICE, 1))
+    services = X.let(f"get(filter(top, p -> {key} = 'services'), 0)", "sv", f"transform({X.matched_pieces('sv.text', COMPOSE_SERVICE)}, p -> {service})")
+    inner = X.let(f"if(contains({name}, 'docker-compose'), {services}, null)", "inner", f"if(size(inner) > 0, inner, {keys})")
+    return X.let(X.matched_pieces(text, YAML_KEY), "top", inner)
 
-    def service_spans(s: Column) -> Column:
-        found = X.matched_pieces(s["text"], COMPOSE_SERVICE)
-        return F.transform(found, lambda p: _span(s["begin"] + p["begin"], s["begin"] + p["end"], F.lit("config"), F.regexp_extract(p["text"], f"(?md){COMPOSE_SERVICE}", 1)))
 
-    def spans(top: Column) -> Column:
-        keys = F.transform(top, lambda p: _span(p["begin"], p["end"], F.lit("config"), key(p)))
-        services = F.filter(top, lambda p: key(p) == "services")
-        inner = F.when(F.contains(name, F.lit("docker-compose")), X.bind(F.get(services, F.lit(0)), service_spans))
-        return X.bind(inner, lambda found: F.when(F.size(found) > 0, found).otherwise(keys))
-
-    return X.bind(X.matched_pieces(text, YAML_KEY), spans)
-
-
-def vue_spans(text: Column, most: int) -> Column:
+def vue_spans(text: str, most: int) -> str:
     """template, script and style blocks in text order."""
 
-    def blocks(tag: str) -> Column:
+    def blocks(tag: str) -> str:
         pattern = f"(?s)<{tag}\\b[^>]*>.*?</{tag}>"
-        return F.transform(X.matched_pieces(text, pattern), lambda p: _span(p["begin"], p["begin"] + F.length(F.regexp_extract(p["text"], pattern, 0)), F.lit(tag), F.lit(tag)))
-
-    return F.array_sort(F.concat(*[blocks(t) for t in VUE_BLOCKS]))
-
+        return f"transform({X.matched_pieces(text, pattern)}, p -> {_span('p.begin', 'p.line', f"regexp_extract(p.text, r'{pattern}', 0)", f"'{tag}'", f"'{tag}'")})"
 
-def _block(which: str) -> Callable[[Column, int], Column]:
-    return lambda text, most: packing.block_spans(text, most, which)
+    return f"array_sort(concat({', '.join(blocks(t) for t in VUE_BLOCKS)}))"
 
 
-#: Chunkers by language: (text, token budget) -> SPANS. Further languages can be added; all others go by line windows.
-CHUNKERS: dict[str, Callable[[Column, int], Column]] = {"markdown": markdown_spans, "typescript": typescript_spans, "yaml": yaml_spans, "vue": vue_spans, "php": _block("php"), "go": _block("go")}
-
-_KEEP = ("repo_name", "path", "abs_path", "mtime", "language")
-
-
-_ROW = "array<struct<start_line:int,end_line:int,text:string,chunk_type:string,symbol_name:string>>"
-
-
-def _rows_of(spans: Column) -> Column:
-    """Rows of a file's spans: lines and text. ``base_line`` is the line that the text starts at."""
-
-    def row(s: Column) -> Column:
-        start = X.line_at(F.col("content"), s["begin"])
-        end = X.line_at(F.col("content"), F.greatest(s["end"] - 1, s["begin"]))
-        text = F.substring(F.col("content"), s["begin"] + 1, s["end"] - s["begin"])
-        return F.struct(start.alias("start_line"), end.alias("end_line"), text.alias("text"), s["chunk_type"].alias("chunk_type"), s["symbol_name"].alias("symbol_name"))
-
-    return F.transform(spans, row).cast(_ROW)
-
-
-def _rows_of_windows(windows: Column) -> Column:
-    none = F.lit(None).cast("string")
-    return F.transform(windows, lambda w: F.struct(w["start_line"].alias("start_line"), w["end_line"].alias("end_line"), w["text"].alias("text"), F.lit("text").alias("chunk_type"), none.alias("symbol_name"))).cast(_ROW)
+#: Chunkers by language, of Spark's own functions: (SQL of the text, token budget) -> SQL of SPANS. Further languages can
+#: be added; those of ``packing.FINDERS`` go by its helper, all others by line windows.
+CHUNKERS: dict[str, Callable[[str, int], str]] = {"markdown": markdown_spans, "typescript": typescript_spans, "yaml": yaml_spans, "vue": vue_spans}
 
 
 def _cut_blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Blocks over budget as line windows that keep type and symbol, their lines counted on from the block's first."""
-    over = X.tokens(F.col("text")) > most
+    """Vue blocks over budget as line windows that keep type and symbol, their lines counted on from the block's first."""
+    over = (F.col("language") == "vue") & (F.col("chunk_type") != "text") & (X.tokens(F.col("text")) > most)
     cut = rows.withColumn("w", packing.windows(F.when(over, F.col("text")), most, 64))
     whole = F.array(F.struct(F.lit(1).alias("start_line"), (F.col("end_line") - F.col("start_line") + 1).alias("end_line"), F.col("text").alias("text")))
     cut = cut.withColumn("w", F.explode(F.when(F.size("w") > 0, F.col("w")).otherwise(whole)))
@@ -142,19 +101,17 @@ def chunk_files(files: DataFrame, most: int = 512, overlap: int = 64) -> DataFra
     """Chunks (schema CHUNKS) of a files table (schema FILES); null content has none.
 
     Files whose language has a chunker but no block, and all others, are cut to line windows; only the latter use
-    ``overlap``, the former 64. Chunk ids are not unique across repositories of one name or blocks of one line.
+    ``overlap``, the former 64. Chunk ids are not unique across repositories of one name or blocks of one line. The files
+    are read once: Spark's functions cut what they can, and only the text of other files goes to the Python helper.
     """
-    files = files.where(F.col("content") != "").withColumn("language", X.language(F.col("path"))).select(*_KEEP, "content")
-    plain = files.where(~F.col("language").isin(*CHUNKERS)).withColumn("w", packing.windows(F.col("content"), most, overlap))
-    columns = [*_KEEP, F.col("r.text").alias("text"), F.col("r.start_line").alias("start_line"), F.col("r.end_line").alias("end_line"), F.col("r.chunk_type").alias("chunk_type"), F.col("r.symbol_name").alias("symbol_name")]
-    out = plain.withColumn("r", F.explode(_rows_of_windows(F.col("w")))).select(*columns)
-    for name, chunker in CHUNKERS.items():
-        mine = files.where(F.col("language") == name).withColumn("spans", chunker(F.col("content"), most).cast(SPANS))
-        mine = mine.withColumn("w", packing.windows(F.when(F.size("spans") == 0, F.col("content")), most, 64))
-        found = F.when(F.size("w") > 0, _rows_of_windows(F.col("w"))).otherwise(_rows_of(F.col("spans")))
-        rows = mine.withColumn("r", F.explode(found)).select(*columns)
-        out = out.unionByName(_cut_blocks(rows, most) if name == "vue" else rows)
-    out = out.select(
+    language = X.language(F.col("path"))
+    files = files.where(F.col("content") != "").select("repo_name", "path", "abs_path", "mtime", language.alias("language"), "content")
+    native = F.coalesce(*[F.when(F.col("language") == name, F.expr(f("content", most)).cast(SPANS)) for name, f in CHUNKERS.items()])
+    cut = files.withColumn("spans", native)
+    cut = cut.withColumn("more", packing.helper_spans(F.when(F.coalesce(F.size("spans"), F.lit(0)) <= 0, F.col("content")), F.col("language"), most, overlap))
+    rows = cut.select("repo_name", "path", "abs_path", "mtime", "language", F.explode(F.coalesce("more", "spans")).alias("r"))
+    rows = rows.select("repo_name", "path", "abs_path", "mtime", "language", "r.text", "r.start_line", "r.end_line", "r.chunk_type", "r.symbol_name")
+    out = _cut_blocks(rows, most).select(
         F.format_string("%s:%s:%d", "repo_name", "path", "start_line").alias("id"), "text", "repo_name", F.col("path").alias("file_path"), F.col("abs_path").alias("abs_file_path"),
         F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "language", "chunk_type", "symbol_name", F.col("mtime").alias("file_mtime"),
     )

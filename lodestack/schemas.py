@@ -23,9 +23,12 @@ DOCKER = _table(repo_name=_s, name=_s, image=_s, ports=_list, environment=_list,
 CATEGORIES = {"routes": ROUTES, "migrations": MIGRATIONS, "env": ENV, "docker": DOCKER}
 SUMMARIES = _table(name=_s, stack=_s, framework=_s, key_files=T.MapType(_s, _s), models=_list, endpoints_count=_l, chunk_count=_l, last_indexed=_s)
 MANIFEST = _table(abs_path=_s, repo_name=_s, mtime=_d, chunk_count=_l)
+#: Which part of a table a repository's rows are in.
+LIVE = _table(repo_name=_s, part=_s)
+PAYLOADS = _table(repo_name=_s, category=_s, payload=_s)
 HITS = _table(chunk_text=_s, file_path=_s, repo_name=_s, start_line=_i, end_line=_i, language=_s, chunk_type=_s, symbol_name=_s, score=_d)
 
-#: An offset span of a file that becomes a chunk.
-SPANS = "array<struct<begin:int,end:int,chunk_type:string,symbol_name:string>>"
-#: A run of lines, or a piece of text, that becomes a chunk.
+#: Blocks of a file that become chunks: characters before it, its lines, text, type and symbol.
+SPANS = "array<struct<begin:int,start_line:int,end_line:int,text:string,chunk_type:string,symbol_name:string>>"
+#: A run of lines that becomes a chunk.
 PIECES = "array<struct<start_line:int,end_line:int,text:string>>"
