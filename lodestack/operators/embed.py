@@ -34,6 +34,7 @@ def embed_chunks(chunks: DataFrame, embed: EmbedFn, dim: int, batch: int = BATCH
     job with the first chunk id that has none. ``partitions``: deal
     the rows out evenly first, where their files are uneven and embedding costs far more than moving."""
     schema = T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
+    name = _name(chunks)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -41,7 +42,7 @@ def embed_chunks(chunks: DataFrame, embed: EmbedFn, dim: int, batch: int = BATCH
                 part = frame.iloc[i : i + batch]
                 vectors = embed(part[column].fillna("").tolist())
                 if len(vectors) != len(part):
-                    raise ValueError(f"{len(vectors)} vectors for {len(part)} texts from {part.iloc[0, 0]}")
+                    raise ValueError(f"{len(vectors)} vectors for {len(part)} texts from {part[name].iloc[0]}")
                 yield part.assign(vector=[np.asarray(v, np.float32) for v in vectors])
 
     return with_checked(chunks.repartition(partitions).mapInPandas(run, schema) if partitions else chunks.mapInPandas(run, schema), dim)
@@ -53,7 +54,12 @@ def checked(vector: Column, dim: int, name: Column) -> Column:
 
 
 def with_checked(stored: DataFrame, dim: int) -> DataFrame:
-    return stored.withColumn("vector", checked(F.col("vector"), dim, F.col(stored.columns[0]).cast("string")))
+    return stored.withColumn("vector", checked(F.col("vector"), dim, F.col(_name(stored)).cast("string")))
+
+
+def _name(rows: DataFrame) -> str:
+    """The column that names a row in messages: id or query_id, else the first one."""
+    return next((c for c in ("id", "query_id") if c in rows.columns), rows.columns[0])
 
 
 def attach(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

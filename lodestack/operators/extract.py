@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack.functions import text as X
 from lodestack.schemas import CATEGORIES, DOCKER
@@ -35,8 +37,8 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    """(repo_name, path, n, line): stripped, numbered lines that aren't empty."""
-    lines = files.select("repo_name", "path", F.posexplode(F.split("content", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("n", "line"))
+    """(repo_name, path, abs_path, n, line): stripped, numbered lines that aren't empty."""
+    lines = files.select("repo_name", "path", "abs_path", F.posexplode(F.split("content", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("n", "line"))
     return lines.withColumn("line", X.strip(F.col("line"))).where("line <> ''")
 
 
@@ -44,12 +46,12 @@ def routes_laravel(files: DataFrame, strict_scope: bool = False) -> DataFrame:
     """ROUTES of the two route files. A middleware group holds from its line until its braces, counted on every line from
     a depth of 1, are closed: as the group's own line opens one more, routes behind a closed group still get its
     middleware. ``strict_scope`` counts from 0 and so ends a group where its own brace ends. The state is one window a file."""
-    lines = _lines(files.where(F.col("path").isin(*LARAVEL_ROUTE_FILES)))
+    lines = _lines(files.where(F.col("path").isin(*LARAVEL_ROUTE_FILES))).dropDuplicates(["abs_path", "n"])
     group = F.col("line").rlike(LARAVEL_GROUP)
-    file = Window.partitionBy("repo_name", "path")
+    file = Window.partitionBy("abs_path")
     seg = lines.withColumn("seg", F.sum(group.cast("int")).over(file.orderBy("n")))
     braces = F.length(F.regexp_replace("line", r"[^{]", "")) - F.length(F.regexp_replace("line", r"[^}]", ""))
-    here = Window.partitionBy("repo_name", "path", "seg").orderBy("n")
+    here = Window.partitionBy("abs_path", "seg").orderBy("n")
     seg = seg.withColumn("depth", F.lit(0 if strict_scope else 1) + F.sum(braces).over(here))
     before = here.rowsBetween(Window.unboundedPreceding, -1)
     active = (F.col("seg") > 0) & ~F.coalesce(F.bool_or(F.col("depth") <= 0).over(before), F.lit(False))
@@ -66,7 +68,7 @@ def _route_rows(found: DataFrame) -> DataFrame:
 
 def routes_go(files: DataFrame) -> DataFrame:
     """ROUTES of the usual router files and all Go files below cmd and internal, or of all Go files of a repository that
-    has none of these."""
+    has none of these. A file that is listed twice counts once; only its routes are compared for that."""
     go = files.where(F.col("path").endswith(".go"))
     likely = F.col("path").isin(*GO_ROUTER_FILES) | F.col("path").startswith("cmd/") | F.col("path").startswith("internal/")
     repos = go.groupBy("repo_name").agg(F.bool_or(likely).alias("has"))  # one row a repository, without content
@@ -75,7 +77,7 @@ def routes_go(files: DataFrame) -> DataFrame:
     verbs = F.arrays_zip(F.transform(_all(c, GO_ROUTE, 1), F.upper).alias("method"), _all(c, GO_ROUTE, 2).alias("p"), _all(c, GO_ROUTE, 3).alias("handler"))
     funcs = F.arrays_zip(F.transform(_all(c, GO_HANDLE_FUNC, 1), lambda x: F.lit("HANDLEFUNC")).alias("method"), _all(c, GO_HANDLE_FUNC, 1).alias("p"), _all(c, GO_HANDLE_FUNC, 2).alias("handler"))
     kind = "array<struct<method:string,p:string,handler:string>>"
-    rows = chosen.select("repo_name", "path", F.posexplode(F.concat(verbs.cast(kind), funcs.cast(kind))).alias("n", "r"))
+    rows = chosen.select("repo_name", "path", "abs_path", F.posexplode(F.concat(verbs.cast(kind), funcs.cast(kind))).alias("n", "r")).dropDuplicates(["abs_path", "n"])
     return _route_rows(rows.select("repo_name", "path", "n", F.lit(0).alias("k"), "r.*", _no_list().alias("middleware")))
 
 
@@ -141,18 +143,46 @@ def compose_services(files: DataFrame) -> DataFrame:
     return chosen.select("repo_name", F.posexplode(parse("content")).alias("n", "s")).select("repo_name", "s.*", "n").select(*DOCKER.names, "n")
 
 
-def extract_structured(files: DataFrame, profiles: DataFrame) -> dict[str, DataFrame]:
-    """The four categories of typed rows of all repositories. files: whole table, whatever is indexed; profiles: name and
-    stack. Routes and migrations depend on the stack, the other two don't."""
-    stack = files.join(profiles.select(F.col("name").alias("repo_name"), "stack"), "repo_name")
-    php, go = stack.where("stack = 'laravel'"), stack.where("stack in ('go', 'go-chi')")
-    known = stack.drop("stack")
-    return {
-        "routes": routes_laravel(php).unionByName(routes_go(go)),
-        "migrations": migrations_laravel(php).unionByName(migrations_sql(go)),
-        "env": env_vars(known),
-        "docker": compose_services(known),
-    }
+@dataclass(frozen=True)
+class Extractor:
+    """Rows of a category from the files of some stacks (none: of all). paths: whether it reads a file."""
+
+    category: str
+    find: Callable[[DataFrame], DataFrame]
+    paths: Callable[[Column], Column]
+    stacks: tuple[str, ...] = ()
+
+
+#: What is extracted. Further extractors can be added; those of one category give the same columns.
+EXTRACTORS = [
+    Extractor("routes", routes_laravel, lambda p: p.isin(*LARAVEL_ROUTE_FILES), ("laravel",)),
+    Extractor("routes", routes_go, lambda p: p.endswith(".go"), ("go", "go-chi")),
+    Extractor("migrations", migrations_laravel, lambda p: p.startswith("database/migrations/"), ("laravel",)),
+    Extractor("migrations", migrations_sql, lambda p: p.endswith(".sql"), ("go", "go-chi")),
+    Extractor("env", env_vars, lambda p: p == ".env.example"),
+    Extractor("docker", compose_services, lambda p: p.isin(*COMPOSE_FILES)),
+]
+
+
+def extractable(files: DataFrame, extractors: list[Extractor] = EXTRACTORS) -> DataFrame:
+    """Rows of the files that some extractor reads."""
+    wanted = F.lit(False)
+    for x in extractors:
+        wanted = wanted | x.paths(F.col("path"))
+    return files.where(wanted)
+
+
+def extract_structured(files: DataFrame, profiles: DataFrame, extractors: list[Extractor] = EXTRACTORS) -> dict[str, DataFrame]:
+    """The categories of typed rows of all repositories. files: whole table, whatever is indexed; profiles: name and
+    stack. Each extractor gets its own paths, which are chosen before stacks are joined."""
+    out: dict[str, DataFrame] = {}
+    for x in extractors:
+        mine = files.where(x.paths(F.col("path")))
+        if x.stacks:
+            mine = mine.join(profiles.where(F.col("stack").isin(*x.stacks)).select(F.col("name").alias("repo_name")).distinct(), "repo_name", "left_semi")
+        found = x.find(mine)
+        out[x.category] = out[x.category].unionByName(found) if x.category in out else found
+    return out
 
 
 def payloads(found: dict[str, DataFrame], profiles: DataFrame) -> DataFrame:
@@ -166,3 +196,11 @@ def payloads(found: dict[str, DataFrame], profiles: DataFrame) -> DataFrame:
         one = empty.join(items, "repo_name", "left").select("repo_name", F.lit(category).alias("category"), F.coalesce(F.to_json("items", {"ignoreNullFields": "false"}), F.lit("[]")).alias("payload"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def payload_rows(payloads: DataFrame, category: str) -> DataFrame:
+    """The typed rows (schema of the category) that its payloads hold; text that isn't such JSON has none."""
+    schema = CATEGORIES[category]
+    kind = T.ArrayType(T.StructType([f for f in schema.fields if f.name != "repo_name"]))
+    rows = payloads.where(F.col("category") == category).select("repo_name", F.explode(F.from_json("payload", kind)).alias("r"))
+    return rows.where("r is not null").select("repo_name", "r.*").select(*schema.names)

@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.sources.tables import small
+
 
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files that the manifest lacks or has with another mtime, an older one too."""
+    """Files that the manifest lacks or has with another mtime, an older one too. Files whose rows are wide should come
+    without their content, which ``with_content`` then gets for the changed ones."""
     known = manifest.select(F.col("abs_path"), F.col("mtime").alias("_known")).dropDuplicates(["abs_path"])
     return files.join(known, "abs_path", "left").where(~F.col("mtime").eqNullSafe(F.col("_known")) | F.col("_known").isNull()).select(*files.columns)
 
 
+def with_content(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """Whole rows of ``files`` whose abs_path is in ``changed``. Their paths go to where the files are read, if they are
+    counted to be few enough; else both are joined by shuffle."""
+    return files.join(small(changed.select("abs_path").distinct()), "abs_path", "left_semi").select(*files.columns)
+
+
 def deleted_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Manifest rows of scanned repositories whose file is gone."""
     scanned = files.select("repo_name").distinct()

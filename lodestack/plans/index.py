@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as X
 from lodestack.operators import chunk, detect, embed, extract, files, incremental, search, summary
-from lodestack.schemas import SUMMARIES
-from lodestack.sources.tables import Store
+from lodestack.schemas import CATEGORIES, SUMMARIES
+from lodestack.sources.tables import Store, small
 
 
 @dataclass
@@ -30,44 +30,51 @@ def index(listing: DataFrame, store: Store, settings: Settings | None = None, fu
     """Bring the store up to date with the files and return the run's statistics (``summary.run_stats``).
 
     listing: schema FILES, all files of all repositories, whatever is indexed. Only changed files are chunked and embedded
-    unless ``full``, which first drops what the store has of the repositories. Typed rows and summaries are made anew.
+    unless ``full``, which first drops what the store has of the repositories. Typed rows and summaries are made anew: a
+    repository whose settings, say, are gone has none left. Only repositories with changed files get their chunks written
+    again, and what changed is found without moving any content.
     """
     s = settings or Settings()
     if repos:
         listing = listing.where(F.col("repo_name").isin(*repos))
-    profiles = detect.profiles(listing).cache()  # one row a repository
-    indexed = files.walk_files(listing, s.include, s.exclude)
+    paths = listing.drop("content")
+    profiles = _written(store, "profiles", detect.profiles(paths))  # one row a repository
+    scanned = profiles.select(F.col("name").alias("repo_name")).distinct()
+    indexed = files.walk_files(paths, s.include, s.exclude)
     manifest = store.manifest()
-    scanned = profiles.select(F.col("name").alias("repo_name"))
     if full:
         manifest = manifest.join(scanned, "repo_name", "left_anti").select(*manifest.columns)
-    todo = incremental.changed_files(indexed, manifest)
-    vectors = embed.embed_chunks(chunk.chunk_files(todo, s.max_tokens, s.overlap_tokens), s.embed or embed.hashed_words(s.dim), s.dim)
-    old = store.chunks()
-    if full:
-        old = old.join(scanned, "repo_name", "left_anti").select(*old.columns)
-    store.write("run", vectors)  # embedded once, read twice below
-    new = store.read("run", vectors.schema)
-    store.write_chunks(incremental.upsert(old, new, s.upsert_by))
-    processed = incremental.chunk_counts(todo, new)
-    store.write("processed", processed)
-    processed = store.read("processed", processed.schema)
+    changed = _written(store, "changed", incremental.changed_files(indexed, manifest))
+    todo = incremental.with_content(files.walk_files(listing, s.include, s.exclude), changed)
+    # Embedded once, read twice below.
+    new = _written(store, "run", embed.embed_chunks(chunk.chunk_files(todo, s.max_tokens, s.overlap_tokens), s.embed or embed.hashed_words(s.dim), s.dim))
+    touched = scanned if full else changed.select("repo_name").distinct()
+    old = store.chunks().where(F.lit(not full)).join(small(touched), "repo_name", "left_semi")
+    store.write_chunks(incremental.upsert(old.select(*new.columns), new, s.upsert_by), touched)
+    processed = _written(store, "processed", incremental.chunk_counts(changed, new))
     store.write("manifest", incremental.next_manifest(manifest, indexed, processed))
-    found = extract.extract_structured(listing, profiles)
-    for category, rows in found.items():
-        store.save_structured(category, rows)
+    wanted = _written(store, "extracted", extract.extractable(listing))  # all content is read once for all extractors
+    for category, rows in extract.extract_structured(wanted, profiles).items():
+        store.save_structured(category, rows, scanned)
     routes = store.structured("routes").join(scanned, "repo_name", "left_semi")
     fresh = summary.summaries(profiles, routes, store.manifest(), store.summaries(), processed, X.utc_stamp(F.current_timestamp()))
     kept = store.summaries().join(profiles.select("name"), "name", "left_anti").select(*SUMMARIES.names)
     store.write("summaries", kept.unionByName(fresh))
-    profiles.unpersist()
+    for table in ("chunks", "manifest", "summaries", "profiles", "changed", "run", "processed", "extracted", *CATEGORIES):
+        store.clean(table)
     return summary.run_stats(processed)
 
 
+def _written(store: Store, table: str, rows: DataFrame) -> DataFrame:
+    store.write(table, rows)
+    return store.read(table, rows.schema)
+
+
 def search_text(store: Store, query: str, settings: Settings | None = None, repos: list[str] | None = None, languages: list[str] | None = None, limit: int = 10) -> DataFrame:
     """Ranked hits of a text query."""
     if not query.strip():
         raise ValueError("the query is empty")
     s = settings or Settings()
-    vector = (s.embed or embed.hashed_words(s.dim))([query])[0]
+    asked = store.spark.createDataFrame([(0, query)], "query_id int, text string")
+    vector = embed.embed_query(asked, s.embed or embed.hashed_words(s.dim), s.dim).first()["vector"]
     return search.search(store.chunks(), vector, repos, languages, limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.functions import text as X
-from lodestack.schemas import CATEGORIES, CHUNKS, MANIFEST, STORED, SUMMARIES
+from lodestack.schemas import CATEGORIES, CHUNKS, LIVE, MANIFEST, PAYLOADS, STORED, SUMMARIES
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -49,69 +49,136 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+#: Most rows of a table of names that is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(names: DataFrame) -> DataFrame:
+    """A table of names, marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(names) if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else names
 
 
 class Store:
-    """Tables below one folder. Every table is a folder of versions; a write makes a new version from the ones before and
-    then names it current, so a table can be read while it is replaced, and a failed write changes nothing."""
+    """Tables below one folder, for one writer at a time.
+
+    Every write makes a new version of a table from the ones before and then names it current, by creating an empty file
+    whose name has the version's number: so a table can be read while it is replaced, and a write that fails at any point
+    leaves the one before. ``clean`` deletes what no recent version has.
+
+    Chunks and typed rows lie in parts by repository: a write adds a part with the rows of the repositories that it
+    replaces, and a version is the table of which part each repository's rows are in. The others aren't touched.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _current(self, table: str) -> str | None:
-        pointer = f"{self.root}/{table}/_current"
-        if not _exists(self.spark, pointer):
-            return None
-        return f"{self.root}/{table}/{self.spark.read.text(pointer + '/name').first()[0]}"
-
-    def write(self, table: str, rows: DataFrame, partition_by: str | None = None) -> None:
-        version = f"v{uuid.uuid4().hex}"
-        out = rows.write
-        if partition_by:
-            # A repository can hold most rows: its files are dealt out by id, and only a few are open at a time.
-            rows = rows.repartition(F.col(partition_by), F.pmod(F.xxhash64(rows.columns[0]), F.lit(8)))
-            out = rows.write.partitionBy(partition_by)
-        out.parquet(f"{self.root}/{table}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{table}/_current/name")
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def versions(self, table: str) -> list[str]:
+        """Names of a table's versions, oldest first."""
+        return self._names(f"{self.root}/{table}/_versions")
+
+    def write(self, table: str, rows: DataFrame) -> None:
+        """A new version of a whole table."""
+        last = self.versions(table)
+        version = f"{int(last[-1].split('-')[0]) + 1 if last else 1:010}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{table}/{version}")
+        fs, p = self._fs(f"{self.root}/{table}/_versions/{version}")
+        fs.create(p, False).close()
 
     def read(self, table: str, schema: T.StructType) -> DataFrame:
-        """The table's current version; an empty one if it isn't there or its files can't be read as such."""
-        path = self._current(table)
-        try:
-            return self.spark.read.schema(schema).parquet(path).select(*schema.names) if path else self.spark.createDataFrame([], schema)
-        except AnalysisException:
+        """The table's current version; an empty one if nothing was written yet."""
+        found = self.versions(table)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{found[-1]}").select(*schema.names) if found else self.spark.createDataFrame([], schema)
+
+    def replace(self, table: str, rows: DataFrame, repos: DataFrame) -> None:
+        """Replace the rows of ``repos`` (repo_name) by ``rows``, which has none of other repositories. AQE deals a
+        repository with very many rows out to several tasks and files."""
+        part = uuid.uuid4().hex
+        rows.hint("rebalance", "repo_name").write.partitionBy("repo_name").parquet(f"{self.root}/{table}/parts/part={part}")
+        mine = repos.select("repo_name").distinct()
+        self.write(table, self._live(table).join(small(mine), "repo_name", "left_anti").unionByName(mine.withColumn("part", F.lit(part))))
+
+    def _live(self, table: str) -> DataFrame:
+        return self.read(table, LIVE)
+
+    def parts(self, table: str, schema: T.StructType) -> DataFrame:
+        """Rows of a table that ``replace`` keeps. Only parts and repositories of the current version are read."""
+        live = self._live(table)
+        names = [r["part"] for r in live.select("part").distinct().collect()]  # one a run that is still in use
+        paths = [f"{self.root}/{table}/parts/part={p}" for p in names if any(x.startswith("repo_name=") for x in self._names(f"{self.root}/{table}/parts/part={p}"))]
+        if not paths:
             return self.spark.createDataFrame([], schema)
+        kinds = T.StructType([f for f in schema.fields if f.name != "repo_name"]).add("part", "string").add("repo_name", "string")
+        rows = self.spark.read.schema(kinds).option("basePath", f"{self.root}/{table}/parts").parquet(*paths)
+        return rows.join(small(live), ["part", "repo_name"], "left_semi").select(*schema.names)
+
+    def clean(self, table: str, keep: int = 2) -> None:
+        """Delete all but the last ``keep`` versions of a table, and parts that none of these has. Readers of older
+        versions fail; so keep as many as there may be runs while one is read."""
+        found = self.versions(table)
+        old, rest = found[: max(0, len(found) - keep)], found[max(0, len(found) - keep) :]
+        if parts := self._names(f"{self.root}/{table}/parts"):
+            used = set()
+            for v in rest:
+                used |= {f"part={r['part']}" for r in self.spark.read.schema(LIVE).parquet(f"{self.root}/{table}/{v}").select("part").distinct().collect()}
+            old = old + [f"parts/{p}" for p in parts if p not in used]
+        for v in old:
+            for path in (f"{self.root}/{table}/_versions/{v}", f"{self.root}/{table}/{v}"):
+                fs, p = self._fs(path)
+                fs.delete(p, True)
 
     def chunks(self) -> DataFrame:
-        return self.read("chunks", STORED)
+        return self.parts("chunks", STORED)
 
-    def write_chunks(self, rows: DataFrame) -> None:
-        self.write("chunks", rows.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields]), "repo_name")
+    def write_chunks(self, rows: DataFrame, repos: DataFrame | None = None) -> None:
+        """Replace the chunks of ``repos``, or of those that ``rows`` has."""
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
+        self.replace("chunks", rows, rows if repos is None else repos)
 
     def manifest(self) -> DataFrame:
-        return self.read("manifest", MANIFEST)
+        """What was indexed; an empty table if its files aren't such a table, so that everything is indexed anew."""
+        found = self.versions("manifest")
+        try:
+            if found and not set(MANIFEST.names) <= set(self.spark.read.parquet(f"{self.root}/manifest/{found[-1]}").columns):
+                found = []
+        except AnalysisException:
+            found = []
+        return self.read("manifest", MANIFEST) if found else self.spark.createDataFrame([], MANIFEST)
 
     def summaries(self) -> DataFrame:
         return self.read("summaries", SUMMARIES)
 
     def structured(self, category: str) -> DataFrame:
-        return self.read(category, CATEGORIES[category])
+        return self.parts(category, CATEGORIES[category])
 
-    def save_structured(self, category: str, rows: DataFrame) -> None:
-        """Replace a category's rows of the repositories that ``rows`` has."""
-        mine = rows.select(*CATEGORIES[category].names)
-        old = self.structured(category)
-        self.write(category, old.join(mine.select("repo_name").distinct(), "repo_name", "left_anti").select(*mine.columns).unionByName(mine), "repo_name")
+    def save_structured(self, category: str, rows: DataFrame, repos: DataFrame | None = None) -> None:
+        """Replace a category's rows of ``repos`` (repo_name), which may have none now; of those that ``rows`` has if no
+        repositories are given."""
+        rows = rows.select(*CATEGORIES[category].names)
+        self.replace(category, rows, rows if repos is None else repos)
 
     def load_structured(self, category: str, repo_name: str) -> DataFrame:
         return self.structured(category).where(F.col("repo_name") == repo_name)
 
     def save_json(self, payloads: DataFrame) -> None:
-        """JSON files of (repo_name, category, payload), a folder a pair."""
-        payloads.write.mode("overwrite").partitionBy("repo_name", "category").text(f"{self.root}/json")
+        """JSON lines of (repo_name, category, payload), a folder a pair; only the pairs that ``payloads`` has are
+        replaced."""
+        rows = payloads.select("payload", "repo_name", "category")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_name", "category").text(f"{self.root}/json")
+
+    def load_json(self) -> DataFrame:
+        """(repo_name, category, payload) of all pairs that were saved."""
+        if not self._names(f"{self.root}/json"):
+            return self.spark.createDataFrame([], PAYLOADS)
+        rows = self.spark.read.schema("value string, repo_name string, category string").text(f"{self.root}/json")
+        return rows.select("repo_name", "category", F.col("value").alias("payload"))
 
 
 def chunk_schema_cast(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestack.operators import chunk, embed, files, incremental
 from lodestack.plans.index import Settings
 from lodestack.schemas import FILES
-from lodestack.sources.tables import Store
+from lodestack.sources.tables import Store, small
 
 
 def follow(spark: SparkSession, source: str, store: Store, checkpoint: str, settings: Settings | None = None) -> StreamingQuery:
@@ -19,7 +19,11 @@ def follow(spark: SparkSession, source: str, store: Store, checkpoint: str, sett
     def take(batch: DataFrame, _: int) -> None:
         rows = embed.embed_chunks(chunk.chunk_files(files.walk_files(batch, s.include, s.exclude), s.max_tokens, s.overlap_tokens), s.embed or embed.hashed_words(s.dim), s.dim)
         store.write("run", rows)
-        store.write_chunks(incremental.upsert(store.chunks(), store.read("run", rows.schema), s.upsert_by))
+        rows = store.read("run", rows.schema)
+        repos = rows.select("repo_name").distinct()
+        store.write_chunks(incremental.upsert(store.chunks().join(small(repos), "repo_name", "left_semi").select(*rows.columns), rows, s.upsert_by), repos)
+        store.clean("run")
+        store.clean("chunks")
 
     stream = spark.readStream.schema(FILES).parquet(source)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import text as X
 from lodestack.operators import detect, embed, extract, files, incremental, search, summary
 from lodestack.plans import index
-from lodestack.schemas import CHUNKS, FILES, MANIFEST
+from lodestack.schemas import CHUNKS, FILES, LIVE, MANIFEST
 from lodestack.sources import tables
 from lodestack.sources.tables import Store
 from lodestack.streaming import follow
@@ -157,3 +157,97 @@ def test_stream(spark, tmp_path):
     corpus(spark).write.mode("append").parquet(source)
     follow.follow(spark, source, store, f"{tmp_path}/cp").awaitTermination()
     assert store.chunks().where("repo_name = 'lar'").count() == n and store.chunks().count() > n
+
+
+def listing(spark, *named):
+    return spark.createDataFrame([(r, f"/w/{r}", p, f"/w/{r}/{p}", len(c), 1.0, c) for r, p, c in named], FILES)
+
+
+def test_typed_rows_of_files_that_are_gone_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    both = [("a", ".env.example", "X=1\n"), ("b", ".env.example", "Y=2\n"), ("a", "go.mod", "m"), ("a", "main.go", 'r.Get("/x", h)\n')]
+    index.index(listing(spark, *both), store)
+    assert sorted((r.repo_name, r.name) for r in store.structured("env").collect()) == [("a", "X"), ("b", "Y")]
+    assert store.summaries().where("name = 'a'").first().endpoints_count == 1
+    index.index(listing(spark, *both[1:3]), store)
+    assert [(r.repo_name, r.name) for r in store.structured("env").collect()] == [("b", "Y")]
+    assert store.load_structured("env", "b").count() == 1 and store.load_structured("env", "a").isEmpty() and store.structured("routes").isEmpty()
+    assert store.summaries().where("name = 'a'").first().endpoints_count == 0
+    index.index(listing(spark, both[2]), store, repos=["a"])  # b isn't scanned and stays
+    assert store.structured("env").count() == 1
+
+
+def test_failed_write_keeps_the_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("/a", "r", 1.0, 2)], MANIFEST)
+    store.write("manifest", rows)
+    with pytest.raises(Exception, match="broken"):
+        store.write("manifest", rows.withColumn("abs_path", F.raise_error(F.lit("broken")).cast("string")))
+    assert [r.abs_path for r in store.manifest().collect()] == ["/a"]
+    store.write("manifest", rows.withColumn("abs_path", F.lit("/b")))
+    store.write("manifest", rows.withColumn("abs_path", F.lit("/c")))
+    store.clean("manifest", keep=1)
+    assert [r.abs_path for r in store.manifest().collect()] == ["/c"] and len(store.versions("manifest")) == 1
+
+
+def test_manifest_that_is_none_reads_as_empty_but_chunks_do_not(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write("manifest", spark.createDataFrame([(1,)], "x int"))
+    assert store.manifest().isEmpty() and store.manifest().columns == MANIFEST.names
+    store.write("summaries", spark.createDataFrame([("a",)], "name string"))
+    assert store.summaries().first().chunk_count is None
+
+
+def test_only_touched_repositories_are_written(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    index.index(listing(spark, ("a", "x.json", "one\n"), ("b", "y.json", "two\n")), store)
+    index.index(listing(spark, ("a", "x.json", "one\n"), ("b", "y.json", "two\n"), ("b", "z.json", "three\n")), store)
+    assert sorted((r.repo_name, r.text) for r in store.chunks().collect()) == [("a", "one\n"), ("b", "three\n"), ("b", "two\n")]
+    live = {r.repo_name: r.part for r in store.read("chunks", LIVE).collect()}
+    assert live["a"] != live["b"]
+    folders = {p.name for p in (tmp_path / "chunks" / "parts" / f"part={live['b']}").iterdir() if p.is_dir()}
+    assert folders == {"repo_name=b"}
+
+
+def test_json_is_replaced_by_pair_and_read_back(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(list(x), "repo_name string, category string, payload string")
+    assert store.load_json().isEmpty()
+    store.save_json(rows(("a", "env", '[{"name":"X","default":"","comment":"c"}]'), ("a", "docker", "[]"), ("b", "env", "[]")))
+    store.save_json(rows(("b", "env", '[{"name":"Y","default":"1","comment":""}]')))
+    assert sorted((r.repo_name, r.category) for r in store.load_json().collect()) == [("a", "docker"), ("a", "env"), ("b", "env")]
+    got = extract.payload_rows(store.load_json().unionByName(rows(("c", "env", "no json"))), "env")
+    assert got.columns == ["repo_name", "name", "default", "comment"] and sorted(map(tuple, got.collect())) == [("a", "X", "", "c"), ("b", "Y", "1", "")]
+
+
+def test_queries_are_embedded(spark):
+    q = spark.createDataFrame([(1, "a b"), (2, "c")], "query_id int, text string")
+    got = {r.query_id: r.vector for r in embed.embed_query(q, embed.hashed_words(8), 8).collect()}
+    assert set(got) == {1, 2} and all(len(v) == 8 for v in got.values())
+    with pytest.raises(Exception, match="empty"):
+        embed.embed_query(q.withColumn("text", F.lit(" ")), embed.hashed_words(8), 8).collect()
+    with pytest.raises(Exception, match="chunk 1 has"):
+        embed.with_checked(spark.createDataFrame([("z", 1, [0.5])], "other string, id int, vector array<float>"), 2).collect()
+    assert tables.with_workspace(q, "/w").first().workspace == tables.with_workspace(q, "/w").collect()[1].workspace
+
+
+def test_nearest_with_nulls_and_equal_ids(spark):
+    rows = spark.createDataFrame([("a", [0.0]), ("b", None), ("c", [5.0])], "id string, vector array<float>")
+    q = spark.createDataFrame([(1, [1.0]), (1, [4.0]), (2, None)], "query_id int, vector array<float>")
+    got = sorted((r.query_id, r.id, r.distance, r["rank"]) for r in search.nearest_each(rows, q, 1).collect())
+    assert got == [(1, "a", 1.0, 1), (1, "c", 1.0, 1)]
+    assert [r.id for r in search.nearest(rows, [9.0], 3).collect()] == ["c", "a"]
+
+
+def test_routes_of_files_listed_twice_count_once(spark):
+    go = listing(spark, ("a", "main.go", 'r.Get("/x", h)\n'), ("a", "routes/api.php", "Route::get('/y', C@x);\n"))
+    twice = go.union(go)
+    assert extract.routes_go(twice).count() == 1 and extract.routes_laravel(twice).count() == 1
+
+
+def test_extractors_can_be_added(spark):
+    notes = extract.Extractor("notes", lambda files: files.select("repo_name", F.length("content").alias("n")), lambda p: p.endswith(".note"), ("go",))
+    files_ = listing(spark, ("a", "x.note", "abc"), ("b", "x.note", "abcd"), ("a", "go.mod", ""))
+    found = extract.extract_structured(files_, detect.profiles(files_), [*extract.EXTRACTORS, notes])
+    assert set(found) == {"routes", "migrations", "env", "docker", "notes"} and [tuple(r) for r in found["notes"].collect()] == [("a", 3)]
+    assert extract.extractable(files_, [notes]).count() == 2
