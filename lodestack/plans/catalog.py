@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from lodestack.functions import packing
 from lodestack.functions import text as X
 from lodestack.operators import chunk, detect, embed, extract, files, incremental, search, summary
+from lodestack.plans import index
+from lodestack.schemas import FILES
+from lodestack.sources.shared import new_path
+from lodestack.sources.tables import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,8 +83,9 @@ from documents d join embeddings e on e.vec_id = d.doc_id""")
 def attached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the vector of their id; lengths are checked."""
     v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("vector"))
-    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(v.select("id"), "id", "left_semi")
-    both = embed.with_checked(embed.attach(d, v), 64)
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    known = d.join(v.select("id"), "id", "left_semi")
+    both = embed.with_checked(embed.attach(known, v), 64)
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return both.select("id", F.size("vector").cast("long").alias("dim"), F.round(norm, 4).alias("norm"))
 
@@ -289,8 +294,8 @@ t as (select page_id, instr(html, '<style') - 1 b, regexp_extract(html, '(?s)<st
 select page_id, 'script' chunk_type, b "begin", b + length(x) "end" from s where x <> '' union all select page_id, 'style', b, b + length(x) from t where x <> ''""")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """script and style blocks of pages, as of Vue files."""
-    p = _t(spark, sf_dir, "pages").select("page_id", F.explode(chunk.vue_spans(F.col("html"), 512)).alias("s"))
-    return p.select("page_id", "s.chunk_type", F.col("s.begin").cast("long").alias("begin"), F.col("s.end").cast("long").alias("end"))
+    p = _t(spark, sf_dir, "pages").select("page_id", F.explode(F.expr(chunk.vue_spans("html", 512))).alias("s"))
+    return p.select("page_id", "s.chunk_type", F.col("s.begin").cast("long").alias("begin"), (F.col("s.begin") + F.length("s.text")).cast("long").alias("end"))
 
 
 def _sources(df: DataFrame, name: Column, path: Column, content: Column) -> DataFrame:
@@ -352,6 +357,34 @@ def compose_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _symbols(chunk.chunk_files(_parts(spark, sf_dir, "/docker-compose.yml", "version: 3\nservices:\n  app{key}:\n    image: x\n  db{size}:\n    image: y\nother: z\n")))
 
 
+@query("""
+select 'parts:p' || p_partkey || '/a.php:' || l id, 'method' chunk_type, 'C' || p_partkey || '.' || s symbol_name, l start_line, e end_line from (
+ select p_partkey, unnest([3, 7]) l, unnest(['one', 'two']) s, unnest([6, 9]) e from part)
+union all select 'parts:p' || p_partkey || '/b.php:' || l, 'text', null, l, e from (select p_partkey, unnest([1, 5]) l, unnest([11, 14]) e from part)""")
+def php_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods of classes over budget, and line windows of such classes without methods."""
+    a = _parts(spark, sf_dir, "/a.php", "<?php\nclass C{key} {\n\n  public static function one() {\n    return 'a text of some length';\n  }\n  function two($x) {\n    return 'another text of some length';\n  }}\n")
+    b = _parts(spark, sf_dir, "/b.php", "class D{key} {\n" + "  const N = 'some text of thirty five';\n" * 12 + "}\n")
+    both = chunk.chunk_files(a, 30).unionByName(chunk.chunk_files(b, 110))
+    return _symbols(both)
+
+
+@query(f"""
+select 'parts:p' || p_partkey || '/a.vue:' || l id, t chunk_type, t symbol_name, l start_line, e end_line from (
+ select p_partkey, unnest([1, 4, 5, 13]) l, unnest(['template', 'script', 'script', 'script']) t, unnest([3, 12, 12, 14]) e from part)""")
+def vue_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of Vue files, of which one is over budget and cut to line windows."""
+    return _symbols(chunk.chunk_files(_parts(spark, sf_dir, "/a.vue", "<template>\n  {key}\n</template>\n<script>\n" + "  const n = 'some text of thirty-odd'\n" * 9 + "</script>\n"), 80))
+
+
+@query(f"""
+select 'parts:p' || p_partkey || '/a.yml:' || l id, 'config' chunk_type, s symbol_name, l start_line, e end_line from (
+ select p_partkey, unnest([2, 4, 5]) l, unnest(['size_' || p_size, 'services', 'k.' || {_NAME}]) s, unnest([3, 4, 6]) e from part)""")
+def yaml_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level keys of plain YAML files."""
+    return _symbols(chunk.chunk_files(_parts(spark, sf_dir, "/a.yml", "# front\nsize_{size}: 1\n  deep: 2\nservices: []\nk.{name} : x\n  - y\n")))
+
+
 # --- extraction: text from rows, parsed back -------------------------------------------------------------------------
 
 
@@ -417,10 +450,152 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.lookup(out.withColumn("category", F.col("category")), "env", "c1").select("repo_name", "payload").union(out.where("repo_name <> 'c1'").select("repo_name", "payload"))
 
 
+# --- JSON, whole index runs, search in what they store ----------------------------------------------------------------
+
+
+@query("""select 'c' || c_custkey repo_name, 'NAME' as name, split_part(c_name, '#', 1) as "default", split_part(c_name, '#', 2) as comment from customer""")
+def payloads_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of each customer's repository, saved as JSON in two goes, the second over a third of the first, and read."""
+    c = _t(spark, sf_dir, "customer")
+    name = F.concat(F.lit("c"), F.col("c_custkey"))
+    old = _sources(c, name, F.lit(".env.example"), F.when(F.col("c_custkey") % 3 == 0, "OLD=1").otherwise(F.concat(F.lit("NAME="), "c_name")))
+    new = _sources(c.where("c_custkey % 3 = 0"), name, F.lit(".env.example"), F.concat(F.lit("NAME="), "c_name"))
+    store = Store(spark, new_path(spark, "json"))
+    for f in (old, new):
+        store.save_json(extract.payloads({"env": extract.env_vars(f)}, f.select(F.col("repo_name").alias("name")).distinct()))
+    return extract.payload_rows(store.load_json(), "env")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of its source (no source: ``none``), and a settings file for each source."""
+    d = _t(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("none")))
+    name, root = F.col("source"), F.concat(F.lit("/w/"), F.col("source"))
+    texts = d.select(name.alias("repo_name"), root.alias("repo_root"), F.concat(F.lit("d/"), "doc_id", F.lit(".json")).alias("path"), F.octet_length("text").cast("long").alias("size"), F.col("doc_id").cast("double").alias("mtime"), F.col("text").alias("content"))
+    counts = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    content = F.format_string("COUNT=%d # of %s\n", "n", "source")
+    env = counts.select(name.alias("repo_name"), root.alias("repo_root"), F.lit(".env.example").alias("path"), F.length(content).cast("long").alias("size"), F.lit(1.0).alias("mtime"), content.alias("content"))
+    files = texts.where("content is not null").unionByName(env)
+    return files.withColumn("abs_path", F.concat("repo_root", F.lit("/"), "path")).select(*FILES.names)
+
+
+def _stored(store: Store, stats: DataFrame) -> DataFrame:
+    """(kind, key, value): chunks, manifest, settings and summaries of a store, and a run's statistics."""
+    row = lambda df, kind, key, value: df.select(F.lit(kind).alias("kind"), key.alias("key"), value.cast("string").alias("value"))
+    return (
+        row(store.chunks(), "chunk", F.col("id"), F.length("text"))
+        .union(row(store.manifest(), "file", F.col("abs_path"), F.concat_ws(" ", F.col("mtime").cast("long"), "chunk_count")))
+        .union(row(store.structured("env"), "env", F.col("repo_name"), F.concat_ws(" ", "name", "default", "comment")))
+        .union(row(store.summaries(), "repo", F.col("name"), F.concat_ws(" ", "stack", "chunk_count", F.map_contains_key("key_files", F.lit("env")).cast("string"))))
+        .union(row(stats, "run", F.coalesce("repo_name", F.lit("all")), F.concat_ws(" ", "files_processed", "chunks_created")))
+    )
+
+
+def _windows_sql(name: str, files: str) -> str:
+    """CTEs of all chunks (id, abs_path, repo_name, n characters) of files (repo_name, path, text): line windows of 512
+    tokens that share 64, and lines over that cut every 2,048 characters."""
+    return f"""
+{name}_l as (select repo_name, path, unnest(lines) line, generate_subscripts(lines, 1) n from (select repo_name, path, list_filter(regexp_extract_all(text, '[^\\n]*\\n?'), lambda x: x <> '') lines from {files})),
+{name}_p as (select repo_name, path, list(t order by n) t, list(c order by n) c from (select repo_name, path, n, sum(greatest(length(line) // 4, 1)) over w t, sum(length(line)) over w c from {name}_l window w as (partition by repo_name, path order by n)) group by all),
+{name}_c as (select repo_name, path, t, c, 0 a, greatest(1, len(list_filter(t, lambda x: x <= 512))) b from {name}_p
+ union all
+ select repo_name, path, t, c, x, greatest(x + 1, len(list_filter(t, lambda y: y <= (case when x = 0 then 0 else t[x] end) + 512))) from (
+  select repo_name, path, t, c, case when k > a then k else b end x from (select repo_name, path, t, c, a, b, least(len(list_filter(t, lambda y: y <= t[b] - 64)), b - 1) k from {name}_c where b < len(t)))),
+{name}_w as (select repo_name, path, a, b, c[b] - case when a = 0 then 0 else c[a] end n from {name}_c),
+{name} as (select repo_name || ':' || path || ':' || (a + 1) || case when i > 0 then '#part' || i else '' end id, '/w/' || repo_name || '/' || path abs_path, repo_name, least(n - i * 2048, case when k > 1 then 2048 else n end)::bigint n
+ from (select *, unnest(range(k::bigint)) i from (select *, case when b = a + 1 and n // 4 > 512 then (n + 2047) // 2048 else 1 end k from {name}_w)))"""
+
+
+_CORPUS_SQL = """
+docs as (select coalesce(source, 'none') repo_name, 'd/' || doc_id || '.json' path, doc_id mtime, text, doc_id from documents where text is not null),
+env as (select coalesce(source, 'none') repo_name, '.env.example' path, 1 mtime, 'COUNT=' || count(*) || ' # of ' || coalesce(source, 'none') || chr(10) as text, -1 doc_id from documents group by source),
+files as (select * from docs union all select * from env),
+fits as (select * from files where strlen(text) <= 1048576)"""
+
+
+def _stored_sql(chunks: str, files: str, env: str, counts: str, run: str) -> str:
+    return f"""
+select 'chunk' kind, id as key, n::varchar as value from {chunks}
+union all select 'file', '/w/' || repo_name || '/' || path, mtime || ' ' || chunk_count from {files}
+union all select 'env', repo_name, 'COUNT ' || split_part(split_part(text, '=', 2), ' ', 1) || ' of ' || repo_name from {env}
+union all select 'repo', repo_name, 'unknown ' || chunk_count || ' ' || has from {counts}
+union all select 'run', coalesce(repo_name, 'all'), count(*) || ' ' || coalesce(sum(chunk_count), 0)::bigint from {run} group by rollup (repo_name)"""
+
+
+_FIRST_SQL = f"""with recursive {_CORPUS_SQL},
+{_windows_sql("one", "fits")},
+done as (select repo_name, path, mtime, coalesce(k, 0) chunk_count from fits left join (select abs_path, count(*) k from one group by 1) on abs_path = '/w/' || repo_name || '/' || path),
+sums as (select repo_name, sum(chunk_count)::bigint chunk_count, true has from done group by 1)"""
+
+
+@query(_FIRST_SQL + _stored_sql("one", "done", "env", "sums", "done"))
+def index_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a first run over all documents stores, and its statistics."""
+    store = Store(spark, new_path(spark, "index"))
+    stats = index.index(_corpus(spark, sf_dir), store, full=True)
+    return _stored(store, stats)
+
+
+@query(_FIRST_SQL + ", none as (select * from done where false)" + _stored_sql("one", "done", "env", "sums", "none").replace("rollup (repo_name)", "repo_name"))
+def index_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored after a second run over the same documents, which takes in nothing."""
+    store = Store(spark, new_path(spark, "index"))
+    index.index(_corpus(spark, sf_dir), store)
+    return _stored(store, index.index(_corpus(spark, sf_dir), store))
+
+
+@query(f"""{_FIRST_SQL},
+kept as (select * from docs where doc_id % 11 <> 0 union all select * from env where repo_name <> 'src1'),
+edited as (select repo_name, path, mtime + 1 mtime, 'edited ' || text as text, doc_id from kept where doc_id % 7 = 0),
+fresh as (select * from edited where strlen(text) <= 1048576),
+{_windows_sql("two", "fresh")},
+redone as (select repo_name, path, mtime, coalesce(k, 0) chunk_count from fresh left join (select abs_path, count(*) k from two group by 1) on abs_path = '/w/' || repo_name || '/' || path),
+held as (select repo_name, path, mtime, chunk_count from redone
+ union all select d.repo_name, d.path, d.mtime, d.chunk_count from done d join kept f on d.repo_name = f.repo_name and d.path = f.path where f.doc_id % 7 <> 0),
+joined as (select id, n from one where id not in (select id from two) union all select id, n from two),
+left_env as (select * from env where repo_name <> 'src1'),
+tally as (select s.repo_name, case when coalesce(x, 0) > 0 then h.n else s.chunk_count end chunk_count, s.repo_name <> 'src1' has
+ from sums s left join (select repo_name, sum(chunk_count)::bigint n from held group by 1) h using (repo_name) left join (select repo_name, sum(chunk_count) x from redone group by 1) using (repo_name))
+{_stored_sql("joined", "held", "left_env", "tally", "redone")}""")
+def index_after_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored after a second run, for which a tenth of the files and one source's settings are gone and a seventh
+    has other text: chunks of files that are gone stay, as do those whose id no new chunk has."""
+    first = _corpus(spark, sf_dir)
+    store = Store(spark, new_path(spark, "index"))
+    index.index(first, store)
+    doc = F.regexp_extract("path", r"\Ad/(\d+)", 1).try_cast("long")
+    kept = first.where(F.when(doc.isNotNull(), doc % 11 != 0).otherwise(F.col("repo_name") != "src1"))
+    edit = F.coalesce(doc % 7 == 0, F.lit(False))
+    text = F.when(edit, F.concat(F.lit("edited "), "content")).otherwise(F.col("content"))
+    kept = kept.withColumns({"mtime": F.col("mtime") + F.when(edit, 1.0).otherwise(0.0), "content": text, "size": F.octet_length(text).cast("long")})
+    return _stored(store, index.index(kept, store))
+
+
+@query("""
+select '/w/' || source || '/' || doc_id file_path, source repo_name, score, rank, '[' || rank || '] score: ' || printf('%.3f', score) head from (
+ select *, round(1 / (1 + d), 6) score, row_number() over (order by d, doc_id) rank from (
+  select doc_id, source, lang, list_sum(list_transform(list_zip(e.embedding::double[], q.embedding::double[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) d
+  from documents join embeddings e on e.vec_id = doc_id, (select embedding from embeddings where vec_id = 1) q where lang in ('en', 'fr') and source is not null) order by d, doc_id limit 10)""")
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered hits among stored chunks of two languages: a chunk for each document that has a vector."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = _t(spark, sf_dir, "documents").where("source is not null").join(e, "doc_id")
+    line = F.lit(1)
+    rows = d.select(
+        F.format_string("%012d", "doc_id").alias("id"), "text", F.col("source").alias("repo_name"), F.col("doc_id").cast("string").alias("file_path"), F.concat(F.lit("/w/"), "source", F.lit("/"), "doc_id").alias("abs_file_path"), line.alias("start_line"),
+        line.alias("end_line"), F.col("lang").alias("language"), F.lit("text").alias("chunk_type"), F.lit(None).alias("symbol_name"), F.lit(0.0).alias("file_mtime"), F.col("embedding").alias("vector"),
+    )
+    store = Store(spark, new_path(spark, "hits"))
+    store.write_chunks(rows)
+    q = [float(x) for x in e.where("doc_id = 1").first()["embedding"]]
+    found = search.search(store.chunks(), q, languages=["en", "fr"], limit=10)
+    return found.select("file_path", "repo_name", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), F.substring_index(search.rendered(found), "\n", 1).alias("head"))
+
+
 @query()
 def embedded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all document files, embedded by hashed words, and the ten nearest to the first document's text."""
-    chunks = chunk.chunk_files(_files(spark, sf_dir), 512, 64)
-    stored = embed.embed_chunks(chunks, embed.hashed_words(64), 64)
+    """Chunks of all document files, embedded by hashed words and stored, and the ten nearest to the first document's
+    text."""
+    store = Store(spark, new_path(spark, "search"))
+    store.write_chunks(embed.embed_chunks(chunk.chunk_files(_files(spark, sf_dir), 512, 64), embed.hashed_words(64), 64))
     text = _t(spark, sf_dir, "documents").where("text is not null").orderBy("doc_id").first()["text"]
-    return search.search(stored, embed.hashed_words(64)([text])[0], limit=10)
+    return search.search(store.chunks(), embed.hashed_words(64)([text])[0], limit=10)
