@@ -13,21 +13,25 @@ similarity. Texts that agree in a sketch share a bucket.
   stays in the band that this similarity allows. First each text is aligned with the partner it shares most sketches
   with; of the remaining candidates those between different classes follow.
 * Members of one bucket that are still in different classes may resemble each other and no centre (texts that share a
-  long passage): their candidates are found exactly, by common shingles (``_missed``).
+  long passage). They are put in order of their sketches, from each sketch on in turn, and aligned with the next texts of
+  other classes (``_neighbours``). What may be left then is found exactly, by common shingles (``_missed``): nothing is
+  lost in a bucket, whatever its size.
 * Classes are connected components of links and equal texts.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bound_batches, settle
+from .store import bound_batches, discard, settle
 from .textkit import ALNUM, LOWER, Words, grouped_min, mix, runs, slices, windows
 
 SHINGLE, SIMILARITY, SKETCHES, LENGTH = 5, 0.8, 16, 2
@@ -166,7 +170,7 @@ def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _aligned_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b) of those pairs whose texts align with ``least`` similarity or more."""
+    """(a, b) of those pairs whose texts align with ``least`` similarity or more, written out."""
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").toDF("n", "d"), "neardup-wanted")
     held = _shingled(docs, wanted)
     both = pairs.select("a", "b").join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
@@ -177,11 +181,14 @@ def _aligned_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least: f
             ok = [aligned(np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64), least) > 0 for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(verify, "a binary, b binary")
+    links = settle(both.mapInArrow(verify, "a binary, b binary").distinct(), "neardup-links")
+    discard(held)
+    discard(wanted)
+    return links
 
 
 def _open(distinct: DataFrame, label: DataFrame) -> DataFrame:
-    """(node, doc_id, size, c) of the members of buckets that hold several classes and pairs that no centre is in.
+    """(node, doc_id, size, values, c) of the members of buckets that hold several classes and pairs that no centre is in.
 
     c: the member's class.
     """
@@ -189,7 +196,33 @@ def _open(distinct: DataFrame, label: DataFrame) -> DataFrame:
     rows = held.select("node", "c", F.posexplode("values").alias("i", "value"))
     mixed = rows.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 3 and lo < hi")
     members = rows.join(mixed.select("i", "value"), ["i", "value"], "left_semi").select("node").distinct()
-    return settle(held.select("node", "doc_id", "size", "c").join(members, "node", "left_semi"), "neardup-open")
+    return settle(held.select("node", "doc_id", "size", "values", "c").join(members, "node", "left_semi"), "neardup-open")
+
+
+def _neighbours(members: DataFrame, least: float, near: int = 2) -> DataFrame:
+    """(a, b) of texts of different classes that agree in a sketch and stand at most ``near`` places apart when all are in
+    order of that sketch and then the others, from the next one on. Range partitions split buckets of any size; pairs
+    over the edge of two partitions are not found here."""
+    n = F.size("values")
+    turned = F.concat(F.slice("values", F.col("r") + 1, n), F.slice("values", F.lit(1), F.col("r")))
+    rows = members.withColumn("r", F.explode(F.sequence(F.lit(0), n - 1))).select("r", turned.alias("key"), "node", "size", "c")
+    rows = rows.repartitionByRange("r", "key", "node").sortWithinPartitions("r", "key", "node").select("r", F.get("key", F.lit(0)).alias("v"), "node", "size", "c")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            r, v, c, size = (rows.column(x).to_numpy() for x in ("r", "v", "c", "size"))
+            node, old = rows.column("node").combine_chunks(), 0 if last is None else last.num_rows
+            for w in range(1, near + 1):
+                b = np.arange(max(w, old), len(r))
+                a = b - w
+                ok = (r[a] == r[b]) & (v[a] == v[b]) & (c[a] != c[b]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]))
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(a[ok])), node.take(pa.array(b[ok]))], ["a", "b"])
+            last = rows.slice(max(0, len(r) - near)).combine_chunks().to_batches()[0] if len(r) else last
+
+    pairs = rows.mapInArrow(run, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _missed(nodes: DataFrame, docs: DataFrame, least: float, common: int | None = None) -> DataFrame:
@@ -197,10 +230,10 @@ def _missed(nodes: DataFrame, docs: DataFrame, least: float, common: int | None
 
     Similar texts have ``least`` of each one's shingles in common. So of a text's shingles that texts of other classes
     have too, rarest first, one of the first k - ``least`` * size + 1 of k is in the first ones of both; a text with less
-    than ``least`` of such shingles has no partner. Texts with a common shingle of at most ``common`` (``COMMON``) texts are paired.
-    Similar texts without one share common shingles only: then those with the same sequence of common shingles and the
-    smallest size is as near to either, and each text is paired with it alone, for its own sequence and for
-    every one that has a first shingle with it.
+    than ``least`` of such shingles has no partner. Texts with a common shingle of at most ``common`` (``COMMON``) texts
+    are paired. Similar texts without one share common shingles only: then those with the same sequence of common
+    shingles and the smallest size is as near to either, and each text is paired with it alone, for its own sequence and
+    for every one that ``_meeting`` finds for it.
     """
     common = COMMON if common is None else common
     held = _shingled(docs, nodes.select(F.col("node").alias("n"), F.col("doc_id").alias("d")))
@@ -209,31 +242,70 @@ def _missed(nodes: DataFrame, docs: DataFrame, least: float, common: int | None
         for part in slices(batches, "s"):
             values = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("s")]
             of = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
-            at = np.concatenate([np.arange(len(v), dtype=np.int32) for v in values])
-            yield pa.RecordBatch.from_arrays([part.column(c).take(of) for c in ("node", "size", "c")] + [pa.array(np.concatenate(values)), pa.array(at)], ["node", "size", "c", "s", "at"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), pa.array(np.concatenate(values))], [part.schema.names[0], "s"])
 
-    flat = held.join(nodes.select("node", "size", "c"), "node").mapInArrow(single, "node binary, size int, c bigint, s bigint, at int")
-    seen = flat.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    seen = held.join(nodes.select("node", "c"), "node").select("c", "s").mapInArrow(single, "c bigint, s bigint")
+    seen = seen.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     seen = settle(seen.select("s", "n"), "neardup-seen")
+    shared = held.select("node", "s").mapInArrow(single, "node binary, s bigint").join(seen, "s").groupBy("node").agg(F.collect_list("s").alias("xs"), F.collect_list("n").alias("ns"))
     need = F.ceil(F.col("size") * least - 1e-9).cast("int")
-    texts = flat.join(seen, "s").groupBy("node", "size", "c").agg(F.sort_array(F.collect_list(F.struct("n", "s", "at"))).alias("x")).withColumn("k", F.size("x"))
-    texts = texts.where(F.col("k") >= need).withColumn("hot", F.filter("x", lambda e: e.n > common))
-    texts = texts.withColumn("g", F.xxhash64(F.transform(F.array_sort(F.transform("hot", lambda e: F.struct(e["at"].alias("at"), e["s"].alias("s")))), lambda e: e["s"])))
-    first = lambda x: F.transform(F.slice(x, 1, F.greatest(F.size(x) - need + 1, F.lit(0))), lambda e: F.struct(e["n"].alias("n"), e["s"].alias("s")))
-    texts = settle(texts.select("node", "size", "c", "k", F.size("hot").alias("h"), "g", first(F.col("x")).alias("first"), first(F.col("hot")).alias("hot")), "neardup-texts")
-    enough = lambda k, kb: F.least(k, kb) >= least / (1 + least) * (F.col("size") + F.col("size_b")) - 1e-9
-    rare = texts.select("node", "size", "c", "k", F.explode("first").alias("e")).where(F.col("e.n") <= common).select("node", "size", "c", "k", F.col("e.s").alias("s"))
-    near = rare.join(rare.toDF("node_b", "size_b", "c_b", "k_b", "s"), "s").where((F.col("c") != F.col("c_b")) & (F.col("node") < F.col("node_b")) & enough("k", "k_b"))
-    hot = texts.where(F.size("hot") > 0)
-    groups = hot.groupBy("g").agg(F.min(F.struct("size", "node", "c", "h", "hot")).alias("r"))
-    groups = settle(groups.select("g", "r.*"), "neardup-groups")
-    keys = groups.select("g", F.explode("hot.s").alias("s"))
-    meet = keys.join(keys.toDF("g_b", "s"), "s").select("g", "g_b").distinct()
-    ends = meet.join(groups.select(F.col("g").alias("g_b"), F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"), F.col("h").alias("h_b")), "g_b")
-    same = hot.select("node", "size", "c", "h", "g").join(ends, "g").where((F.col("c") != F.col("c_b")) & enough("h", "h_b"))
+    texts = shared.join(nodes.select("node", "size", "c", need.alias("need")), "node").where(F.size("xs") >= F.col("need")).join(held, "node")
+    names = ["node", "size", "c", "k", "h", "g", "first", "hot"]
+
+    def ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "s"):
+            rows = []
+            for x, n, s, need in zip(*(part.column(c) for c in ("xs", "ns", "s")), part.column("need").to_pylist(), strict=True):
+                x, n = x.values.to_numpy(), n.values.to_numpy()
+                x, n = x[order := np.lexsort((x, n))], n[order]
+                head, hot = x[: len(x) - need + 1], x[n > common]
+                in_text = np.frombuffer(s.as_buffer(), np.int64)
+                rows.append((len(x), len(hot), md5(in_text[np.isin(in_text, hot)].tobytes()).digest(), head[n[: len(head)] <= common], hot[: max(0, len(hot) - need + 1)]))
+            k, h, g, first, hot = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), pa.array(k, pa.int32()), pa.array(h, pa.int32()), pa.array(g, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], names)
+
+    texts = settle(texts.mapInArrow(ranked, "node binary, size int, c bigint, k int, h int, g binary, first array<bigint>, hot array<bigint>"), "neardup-texts")
+    discard(held)
+    discard(seen)
+    rare = texts.select("node", "size", "c", "k", F.explode("first").alias("s"))
+    enough = F.least("k", "k_b") >= least / (1 + least) * (F.col("size") + F.col("size_b")) - 1e-9
+    near = rare.alias("x").join(rare.toDF("node_b", "size_b", "c_b", "k_b", "s").alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("c") != F.col("c_b")) & (F.col("node") < F.col("node_b")) & enough)
+    hot = texts.where(F.size("hot") > 0).select("node", "size", "c", "h", "g", "hot")
+    groups = hot.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("size", "node", "c", "h", "hot")).alias("r"))
+    groups = settle(groups.select("g", "lo", "hi", "r.*"), "neardup-groups")
+    ends = groups.select(F.col("g").alias("g_b"), F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"), F.col("h").alias("h_b"))
+    ends = _meeting(groups, least).join(ends, "g_b")
+    close = F.least("h", "h_b") >= least / (1 + least) * (F.col("size") + F.col("size_b")) - 1e-9
+    same = hot.alias("x").join(ends.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("c") != F.col("c_b")) & close)
     return near.select("node", "node_b").union(same.select("node", "node_b")).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 
+def _meeting(groups: DataFrame, least: float) -> DataFrame:
+    """(g, g_b) of groups of different classes whose smallest texts may be similar by common shingles, either way round,
+    and of each group of several classes with itself.
+
+    Such a pair, b the smaller one, has t = part * (size + size_b) shingles in common, part being ``least`` /
+    (1 + ``least``). So one of b's first h_b - 2 * part * size_b + 1 is among a's first h - t + 1: a looks for
+    it by shingle and by steps of size that its own h allows.
+    """
+    part, step = least / (1 + least), math.log(1.03)
+    up = lambda x: F.ceil(x - 1e-9).cast("int")
+    level = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double")) / step).cast("int")
+    head = lambda t: F.slice("hot", F.lit(1), F.greatest(F.col("h") - t + 1, F.lit(0)))
+    mine = ["g", "lo", "hi", "size", "h"]
+    small = groups.select(*mine, level(F.col("size")).alias("level"), F.explode(head(up(2 * part * F.col("size")))).alias("s"))
+    low, high = up(F.col("size") * least), F.least("size", F.floor(F.col("h") / part + 1e-9).cast("int") - F.col("size"))
+    large = groups.where(low <= high).select(*mine, "hot", F.explode(F.sequence(level(low), level(high))).alias("level"))
+    large = large.select(*mine, "level", F.explode(head(up(part * (F.col("size") + F.floor(F.exp(F.col("level") * step)))))).alias("s"))
+    other = small.toDF("g_b", "lo_b", "hi_b", "size_b", "h_b", "level_b", "s_b")
+    mixed = ~((F.col("lo") == F.col("hi")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo") == F.col("lo_b")))
+    close = F.least("h", "h_b") >= part * (F.col("size") + F.col("size_b")) - 1e-9
+    meet = large.join(other, (F.col("s") == F.col("s_b")) & (F.col("level") == F.col("level_b")) & mixed & close & (F.col("g") != F.col("g_b"))).select("g", "g_b").distinct()
+    meet = settle(meet, "neardup-meet")
+    own = groups.where("lo < hi").select("g", F.col("g").alias("g_b"))
+    return meet.union(meet.select("g_b", "g")).union(own).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each link's connected component, by label propagation with shortcuts.
 
@@ -253,6 +325,17 @@ def components(links: DataFrame) -> DataFrame:
         state = new.select("node", "label")
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after more links: only the labels that these join are looked at."""
+    named = links.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
+    named = settle(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct(), "components-links")
+    if named.isEmpty():
+        return label
+    now = components(named).toDF("l", "to")
+    old = label.join(now, F.col("label") == F.col("l"), "left").select("node", F.coalesce("to", "label").alias("label"))
+    return settle(old.union(now.join(label, now.l == label.node, "left_anti")), "components-merged")
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, length: int = LENGTH) -> DataFrame:
     """(doc_id, node, class_id) of every document row; class_id is the smallest doc_id of its class.
 
@@ -272,25 +355,22 @@ def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES
     ends = pairs.select(F.col("a").alias("node"), F.struct(F.col("shared"), F.col("b").alias("other")).alias("p")).union(pairs.select("b", F.struct("shared", "a")))
     best = ends.groupBy("node").agg(F.max("p").alias("p"))
     best = settle(best.select(F.least("node", "p.other").alias("a"), F.greatest("node", "p.other").alias("b")).distinct(), "neardup-best")
-    links = settle(_aligned_pairs(best, docs, nodes, least).distinct(), "neardup-links")
-    label = components(links)
-    # Second round: what else could join two classes.
+    label = components(_aligned_pairs(best, docs, nodes, least))
+    # Second round: what else could join two classes, by a centre or by neighbours in a bucket.
     rest = pairs.join(best, ["a", "b"], "left_anti").join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
-    rest = settle(rest.where(~(F.coalesce("la", "a") == F.coalesce("lb", "b"))).select("a", "b"), "neardup-rest")
-    more = settle(_aligned_pairs(rest, docs, nodes, least).distinct(), "neardup-links")
-    if not more.isEmpty():
-        links = links.union(more)
-        label = components(links)
-    # Third round: pairs of one bucket without a centre.
+    rest = rest.where(~(F.coalesce("la", "a") == F.coalesce("lb", "b"))).select("a", "b")
+    left = _open(distinct, label)
+    rest = settle(rest.union(_neighbours(left, least).join(pairs, ["a", "b"], "left_anti")), "neardup-rest")
+    label = merged(label, _aligned_pairs(rest, docs, nodes, least))
+    # Third round: all the others.
     left = _open(distinct, label)
     if not left.isEmpty():
-        missed = settle(_missed(left, docs, least).join(pairs, ["a", "b"], "left_anti"), "neardup-missed")
-        more = settle(_aligned_pairs(missed, docs, nodes, least).distinct(), "neardup-links")
-        if not more.isEmpty():
-            label = components(links.union(more))
+        found = settle(_missed(left, docs, least).join(pairs.select("a", "b").union(rest), ["a", "b"], "left_anti"), "neardup-missed")
+        label = merged(label, _aligned_pairs(found, docs, nodes, least))
     low = label.join(nodes, "node").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     linked = label.join(low, "label").select("node", "class_id")  # most texts are in no link
     named = nodes.join(linked, "node", "left").select(F.col("node").alias("n"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = settle(named, "neardup-named")  # so that Spark can split the rows of one text in the join
     return ids.join(named, ids.node == named.n, "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
@@ -302,10 +382,11 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with all its columns; null texts all stay.
 
-    Of several rows with that id, one with the smallest text digest stays, whichever of equal rows that is.
+    Of several rows with that id, one with the smallest text digest stays, whichever of equal rows that is. Text is moved
+    once: rows are thinned to one for each id and text where they are read, and meet the chosen ones where that puts them.
     """
     found = settle(classes(docs, **how).where("node is not null"), "neardup-classes")
-    chosen = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.node").alias("__node"))
-    marked = docs.withColumn("__digest", _digest())
-    kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__node")))
-    return kept.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns).unionByName(docs.where("text is null"))
+    key = lambda doc_id, node: F.concat(F.hex(node), F.coalesce(F.concat(F.lit("-"), doc_id.cast("string")), F.lit("")))
+    chosen = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x")).select(key(F.col("x.doc_id"), F.col("x.node")).alias("__key"))
+    one = docs.where("text is not null").withColumn("__key", key(F.col("doc_id"), _digest())).dropDuplicates(["__key"])
+    return one.join(chosen, "__key", "left_semi").select(*docs.columns).unionByName(docs.where("text is null"))
