@@ -8,18 +8,23 @@ every document's followed by the end id, cut into chunks of ``CHUNK`` ids (the l
 * planes: its ids transposed into planes, each compressed with zstandard - four byte planes (plane k has byte k of
   every id, little end first) or 32 bit planes (plane k has bit k of every id, packed);
 * crc32 of its ids as little-endian unsigned 32-bit integers, checked by the reader;
-* doc_ids, doc_begins, doc_lengths: the documents that begin in it (place in the shard, ids with the end id).
+* doc_ids, doc_begins, doc_lengths: the documents that begin in it (place in the shard, ids with the end id);
+* continues: where the document began that runs into it, null if none does.
 
 The chunk index is a second, small table of the set: everything but planes and documents, with each chunk's global first
-token, so that a reader finds any range of ids without touching other chunks.
+token, by which ``read_range`` finds any range of ids without touching other chunks. Chunks are decoded where they lie;
+only documents that run over several of them are moved, to be put together.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +41,13 @@ CHUNK = 1 << 16
 END_ID = 2
 #: Text bytes that a shard holds, about.
 SHARD_BYTES = 24 << 20
+#: Most shards whose starts are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Distinct pieces of a generation whose ids a worker remembers.
 REMEMBERED = 300_000
 
 CHUNK_SCHEMA = (
-    "shard int, chunk int, n_tokens bigint, first_token bigint, bytes bigint, crc32 bigint, planes array<binary>, doc_ids array<bigint>, doc_begins array<bigint>, doc_lengths array<bigint>"
+    "shard int, chunk int, n_tokens bigint, first_token bigint, bytes bigint, crc32 bigint, continues bigint, planes array<binary>, doc_ids array<bigint>, doc_begins array<bigint>, doc_lengths array<bigint>"
 )
 
 _bytes = np.arange(256)
@@ -48,15 +55,18 @@ _BLANK = (_bytes == 32) | ((_bytes >= 9) & (_bytes <= 13))
 # First bytes of white space beyond ASCII, among other characters.
 _MAYBE_BLANK = _BLANK | np.isin(_bytes, [0xC2, 0xE1, 0xE2, 0xE3])
 _LETTER = ((_bytes | 32) >= 97) & ((_bytes | 32) <= 122) & (_bytes < 128)
+# ASCII letters, and those of two bytes from U+00C0 on that are letters to every version of the rule.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+")
 _SIGN = (_bytes > 32) & (_bytes < 127) & ~_LETTER & ~((_bytes >= 48) & (_bytes <= 57)) & (_bytes != 39)
 
 
 def pieces(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where the pieces of texts start (UTF-8 bytes; ``offsets`` of the texts and their end).
 
-    The tokenizer's own rule splits a text before the last white space ahead of a word, and between a letter and a sign
-    other than the apostrophe, whatever else is near; pieces are cut at such places only, so that encoding them one by
-    one gives the text's ids. Where a byte could begin other white space, nothing is cut.
+    The tokenizer's own rule splits a text before the last white space ahead of a word, behind it too unless it is a
+    space, and between a letter and a sign other than the apostrophe, whatever else is near; pieces are cut at such places
+    only, so that encoding them one by one gives the text's ids. Where a byte could begin other white space, nothing is
+    cut.
     """
     n = len(text)
     cut = np.zeros(n + 1, bool)
@@ -66,30 +76,58 @@ def pieces(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         begins = letter.copy()
         begins[:-1] |= latin
         letter[1:] |= latin
-        cut[: n - 1] = _BLANK[text[:-1]] & ~_MAYBE_BLANK[text[1:]]
+        last = _BLANK[text[:-1]] & ~_MAYBE_BLANK[text[1:]]
+        cut[: n - 1] = last
         cut[np.maximum(offsets[1:] - 1, 0)] = False  # nothing follows a text's last character
-        cut[1:n] |= (letter[:-1] & sign[1:]) | (sign[:-1] & begins[1:])
+        cut[1:n] |= (letter[:-1] & sign[1:]) | (sign[:-1] & begins[1:]) | (last & (text[:-1] != 32))
     cut[offsets] = True
     return np.flatnonzero(cut)[:-1]
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable in Latin-1, else the next
+    letter from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or (161 <= b <= 255 and b != 173)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
+#: Settings of a vocabulary file under which texts may be encoded piece by piece.
+_PIECEWISE = {
+    "normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False, "byte_fallback": False},
+}
+
+
+def piecewise(settings: dict) -> bool:
+    """Whether a vocabulary file has the splitting rule that ``pieces`` knows, and nothing that looks over its pieces."""
+
+    def agrees(want, have) -> bool:
+        return isinstance(have, dict) and all(agrees(v, have.get(k)) for k, v in want.items()) if isinstance(want, dict) else want == have or (want is False and have is None)
+
+    return agrees(_PIECEWISE, settings)
+
+
 class Encoder:
-    """Encodes texts with a tokenizers file of a byte-level vocabulary, each distinct piece once.
+    """Encodes texts with a tokenizers file: as the library does, but each distinct piece once.
 
-    Pieces are remembered in two generations of ``REMEMBERED`` each, so that frequent ones stay. Pieces are ordinary text
-    to the tokenizer. With ``added``, literals of added tokens (``<|endoftext|>``, say) give those tokens' ids, as the
-    tokenizer has it unless told otherwise: a text that holds one is encoded whole, not by pieces.
+    Pieces are remembered in two generations of ``REMEMBERED`` each, so that frequent ones stay. Literals of added tokens
+    (``<|endoftext|>``, say) give those tokens' ids: a text that holds one is encoded whole, not by pieces. So is every
+    text if the file's rules are not those that ``pieces`` knows (``piecewise``).
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         # One thread: Spark has a task on each core already.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        self.literals = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(path, "rb") as f:
+            self.piecewise = piecewise(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.whole = Tokenizer.from_file(path) if added else None
-        self.literals = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
+        self.tokenizer.encode_special_tokens = True  # pieces are ordinary text
+        self.letters = str.maketrans({chr(b): x for b, x in enumerate(_byte_letters())})
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -100,14 +138,15 @@ class Encoder:
         missing = [p for p in distinct if p not in known]
         known.update((p, older[p]) for p in missing if p in older)
         new = [p for p in missing if p not in older]
-        # ASCII letters, with or without a space before them, are one word of the vocabulary's model, which then needs no
-        # splitting; the space is written as the vocabulary does.
-        model, rest = self.tokenizer.model, []
+        # Letters, with or without a space before them, are one word of the vocabulary's model, which then needs no
+        # splitting, only its own letters for the bytes.
+        tokenize, letters, rest = self.tokenizer.model.tokenize, self.letters, []
         for p in new:
-            if p.isalpha():
-                known[p] = array("I", [t.id for t in model.tokenize(p.decode())]).tobytes()
-            elif p[0] == 32 and p[1:].isalpha():
-                known[p] = array("I", [t.id for t in model.tokenize("\u0120" + p[1:].decode())]).tobytes()
+            word = p[1:] if p[0] == 32 else p
+            if word.isalpha():
+                known[p] = array("I", [t.id for t in tokenize("\u0120" + word.decode() if p[0] == 32 else p.decode())]).tobytes()
+            elif _LATIN.fullmatch(word):
+                known[p] = array("I", [t.id for t in tokenize(p.decode("latin-1").translate(letters))]).tobytes()
             else:
                 rest.append(p)
         for i in range(0, len(rest), 2048):
@@ -118,14 +157,14 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        marked = np.zeros(len(texts), bool)
-        for x in self.literals:
+        marked = np.full(len(texts), not self.piecewise)
+        for x in self.literals if self.piecewise else ():
             marked |= pc.fill_null(pc.match_substring(texts, x), False).to_numpy(zero_copy_only=False)
         if not marked.any():
             return self._encode(texts)
         out = self._encode(pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts))
         for i in np.flatnonzero(marked).tolist():
-            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+            out[i] = np.array(self.whole.encode(texts[i].as_py() or "", add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
     def _encode(self, texts: pa.Array) -> list[bytes]:
@@ -172,6 +211,7 @@ class _Shard:
         self.held: list[bytes] = []
         self.pending, self.done, self.nth = 0, 0, 0
         self.docs: list[tuple[int | None, int, int]] = []
+        self.open: tuple[int, int] = (0, 0)  # begin and end of the last document that began in a chunk given out
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append((doc_id, self.done + self.pending, len(ids) // 4))
@@ -189,8 +229,11 @@ class _Shard:
             cut = next((i for i, d in enumerate(self.docs) if d[1] >= end), len(self.docs))
             own, self.docs = self.docs[:cut], self.docs[cut:]
             planes = pack(block, self.bits)
+            continues = self.open[0] if self.open[1] > self.done else None
+            if own:
+                self.open = own[-1][1], own[-1][1] + own[-1][2]
             yield {
-                "shard": self.shard, "chunk": self.nth, "n_tokens": len(block), "first_token": self.done, "bytes": sum(map(len, planes)), "crc32": zlib.crc32(block.tobytes()), "planes": planes,
+                "shard": self.shard, "chunk": self.nth, "n_tokens": len(block), "first_token": self.done, "bytes": sum(map(len, planes)), "crc32": zlib.crc32(block.tobytes()), "continues": continues, "planes": planes,
                 "doc_ids": [d[0] for d in own], "doc_begins": [d[1] for d in own], "doc_lengths": [d[2] for d in own],
             }
             self.nth, self.done, at = self.nth + 1, end, at + len(block)
@@ -198,7 +241,7 @@ class _Shard:
 
 
 _arrow = pa.schema(
-    [("shard", pa.int32()), ("chunk", pa.int32())] + [(c, pa.int64()) for c in ("n_tokens", "first_token", "bytes", "crc32")] + [("planes", pa.list_(pa.binary()))] + [(c, pa.list_(pa.int64())) for c in ("doc_ids", "doc_begins", "doc_lengths")]
+    [("shard", pa.int32()), ("chunk", pa.int32())] + [(c, pa.int64()) for c in ("n_tokens", "first_token", "bytes", "crc32", "continues")] + [("planes", pa.list_(pa.binary()))] + [(c, pa.list_(pa.int64())) for c in ("doc_ids", "doc_begins", "doc_lengths")]
 )
 
 
@@ -215,7 +258,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chun
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not encoder:
-            encoder.append(Encoder(tokenizer, added=True))
+            encoder.append(Encoder(tokenizer))
         shard, end = _Shard(TaskContext.get().partitionId(), chunk, bits), np.array([end_id], "<u4").tobytes()
         for part in slices(batches, most=2 * SLICE_BYTES):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder[0].encode(part.column("text")), strict=True):
@@ -228,7 +271,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chun
     # The text's hash splits one id with very many rows (no id, say) over shards.
     ordered = docs.withColumn("key", F.xxhash64("text")).repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
     ordered.select("doc_id", "text").mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "none").parquet(f"{path}/chunks")
-    index = read_chunks(docs.sparkSession, path).drop("planes", "doc_ids", "doc_begins", "doc_lengths")
+    index = read_chunks(docs.sparkSession, path).drop("continues", "planes", "doc_ids", "doc_begins", "doc_lengths")
     index.join(shard_starts(docs.sparkSession, path), "shard").withColumn("global_first", F.col("shard_start") + F.col("first_token")).drop("shard_start").write.parquet(f"{path}/index")
 
 
@@ -237,47 +280,75 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, shard_start): ids in the shards before it. One row a shard, so bounded by input bytes / ``shard_bytes``."""
-    totals = read_chunks(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    return totals.select("shard", F.coalesce(before, F.lit(0)).alias("shard_start"))
+    """(shard, shard_start): ids in the shards before it. One row a shard, so bounded by input bytes / ``shard_bytes``;
+    groups of shards are summed first, so that no task sees all of them. Marked for broadcast up to ``BROADCAST_ROWS``."""
+    totals = read_chunks(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.col("shard").bitwiseAND(~1023))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = totals.groupBy("part").agg(F.sum("n").alias("n")).withColumnRenamed("part", "shard")
+    parts = parts.select(F.col("shard").alias("part"), upto(Window.partitionBy()).alias("ahead"))
+    found = totals.withColumn("before", upto(Window.partitionBy("part"))).join(parts, "part").select("shard", (F.col("ahead") + F.col("before")).alias("shard_start"))
+    return F.broadcast(found) if totals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else found
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids): every document's ids, the end id among them, and the ids of all documents before it.
+def _decoded(row: dict, path: str) -> np.ndarray:
+    """The ids of a chunk row, checked."""
+    ids = unpack(row["planes"], row["n_tokens"])
+    if zlib.crc32(ids.tobytes()) != row["crc32"]:
+        raise ValueError(f"{path}: shard {row['shard']}, chunk {row['chunk']}: wrong checksum")
+    return ids
 
-    Chunks of a shard are decoded in order by one task; a document that runs over several chunks is put together there.
-    """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, base = None, np.zeros(0, "<u4"), 0
-        waiting: list[tuple[int | None, int, int]] = []
+_PARTS = ["shard", "doc_id", "begin", "n", "at", "ids"]
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, ids): every document's ids, the end id among them, and the ids of all documents before it."""
+
+    def run(batches: Iterable[pa.RecordBatch], broken: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
-                if row["shard"] != shard:
-                    shard, held, base, waiting = row["shard"], np.zeros(0, "<u4"), 0, []
-                ids = unpack(row["planes"], row["n_tokens"])
-                if zlib.crc32(ids.tobytes()) != row["crc32"]:
-                    raise ValueError(f"{path}: shard {shard}, chunk {row['chunk']}: wrong checksum")
-                held = np.concatenate([held, ids])
-                waiting += zip(row["doc_ids"], row["doc_begins"], row["doc_lengths"], strict=True)
-                end = base + len(held)
-                ready = [d for d in waiting if d[1] + d[2] <= end]
-                waiting = waiting[len(ready) :]
-                if ready:
-                    texts = [held[b - base : b - base + n].tobytes() for _, b, n in ready]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard] * len(ready), pa.int32()), pa.array([d[0] for d in ready], pa.int64()), pa.array([d[1] for d in ready], pa.int64()), pa.array(texts, pa.binary())], ["shard", "doc_id", "begin", "ids"]
-                    )
-                cut = waiting[0][1] if waiting else end
-                held, base = held[cut - base :], cut
+                ids, first = _decoded(row, path), row["first_token"]
+                docs = list(zip(row["doc_ids"], row["doc_begins"], row["doc_lengths"], strict=True))
+                parts = [(d, b, n, b, ids[b - first : b - first + n]) for d, b, n in docs if (b - first + n > len(ids)) == broken]
+                if broken and row["continues"] is not None:
+                    parts.insert(0, (None, row["continues"], None, first, ids[: docs[0][1] - first] if docs else ids))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                columns = [pa.array([p[i] for p in parts], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(parts), pa.int32()), *columns, pa.array([p[4].tobytes() for p in parts], pa.binary())], _PARTS)
 
     bound_batches(spark)
+    kinds = "shard int, doc_id bigint, begin bigint, n bigint, at bigint, ids binary"
     chunks = read_chunks(spark, path)
-    chunks = chunks.repartition("shard").sortWithinPartitions("shard", "chunk")
-    found = chunks.mapInArrow(run, "shard int, doc_id bigint, begin bigint, ids binary")
-    return found.join(F.broadcast(shard_starts(spark, path)), "shard").select("doc_id", (F.col("shard_start") + F.col("begin")).alias("start"), "ids")
+    whole = chunks.mapInArrow(partial(run, broken=False), kinds).select("shard", "doc_id", "begin", "ids")
+    end, last = F.col("first_token") + F.col("n_tokens"), F.try_element_at("doc_begins", F.lit(-1)) + F.try_element_at("doc_lengths", F.lit(-1))
+    parts = chunks.where(F.col("continues").isNotNull() | F.coalesce(last > end, F.lit(False))).mapInArrow(partial(run, broken=True), kinds)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("ids").alias("ids")))), lambda x: x["ids"])
+    joined = parts.groupBy("shard", "begin").agg(F.max("doc_id").alias("doc_id"), F.unhex(F.array_join(ordered, "")).alias("ids"))
+    found = whole.unionByName(joined)
+    return found.join(shard_starts(spark, path), "shard").select("doc_id", (F.col("shard_start") + F.col("begin")).alias("start"), "ids")
+
+
+def read_range(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
+    """(start, ids) of the ids from place ``start`` on, ``n`` of them or to the end, in parts by chunk. The index tells
+    which chunks hold them, and only their rows are read; a range has about n / ``CHUNK`` of those."""
+    index = spark.read.parquet(f"{path}/index").where((F.col("global_first") < start + n) & (F.col("global_first") + F.col("n_tokens") > start))
+    wanted = {(r["shard"], r["chunk"]): r["global_first"] for r in index.select("shard", "chunk", "global_first").collect()}
+    shards: dict[int, list[int]] = {}
+    for s, c in wanted:
+        shards.setdefault(s, []).append(c)
+    there = F.lit(False)
+    for s, chunks in shards.items():
+        there = there | ((F.col("shard") == s) & F.col("chunk").between(min(chunks), max(chunks)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                first = wanted[row["shard"], row["chunk"]]
+                a, b = max(start - first, 0), min(start + n - first, row["n_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([first + a]), pa.array([_decoded(row, path)[a:b].tobytes()], pa.binary())], ["start", "ids"])
+
+    return read_chunks(spark, path).where(there).mapInArrow(run, "start bigint, ids binary")
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
@@ -286,7 +357,11 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **how) -> DataFrame:
-    """Write all documents to a new file set in the shared folder and digest what it reads back."""
+    """Write all documents to a new file set in the shared folder and digest what it reads back.
+
+    Repeated rows and rows of one id each have their own run of ids; null text has the end id alone; an empty table gives
+    an empty result. Extra columns are ignored.
+    """
     path = new_path(docs.sparkSession, "tokens")
     write(docs, path, tokenizer, **how)
     return digest(docs.sparkSession, path)
