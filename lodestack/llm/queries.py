@@ -23,12 +23,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
-b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where item_id is not null and text is not null),
+b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null),
 p as (select distinct item_id, least(10, len(w)) k, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') x from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from b where len(w) > 0)),
 o as (select doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') x from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) i from d, (select distinct k from p) where len(w) >= k)),
 m as (select doc_id, i, o.k, item_id from o join p on o.k = p.k and o.x = p.x),
 h as (select doc_id, count(distinct j) n_hit from (select doc_id, unnest(range(i, i + k)) j from m) group by 1),
-t as (select doc_id, count(*) n_items, string_agg(s, ',' order by s) s from (select distinct doc_id, item_id::varchar s from m) group by 1)
+t as (select doc_id, count(*) n_items, string_agg(s, ',' order by s) s from (select distinct doc_id, item_id::varchar s from m where item_id is not null) group by 1)
 select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
   sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join h using (doc_id) left join t using (doc_id)"""
@@ -71,7 +71,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by", "false_rejection")
 
 
 QUERIES = {"op1_url_trust": op1_url_trust, "op2_decontamination": op2_decontamination, "op3_token_files": op3_token_files, "op4_language_id": op4_language_id, "op5_personal_data": op5_personal_data, "op6_language_model": op6_language_model, "op7_token_counts": op7_token_counts, "op8_near_duplicates": op8_near_duplicates, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
