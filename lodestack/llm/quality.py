@@ -1,12 +1,16 @@
 """Quality rules with risk-controlled cutoffs.
 
-Text statistics of each document give rule scores in thousandths. On labelled documents, each rule gets per stratum
-(language) the lowest cutoff for which an exact binomial bound still limits the share of good documents that it rejects.
-
-* Cutoffs of one rule and stratum are tested from the highest down and testing stops at the first failure (fixed
-  sequence, so the number of cutoffs costs no level); the level is split evenly over rules and strata (Bonferroni), and
-  the allowed false-rejection rate over rules, so a stratum's total stays within ``alpha`` with confidence 1 - ``delta``.
-* A rule that rejects good documents as readily as bad ones is left off. A stratum with too few labels keeps everything.
+Text statistics of each document give rule scores in thousandths; a document is rejected if any rule's score reaches its
+cutoff. The cutoffs of a stratum (language) are certified on its labelled documents: the share of good documents that all
+rules together reject is at most ``alpha``, with confidence 1 - ``delta`` for all strata together.
+
+* The cutoffs lie on a path: steps that each lower one rule's cutoff, those first by which documents labelled bad are the
+  most over-represented against unlabelled ones and an eighth of the good ones, by a hash of their ids. The other good
+  documents have no say in the path, so they can test it.
+* Steps are tested in order by the exact binomial tail of the good documents rejected so far by any rule, and testing
+  stops at the first failure (fixed sequence: however many steps there are cost no level, and the union of the rules is
+  tested as it is used). The level is split evenly over strata (Bonferroni).
+* Strata with too few labels to certify anything share one stratum; if that has too few, it keeps everything.
 """
 
 from __future__ import annotations
@@ -17,22 +21,24 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import bound_batches, settle
 from .textkit import Words, count_in, cover, mix, slices, span_hash, window_starts, windows
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 _symbol = np.zeros(256, bool)
 _symbol[list(b"#*$%&|<>")] = True
+_capital = np.zeros(256, bool)
+_capital[65:91] = True
 
 
 def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     """FEATURES of each text: words are runs of non-blank characters; a line counts if it has a word; null is empty."""
     w = Words(texts)
     n = len(texts)
-    out = {"n_words": w.counts, "n_symbols": count_in(_symbol[w.text], w.offsets)}
+    out = {"n_words": w.counts, "n_symbols": count_in(_symbol[w.text], w.offsets), "n_capitals": count_in(_capital[w.text], w.offsets)}
     out["word_chars"] = count_in(w.is_word & ((w.text & 0xC0) != 0x80), w.offsets)
     # Lines: from a document's start or behind a line feed, up to the next.
     cuts = np.flatnonzero(w.text == 10)
@@ -78,6 +84,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 #: Rule scores in thousandths, higher is worse.
 RULES = {
     "symbols": "least(1000, 1000 * n_symbols div greatest(word_chars, 1))",
+    "capitals": "least(1000, 1000 * n_capitals div greatest(word_chars, 1))",
     "duplicate_lines": "1000 * n_dup_lines div greatest(n_lines, 1)",
     "repeated_words": "1000 * n_repeat_words div greatest(n_words, 1)",
     "brevity": "1000 div greatest(n_words, 1)",
@@ -114,7 +121,8 @@ def _beta(a: float, b: float, x: float) -> float:
 
 
 def choose_cutoff(scores: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: float, level: float) -> int | None:
-    """Lowest score from which to reject so that P(rejected | good) <= alpha is certified at ``level``; None: none is.
+    """Of one rule alone: the lowest score from which to reject so that P(rejected | good) <= alpha is certified at
+    ``level`` by a fixed sequence from the highest score down; None: none is.
 
     scores: distinct, ascending; good, bad: labelled documents with each score.
     """
@@ -128,43 +136,115 @@ def choose_cutoff(scores: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha:
     return found
 
 
-def cutoffs(features: DataFrame, labels: DataFrame, stratum: str, alpha: float, delta: float) -> DataFrame:
-    """(stratum, rule, cutoff) where a rule may reject. A null stratum is one of its own; labels with null quality and
-    ids without a document count for nothing; a document with several labels counts with each."""
-    marked = labels.where("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") > 0).alias("good"))
-    held = features.where(~F.col("base_failed")).join(marked, "doc_id")
-    rules = F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(v).cast("long").alias("score")) for k, v in RULES.items()])
-    counts = (
-        held.select(F.col(stratum).alias("stratum"), "good", F.explode(rules).alias("r"))
-        .groupBy("stratum", "r.rule", "r.score")
-        .agg(F.sum(F.col("good").cast("long")).alias("n_good"), F.sum((~F.col("good")).cast("long")).alias("n_bad"))
-    )
-    counts = settle(counts, "quality-counts")  # at most strata x rules x 1001 rows
-    tests = len(RULES) * max(1, counts.select("stratum").distinct().count())
+def needed(alpha: float, level: float) -> int:
+    """Good labels from which on a rule set that rejects none of them is certified."""
+    return math.ceil(math.log(level) / math.log1p(-alpha))
+
+
+def upper_bound(k: int, n: int, level: float) -> float:
+    """Largest rejection rate that k of n good documents rejected don't refute at ``level`` (exact)."""
+    low, high = (k / n if n else 0.0), 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if binomial_tail(k, n, mid) > level else (low, mid)
+    return high
+
+
+def path(rule: np.ndarray, score: np.ndarray, bad: np.ndarray, free: np.ndarray) -> list[tuple[str, int]]:
+    """(rule, cutoff) steps of a stratum. bad, free: documents labelled bad, and for comparison, with that rule's score.
+
+    A step's lift is the share of bad documents that its cutoff alone rejects over that of the others (of which one
+    more is taken to be rejected). Steps with a lift of 2 or more follow each other by lift, then by bad documents.
+    """
+    steps = []
+    for r in np.unique(rule).tolist():
+        own = np.flatnonzero(rule == r)
+        own = own[np.argsort(-score[own], kind="stable")]
+        caught, hit = np.cumsum(bad[own]), np.cumsum(free[own])
+        n_bad, n_free = max(int(caught[-1]), 1), int(hit[-1])
+        for i, at in enumerate(own.tolist()):
+            lift = (caught[i] / n_bad) / ((hit[i] + 1) / (n_free + 1))
+            if score[at] > 0 and bad[at] and lift >= 2:
+                steps.append((-lift, -int(caught[i]), r, int(score[at])))
+    return [(r, s) for _, _, r, s in sorted(steps)]
+
+
+def certified(good_by_step: dict[int, int], n: int, steps: int, alpha: float, level: float) -> tuple[int, int]:
+    """(steps that hold, good documents they reject). good_by_step: good documents by the first step that rejects them."""
+    k = held = at = 0
+    for i in range(steps):
+        k += good_by_step.get(i, 0)
+        if binomial_tail(k, n, alpha) > level:
+            break
+        held, at = i + 1, k
+    return held, at
+
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("score")
-        cut = choose_cutoff(pdf.score.to_numpy(), pdf.n_good.to_numpy(), pdf.n_bad.to_numpy(), alpha / len(RULES), delta / tests)
-        return pd.DataFrame({"stratum": pdf.stratum[:1], "rule": pdf.rule[:1], "cutoff": [cut]}).dropna(subset=["cutoff"])
+def _scores() -> dict[str, Column]:
+    return {k: F.expr(v).cast("int") for k, v in RULES.items()}
 
-    return counts.groupBy("stratum", "rule").applyInPandas(fit, "stratum string, rule string, cutoff bigint")
+
+def cutoffs(features: DataFrame, labels: DataFrame, alpha: float, delta: float) -> tuple[list[str], DataFrame]:
+    """Strata that have cutoffs of their own, and (grp, bound, cut_<rule>...): the cutoffs of those and, as null, of all
+    others together; null is also the stratum of documents without one.
+
+    Labels with null quality and ids without a document count for nothing; a document with several labels counts with
+    each. What is gathered is bounded by strata, rules and the 1,001 scores.
+    """
+    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.sum((F.col("quality") > 0).cast("long")).alias("n_good"), F.sum((F.col("quality") <= 0).cast("long")).alias("n_bad"))
+    part = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 8 == 0, F.lit(True))
+    free = F.isnull("n_good") | (part & (F.col("n_good") > 0))
+    rows = features.where(~F.col("base_failed")).join(marked, "doc_id", "left")
+    rows = rows.select("stratum", F.when(~part, F.col("n_good")).alias("n_good"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"), free.cast("long").alias("free"), *[c.alias(k) for k, c in _scores().items()])
+    rows = settle(rows, "quality-scores")
+    sizes = rows.where("n_good > 0").groupBy("stratum").agg(F.sum("n_good").alias("n"))
+    large = sorted(((r["n"], r["stratum"]) for r in sizes.where(F.col("stratum").isNotNull() & (F.col("n") >= needed(alpha, delta / 2))).collect()), reverse=True)
+    own: list[str] = []
+    while len(own) < len(large) and large[len(own)][0] >= needed(alpha, delta / (len(own) + 2)):
+        own.append(large[len(own)][1])
+    level = delta / (len(own) + 1)
+    rows = rows.withColumn("grp", F.when(F.col("stratum").isin(*own), F.col("stratum")) if own else F.lit(None).cast("string"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("score")) for k in RULES]))
+    counts = rows.select("grp", "n_bad", "free", each.alias("r")).groupBy("grp", "r.rule", "r.score").agg(F.sum("n_bad").alias("bad"), F.sum("free").alias("free"))
+    top = 1001
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = path(pdf.rule.to_numpy(str), pdf.score.to_numpy(), pdf.bad.to_numpy(), pdf.free.to_numpy())
+        first = {r: np.full(top, len(found)) for r in RULES}  # by score, the first step that rejects it
+        for i, (r, s) in enumerate(found):
+            first[r][s:] = np.minimum(first[r][s:], i)
+        return pd.DataFrame({"grp": pdf.grp[:1], "steps": [len(found)], "rules": [[r for r, _ in found]], "cuts": [[s for _, s in found]], **{f"at_{r}": [first[r]] for r in RULES}})
+
+    kinds = ", ".join(f"at_{r} array<int>" for r in RULES)
+    paths = settle(counts.groupBy("grp").applyInPandas(steps, f"grp string, steps int, rules array<string>, cuts array<int>, {kinds}"), "quality-paths")
+    good = rows.where("n_good > 0").join(F.broadcast(paths.withColumnRenamed("grp", "g")), F.col("grp").eqNullSafe(F.col("g")))
+    good = good.select("grp", "n_good", F.least(*[F.get(f"at_{r}", F.col(r)) for r in RULES]).alias("step")).groupBy("grp", "step").agg(F.sum("n_good").alias("n"))
+    tested = good.withColumnRenamed("grp", "g").join(paths.select("grp", "steps", "rules", "cuts"), F.col("g").eqNullSafe(F.col("grp"))).drop("g")
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, names, cuts = int(pdf.n.sum()), list(pdf.rules.iloc[0]), list(pdf.cuts.iloc[0])
+        held, k = certified(dict(zip(pdf.step, pdf.n, strict=True)), n, int(pdf.steps.iloc[0]), alpha, level)
+        low = {r: min((c for x, c in zip(names[:held], cuts[:held], strict=True) if x == r), default=None) for r in RULES}
+        return pd.DataFrame({"grp": pdf.grp[:1].to_numpy(), "bound": [upper_bound(k, n, level) if held else None], **{f"cut_{r}": pd.array([low[r]], "Int32") for r in RULES}})
+
+    out = tested.groupBy("grp").applyInPandas(test, "grp string, bound double, " + ", ".join(f"cut_{r} int" for r in RULES))
+    return own, settle(out, "quality-cutoffs")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """Statistics, base_failed, rejected_by (rules, sorted) and kept of every document row.
+    """Statistics, base_failed, rejected_by (rules, sorted), kept and false_rejection of every document row.
 
-    Null and empty texts have no words, so they fail the base rule (fewer than 20 words, or over 30 % of the words in
-    repeated eight-word windows). No labels: no cutoffs, all that pass the base rule stay. Extra columns are ignored.
+    false_rejection: the certified bound of the share of good documents that the rules reject in the document's stratum;
+    null where there are no cutoffs. Null and empty texts have no words, so they fail the base rule (fewer than 20 words,
+    or over 30 % of the words in repeated eight-word windows). No labels: no cutoffs, all that pass the base rule stay.
+    Extra columns are ignored; repeated rows, and rows of one id, are judged apart, each with its own text.
     """
     docs = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text")
     feats = statistics(docs, ("doc_id", "stratum")).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     feats = settle(feats, "quality-features")
-    cut = cutoffs(feats, labels, "stratum", alpha, delta)
-    # One row a stratum, with a column a rule.
-    wide = cut.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).withColumn("has", F.lit(True))
-    for r in RULES:
-        wide = wide.withColumnRenamed(r, f"cut_{r}")
-    out = feats.join(wide.withColumnRenamed("stratum", "s"), F.col("stratum").eqNullSafe(F.col("s")), "left")
-    hit = F.filter(F.array(*[F.when(F.expr(v) >= F.col(f"cut_{k}"), F.lit(k)) for k, v in sorted(RULES.items())]), lambda x: x.isNotNull())
+    own, cut = cutoffs(feats, labels, alpha, delta)
+    grp = F.when(F.col("stratum").isin(*own), F.col("stratum")) if own else F.lit(None).cast("string")
+    out = feats.join(F.broadcast(cut), grp.eqNullSafe(F.col("grp")), "left")  # a row a stratum that has labels enough
+    hit = F.filter(F.array(*[F.when(c >= F.col(f"cut_{k}"), F.lit(k)) for k, c in sorted(_scores().items())]), lambda x: x.isNotNull())
     out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(hit))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).select("doc_id", "stratum", *FEATURES, "base_failed", "rejected_by", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).select("doc_id", "stratum", *FEATURES, "base_failed", "rejected_by", "kept", F.col("bound").alias("false_rejection"))
