@@ -24,6 +24,8 @@ from .textkit import LOWER, Lookup, buffers, slices
 ORDER = 4
 #: Most bytes of text a language's tree is learnt from, besides the last row taken.
 SAMPLE_BYTES = 384 << 10
+#: Bits by which a document in a learnt language may exceed plain bytes.
+SLACK_BITS = 128
 UNKNOWN = "und"
 _START = 10  # what stands before a text
 
@@ -176,11 +178,22 @@ def train_split(docs: DataFrame) -> DataFrame:
 
 
 def predict(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, bits_per_byte of every row, learnt from the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score, bits_per_byte of every row, learnt from the rows that are not held out.
+
+    Repeated rows get the same answer, each for its own text; extra columns are ignored; an empty table gives an empty one.
+    """
     out = identify(docs.select("doc_id", "text"), learn(train_split(docs)))
     return out.select("doc_id", held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__bits").alias("bits_per_byte"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """Documents whose language is recognised, with all their columns; those without text or letters go."""
-    return identify(docs, learn(train_split(docs)), tuple(docs.columns)).where(F.col("__lang") != UNKNOWN).select(*docs.columns)
+    """Documents in one of the learnt languages, with all their columns.
+
+    Rejected: text that is null or without a letter, and text whose code length under the best language's tree exceeds
+    that of plain bytes (8 bits each) by more than ``SLACK_BITS``: no learnt language tells anything about it. Clean text
+    takes 2 to 3 bits a byte; the slack lets short documents pass that hold little but numbers, names or keys. Repeated
+    rows are judged alike; an empty table gives an empty one, and so does a model without languages.
+    """
+    found = identify(docs, learn(train_split(docs)), tuple(docs.columns))
+    over = (F.col("__bits") - 8) * F.octet_length("text")
+    return found.where((F.col("__lang") != UNKNOWN) & (over <= SLACK_BITS)).select(*docs.columns)
