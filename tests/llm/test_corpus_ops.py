@@ -23,9 +23,7 @@ BPE = queries.tokenizer_path("byte_bpe_50k.json")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)  # as it comes
 
 
 def test_encoder_equals_library(tokenizer):
@@ -87,6 +85,40 @@ def test_token_files_added_tokens(spark):
         start += len(ids)
 
 
+def test_ranges_and_long_documents(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(BPE), random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(99)}" for _ in range(n)) for n in (3, 900, 1, 0, 5000, 2, 40, 700)]
+    path = f"file://{tmp_path}/t"
+    tokenfile.write(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path, BPE, chunk=64, shard_bytes=9000)
+    each = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    got = sorted(tokenfile.read(spark, path).collect(), key=lambda r: r.doc_id)
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == each and [r.start for r in got] == np.cumsum([0] + [len(x) for x in each])[:-1].tolist()
+    every = [i for x in each for i in x]
+    for start, n in ((0, 1), (63, 2), (64, 64), (1000, 900), (len(every) - 5, 100), (len(every), 3)):
+        parts = sorted(tokenfile.read_range(spark, path, start, n).collect(), key=lambda r: r.start)
+        assert [i for r in parts for i in np.frombuffer(r.ids, "<u4").tolist()] == every[start : start + n]
+        assert not parts or parts[0].start == start
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(BPE, "rb") as f:
+        settings = json.load(f)
+    assert tokenfile.piecewise(settings)
+    settings["pre_tokenizer"]["add_prefix_space"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(settings))
+    plain, texts = Tokenizer.from_file(str(other)), ["one two", "", "x\ny (z)", "a<|endoftext|>b"]
+    for path in (str(other), queries.tokenizer_path("word_bpe_49k.json")):
+        plain, e = Tokenizer.from_file(path), tokenfile.Encoder(path)
+        assert not e.piecewise and [np.frombuffer(g, "<u4").tolist() for g in e.encode(pa.array([*texts, None]))] == [plain.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+
+
 def test_unmix():
     x = np.random.default_rng(0).integers(0, 2**63, 999).astype(np.uint64)
     assert (lm.unmix(mix_hash(x)) == x).all() and (lm.unpack_sorted(lm.pack_sorted(np.sort(x))) == np.sort(x)).all()

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -243,12 +244,12 @@ def plain_statistics(t):
             seen.add(line)
     n = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     inside = {j for i in range(len(words) - 7) if n[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
-    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, len(inside), lines)
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, len(inside), lines, sum("A" <= c <= "Z" for c in t))
 
 
 def test_statistics():
     rng = random.Random(8)
-    texts = [None, "", "\n", "a\na\n", "x\n", "é é\né é"] + ["".join(rng.choice(["a ", "b ", "é", "\n", "#", " \n", "日 "]) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    texts = [None, "", "\n", "a\na\n", "x\n", "é é\né é"] + ["".join(rng.choice(["a ", "b ", "é", "\n", "#", " \n", "日 ", "QÉ"]) for _ in range(rng.randint(0, 60))) for _ in range(800)]
     got = quality.text_statistics(pa.array(texts))
     for i, t in enumerate(texts):
         assert tuple(int(got[k][i]) for k in quality.FEATURES) == plain_statistics(t)
@@ -279,3 +280,110 @@ def test_quality_on_planted_rule(spark):
     assert len(kept) == 6000 and not any(kept[i] for i in range(0, 6000, 4))
     assert quality.judge(docs.limit(0), spark.createDataFrame([], "doc_id bigint, quality int")).count() == 0
     assert quality.judge(odd(spark), spark.createDataFrame([(1, None)], "doc_id bigint, quality int")).where("kept").count() == 0
+
+
+def plain_cutoffs(rows, alpha, delta):
+    """rows: (stratum, scores by rule, label or None, held for the path). (own strata, {stratum: (bound, {rule: cutoff})})."""
+    good = [r for r in rows if r[2] == 1 and not r[3]]
+    sizes = sorted(((sum(r[0] == s for r in good), s) for s in {r[0] for r in good} - {None}), reverse=True)
+    own = []
+    for n, s in sizes:
+        if (1 - alpha) ** n > delta / (len(own) + 2):
+            break
+        own.append(s)
+    level, out = delta / (len(own) + 1), {}
+    for g in [*own, None]:
+        mine = [r for r in rows if (r[0] if r[0] in own else None) == g]
+        bad, free, held = [r[1] for r in mine if r[2] == 0], [r[1] for r in mine if r[2] is None or (r[2] == 1 and r[3])], [r[1] for r in mine if r[2] == 1 and not r[3]]
+        steps = []
+        for rule in quality.RULES:
+            for s in {b[rule] for b in bad} - {0}:
+                caught, hit = sum(b[rule] >= s for b in bad), sum(f[rule] >= s for f in free)
+                lift = caught / len(bad) / ((hit + 1) / (len(free) + 1))
+                if lift >= 2:
+                    steps.append((-lift, -caught, rule, s))
+        cut, k, best = {}, 0, ({}, 0)
+        for _, _, rule, s in sorted(steps):
+            cut = cut | {rule: min(s, cut.get(rule, 9999))}
+            k = sum(any(h[r] >= c for r, c in cut.items()) for h in held)
+            if sum(math.comb(len(held), i) * alpha**i * (1 - alpha) ** (len(held) - i) for i in range(k + 1)) > level:
+                break
+            best = (cut, k)
+        out[g] = best
+    return own, out
+
+
+def test_judge_equals_plain_version(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(1600):
+        lang = "en" if i % 2 else rng.choice(["fr", "de", None])
+        bad = rng.random() < 0.25
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randint(15, 60))]
+        if bad:
+            kind = rng.randrange(3)
+            words = [w.upper() + "AB" for w in words] if kind == 0 else [w + "%$" for w in words] if kind == 1 else words
+        elif rng.random() < 0.02:
+            words[0] += "#" * 40
+        rows.append((i, " ".join(words), lang))
+        if rng.random() < 0.7:
+            labels.append((i, 0 if bad else 1))
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality.judge(docs, marks, alpha=0.03).collect()}
+    label = dict(labels)
+    plain = []
+    for i, t, lang in rows:
+        st = {k: int(v[0]) for k, v in quality.text_statistics(pa.array([t])).items()}
+        n = max(st["n_words"], 1)
+        scores = {
+            "symbols": min(1000, 1000 * st["n_symbols"] // max(st["word_chars"], 1)), "capitals": min(1000, 1000 * sum("A" <= c <= "Z" for c in t) // max(st["word_chars"], 1)), "duplicate_lines": 1000 * st["n_dup_lines"] // max(st["n_lines"], 1),
+            "repeated_words": 1000 * st["n_repeat_words"] // n, "brevity": 1000 // n, "long_words": min(1000, 20 * st["word_chars"] // n),
+        }
+        failed = st["n_words"] < 20 or 100 * st["n_repeat_words"] > 30 * st["n_words"]
+        plain.append((i, lang, scores, failed))
+    own, cuts = plain_cutoffs([(lang, s, label.get(i), zlib.crc32(str(i).encode()) % 8 == 0) for i, lang, s, failed in plain if not failed], 0.03, 0.05)
+    assert own == ["en"] and all(cuts[g][0] for g in cuts)
+    rejected = 0
+    for i, lang, s, failed in plain:
+        cut = cuts[lang if lang in own else None][0]
+        hit = sorted(r for r, c in cut.items() if s[r] >= c)
+        assert (got[i].base_failed, got[i].kept, got[i].rejected_by) == (failed, not failed and not hit, [] if failed else hit)
+        rejected += bool(hit)
+        assert 0 < got[i].false_rejection <= 0.03
+    assert rejected > 100
+
+
+def test_words_of_items_without_id_are_hit(spark):
+    words = " ".join(f"x{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {words} b"), (2, "a b"), (3, None)], "doc_id bigint, text string")
+    for rows in ([(None, words)], [(None, words), ("i", words)]):
+        b = spark.createDataFrame(rows, "item_id string, text string")
+        for block_bytes in (1 << 20, 20):  # one block, and one for each item
+            got = {r.doc_id: (r.n_words, r.n_hit, list(r.items), r.contaminated) for r in decontam.mark(docs, b, block_bytes=block_bytes).collect()}
+            assert got == {1: (14, 12, ["i"] if len(rows) == 2 else [], True), 2: (2, 0, [], False), 3: (0, 0, [], False)}
+            assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, b, block_bytes=block_bytes).collect()) == [2, 3]
+
+
+def test_patterns_stay_small():
+    import pickle
+    import time
+
+    rng = np.random.default_rng(5)
+    items = [(f"i{k}", " ".join(f"w{x}" for x in rng.integers(0, 10**6, 4000))) for k in range(64)]
+    size = sum(len(t) for _, t in items)
+    began = time.time()
+    p = decontam.Patterns(items)
+    assert len(pickle.dumps(p)) < 40 * size and time.time() - began < 30
+    assert len(p.first) == 64 * 3991
+
+
+def test_other_languages_are_rejected(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    finnish = "Suomen kieli on yksi maailman kielistä ja sitä puhuu noin viisi miljoonaa ihmistä pääasiassa Suomessa, mutta myös Ruotsissa ja Norjassa asuu suomenkielisiä."
+    more = spark.createDataFrame([(10**6, finnish), (10**6 + 1, "Это предложение написано на русском языке и состоит из нескольких слов, как и другие."), (10**6 + 2, "1234 5678"), (10**6 + 3, "A."), (10**6 + 4, None)], "doc_id bigint, text string")
+    kept = langid.keep_known(docs.unionByName(more, allowMissingColumns=True))
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert ids & set(range(10**6, 10**6 + 5)) == {10**6 + 3}
+    clean = {r.doc_id for r in docs.where(r"text rlike '\\p{L}'").select("doc_id").collect()}
+    assert len(clean - ids) <= 0.01 * len(clean) and kept.columns == docs.columns
+    assert langid.keep_known(docs.limit(0)).count() == 0
