@@ -1,15 +1,16 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word shapes that adds spans.
 
 The field is trained on a small labelled table (text, spans) with full-batch gradients of the exact likelihood, and
-decoded by Viterbi in numpy, many regions of text in step. A region is the surroundings of a digit, an ``@``, the word
-``dot``, the word ``at`` in brackets, or ``at`` before a name with a full stop: data of these kinds has one of them, so
-tokens outside regions are held at "none". Spans that the field adds
-are kept if they fulfil their kind's own condition (digits, Luhn sum, parts) and meet no base span.
+decoded by Viterbi in numpy, many whole texts in step. Only texts with a digit, an ``@``, the word ``dot``, the word
+``at`` in brackets, or ``at`` before a name with a full stop are decoded: no other text can hold a span that fulfils its
+kind's condition. Spans that the field adds are kept if they fulfil that condition (digits, Luhn sum, parts) and meet no
+base span.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -35,13 +36,14 @@ _BASE = {
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
-#: What a region surrounds; means the same to re (ASCII) and to Arrow's expressions.
+#: What a text needs to be decoded; means the same to re (ASCII) and to Arrow's expressions.
 _TRIGGERS = r"[0-9@]|\b[dD][oO][tT]\b|[\[({<][\x09-\x0D\x20]*[aA][tT][\x09-\x0D\x20]*[\])}>]|\b[aA][tT][\x09-\x0D\x20]+[^\x00-\x20.]+\.[^\x00-\x20.]"
 _TRIGGER = re.compile(_TRIGGERS, re.ASCII)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _BLANK = " \t\n\x0b\x0c\r"
-#: Characters of text on each side of a trigger that belong to its region.
-REACH = 48
+
+#: Tokens from which on a text is decoded in blocks.
+LONG = 2048
 
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _BITS = 15
@@ -83,30 +85,6 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Spans of text around triggers, widened to blanks; overlapping ones are joined."""
-    found: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        if found and m.start() <= found[-1][1] - REACH:
-            continue
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if found and a <= found[-1][1]:
-            found[-1][1] = b
-        else:
-            found.append([a, b])
-    out: list[tuple[int, int]] = []
-    for a, b in found:
-        while a > 0 and text[a - 1] not in _BLANK:
-            a -= 1
-        while b < len(text) and text[b] not in _BLANK:
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 # Words that tell something about data near them.
 CUES = frozenset(
     "at dot tel phone call fax mobile mail email e card visa ip host addr address contact www com org net edu http https v version no nr id order page date year by on to is my write reach dial number pay server price item room".split()
@@ -126,7 +104,7 @@ def shape(token: str, spaced: bool) -> int:
 
 
 class Regions:
-    """Tokens of many regions, one after the other: spans, features, and each region's first token."""
+    """Tokens of many texts, one after the other: spans, features, and each text's first token."""
 
     def __init__(self, parts: list[str]):
         spans = [[m.span() for m in _TOKEN.finditer(p)] for p in parts]
@@ -175,7 +153,7 @@ def _features(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _lanes(first: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, int]]:
-    """Regions in groups of like length, with the length; a group has about ``most`` places."""
+    """Texts in groups of like length, with the length; a group has about ``most`` places."""
     length = np.diff(first)
     order = np.argsort(length, kind="stable")
     order = order[length[order] > 0]
@@ -200,15 +178,26 @@ class Field:
         self.barred = np.array([[b[0] == "I" and a[2:] != b[2:] for b in LABELS] for a in LABELS])
         self.start_barred = np.array([b[0] == "I" for b in LABELS])
 
+    def emissions(self, features: np.ndarray) -> np.ndarray:
+        """Each token's score by label, summed a feature at a time."""
+        out = np.zeros((len(features), len(LABELS)))
+        for i in range(features.shape[1]):
+            out += self.weights[features[:, i]]
+        return out
+
     def decode(self, r: Regions) -> np.ndarray:
         """Best label of each token."""
         k = len(LABELS)
-        emit = self.weights[r.features].sum(axis=1)
+        emit = self.emissions(r.features)
         out = np.zeros(len(emit), np.int64)
-        moves = np.where(self.barred, -1e9, self.moves)
+        moves, start = np.where(self.barred, -1e9, self.moves), np.where(self.start_barred, -1e9, self.start)
         for lanes, steps in _lanes(r.first):
             begin, length = r.first[lanes], np.diff(r.first)[lanes]
-            score = emit[begin] + np.where(self.start_barred, -1e9, self.start)
+            if steps > LONG:
+                for a, n in zip(begin.tolist(), length.tolist(), strict=True):
+                    out[a : a + n] = best_path(emit[a : a + n], moves, start)
+                continue
+            score = emit[begin] + start
             back = np.zeros((steps, len(lanes), k), np.int8)
             last = score.copy()
             for t in range(1, steps):
@@ -227,7 +216,7 @@ class Field:
     def gradient(self, r: Regions, gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Log likelihood of the gold labels, and its gradient by emission (tokens, labels), label pair and start."""
         k = len(LABELS)
-        emit = self.weights[r.features].sum(axis=1)
+        emit = self.emissions(r.features)
         slope, pairs, starts, total = np.zeros_like(emit), np.zeros((k, k)), np.zeros(k), 0.0
         moves = np.where(self.barred, -1e9, self.moves)
         start = np.where(self.start_barred, -1e9, self.start)
@@ -262,6 +251,40 @@ class Field:
         return total, slope, pairs, starts
 
 
+def best_path(emit: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Viterbi labels of one long text: blocks of its tokens move in step, each for every label that may stand before
+    it; the blocks' best scores are joined in order, and all blocks are traced back in step. A million tokens take a
+    thousand steps each way."""
+    n, k = emit.shape
+    steps = max(1, math.isqrt(n))
+    blocks = -(-n // steps)
+    size = np.minimum(steps, n - np.arange(blocks) * steps)  # only the last block may be short
+    at = lambda t: np.minimum(np.arange(blocks) * steps + t, n - 1)
+    score = moves[None] + emit[at(0)][:, None, :]  # (block, label before it, label)
+    score[0] = np.where(np.arange(k)[:, None] == 0, start + emit[0], -np.inf)
+    back = np.zeros((steps, blocks, k, k), np.int8)
+    for t in range(1, steps):
+        way = score[:, :, :, None] + moves
+        back[t] = way.argmax(axis=2)
+        new = way.max(axis=2) + emit[at(t)][:, None, :]
+        score = np.where((t < size)[:, None, None], new, score)
+    came, best = np.zeros((blocks, k), np.int64), np.zeros(k)
+    for b in range(blocks):
+        way = best[:, None] + score[b] if b else score[b]
+        came[b], best = way.argmax(axis=0), way.max(axis=0)
+    label, before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
+    last = int(best.argmax())
+    for b in range(blocks - 1, -1, -1):
+        label[b], before[b] = last, came[b, last]
+        last = before[b]
+    out, each = np.zeros(n, np.int64), np.arange(blocks)
+    for t in range(steps - 1, -1, -1):
+        live = t < size
+        out[at(t)[live]] = label[live]
+        label = np.where(live, back[t][each, before, label], label)
+    return out
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
@@ -294,7 +317,7 @@ def fit(rows: list[tuple[str, list[Span]]], steps: int = 80, rate: float = 0.3,
 
 
 def spans_of(r: Regions, labels: np.ndarray, i: int) -> list[Span]:
-    """Labelled spans of region i, by its own offsets."""
+    """Labelled spans of text i."""
     out: list[Span] = []
     for (a, b), x in zip(r.spans[i], labels[r.first[i] : r.first[i + 1]].tolist(), strict=True):
         if x:
@@ -320,17 +343,16 @@ def _fit_for_kind(kind: str, text: str) -> bool:
 def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, both by kind as listed, then start."""
     base = [base_spans(t) for t in texts]
-    where = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
+    where = [i for i, t in enumerate(texts) if _TRIGGER.search(t)]
     more: dict[int, list[Span]] = {}
-    if where:
-        r = Regions([texts[i][a:b] for i, a, b in where])
-        labels = field.decode(r)
-        for n in np.flatnonzero(np.add.reduceat(labels, np.minimum(r.first[:-1], max(len(labels) - 1, 0))) > 0).tolist() if len(labels) else []:
-            i, at, _ = where[n]
-            for kind, a, b in spans_of(r, labels, n):
-                a, b = a + at, b + at
-                if _fit_for_kind(kind, texts[i][a:b]) and not any(x < b and a < y for _, x, y in base[i]):
-                    more.setdefault(i, []).append((kind, a, b))
+    r = Regions([texts[i] for i in where])
+    labels = field.decode(r)
+    marked = np.unique(np.searchsorted(r.first, np.flatnonzero(labels), "right") - 1)
+    for n in marked.tolist():
+        i = where[n]
+        for kind, a, b in spans_of(r, labels, n):
+            if _fit_for_kind(kind, texts[i][a:b]) and not any(x < b and a < y for _, x, y in base[i]):
+                more.setdefault(i, []).append((kind, a, b))
     order = lambda s: (KINDS.index(s[0]), s[1])
     return [(b, sorted(b + more[i], key=order) if i in more else b) for i, b in enumerate(base)]
 
@@ -398,10 +420,10 @@ def train(labelled: DataFrame, most: int = 5000) -> Field:
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row; null text is empty.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row; null text is empty.
 
-    The counts and the digest are of the base spans; ``spans`` has those and what the field adds. Extra columns are
-    ignored, repeated rows judged apart.
+    The counts and the digest are of the base spans; ``spans`` has those and what the field adds, ``n_added`` of them.
+    Extra columns are ignored, repeated rows judged apart.
     """
     bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(field)
@@ -413,13 +435,13 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             texts = part.column("text")
             likely = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _TRIGGERS), False).to_numpy(zero_copy_only=False))
             counts = np.zeros((4, n), np.int64)
-            digest, spans = [none] * n, [""] * n
+            digest, spans, added = [none] * n, [""] * n, np.zeros(n, np.int64)
             for i, (base, every) in zip(likely.tolist(), all_spans(texts.take(pa.array(likely)).to_pylist(), known.value), strict=True):
                 for kind, _, _ in base:
                     counts[KINDS.index(kind), i] += 1
                 digest[i] = hashlib.sha256(written(base).encode()).hexdigest()
-                spans[i] = written(every)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in counts), pa.array(digest), pa.array(spans)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                spans[i], added[i] = written(every), len(every) - len(base)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in counts), pa.array(digest), pa.array(spans), pa.array(added)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")

@@ -387,3 +387,27 @@ def test_other_languages_are_rejected(spark, small):
     clean = {r.doc_id for r in docs.where(r"text rlike '\\p{L}'").select("doc_id").collect()}
     assert len(clean - ids) <= 0.01 * len(clean) and kept.columns == docs.columns
     assert langid.keep_known(docs.limit(0)).count() == 0
+
+
+def test_long_paths_equal_step_by_step():
+    rng, f = np.random.default_rng(0), pii.Field()
+    for n in (1, 2, 5, 50, 777):
+        emit, moves, start = rng.normal(size=(n, 9)), np.where(f.barred, -1e9, rng.normal(size=(9, 9))), np.where(f.start_barred, -1e9, 0.0)
+        score, back = start + emit[0], []
+        for t in range(1, n):
+            way = score[:, None] + moves
+            back.append(way.argmax(axis=0))
+            score = way.max(axis=0) + emit[t]
+        want = [int(score.argmax())]
+        for b in back[::-1]:
+            want.append(int(b[want[-1]]))
+        assert pii.best_path(emit, moves, start).tolist() == want[::-1]
+
+
+def test_long_numeric_text(spark):
+    import time
+
+    field, began = pii.fit(sorted(pii.examples(120))), time.time()
+    text = " ".join(str(i * 7919 % 100003) for i in range(140000)) + " call +49 170 1234567"
+    base, every = pii.all_spans([text], field)[0]
+    assert ("phone", text.index("+49"), len(text)) in every and time.time() - began < 60
