@@ -1,4 +1,8 @@
-"""Raw documents to token files in five stages, each written as Parquet and reread as the next one's documents."""
+"""Raw documents to token files in five stages, each written as Parquet and reread as the next one's documents.
+
+All but the last return the columns that came, whatever they are called. Every stage takes an empty table and gives an
+empty one; very long texts are taken whole; rows of one id are told apart by their text, or are alike.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,27 @@ from lodestack.llm.store import settle
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the context trees recognise; text without letters goes."""
+    """Documents in a language that the context trees tell something about; null text and text without letters go."""
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest doc_id."""
+    """One document of each near-duplicate class, the one with the smallest doc_id (null ids last); null texts stay."""
     return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null texts hold none."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it."""
+    """Each document as often as its source's target takes it; a null source is one of its own, null text has no words."""
     return mixing.take_mix(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all that is left, and what they give back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of all that is left, and what they give back: doc_id, start, n_tokens, ids_crc32 of every row."""
     return tokenfile.round_trip(docs, queries.tokenizer_path("byte_bpe_50k.json"))
 
 
