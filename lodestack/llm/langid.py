@@ -24,6 +24,8 @@ from .textkit import LOWER, Lookup, buffers, slices
 ORDER = 4
 #: Most bytes of text a language's tree is learnt from, besides the last row taken.
 SAMPLE_BYTES = 384 << 10
+#: Most bytes of the tables, which every task holds: about a hundred languages at ``SAMPLE_BYTES`` of like text each.
+MOST_BYTES = 1 << 30
 #: Bits by which a document in a learnt language may exceed plain bytes.
 SLACK_BITS = 128
 UNKNOWN = "und"
@@ -54,6 +56,8 @@ class Trees:
 
     def __init__(self, langs: list[str], lang: np.ndarray, order: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs, self.order = langs, int(order.max()) if len(order) else -1
+        if len(gram) * len(langs) * 4 > MOST_BYTES:  # a row of all languages for each gram
+            raise ValueError(f"{len(langs)} languages with {len(gram)} grams need too large a table; merge labels or lower sample_bytes")
         self.grams: list[Lookup] = []
         self.escapes: list[Lookup] = []
         below_keys = below = None

@@ -277,6 +277,8 @@ def train(texts: DataFrame) -> Model:
             _store(folder, f"words-{b}.key", np.zeros(0, "<u8"))
             _store(folder, f"words-{b}.count", np.zeros(0, "<i8"))
     offsets = np.cumsum([0] + [found[b]["n"] if b in found else 0 for b in range(1 << word_bits)])
+    if offsets[-1] + 2 >= 1 << 32:
+        raise ValueError(f"{offsets[-1]} distinct words; pairs of ids hold 32 bits each")
     tokens = sum(r["total"] for r in found.values()) + size["n"]
     model = Model(folder, word_bits, int(tokens // BUCKET_TOKENS).bit_length(), offsets, size["n"], tokens)
     _store(folder, f"words-{1 << word_bits}.count", np.array([0, size["n"]], "<i8"))  # BEGIN is no token, END is one

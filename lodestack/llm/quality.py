@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bound_batches, settle
+from .store import bound_batches, discard, settle
 from .textkit import Words, count_in, cover, mix, slices, span_hash, window_starts, windows
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
@@ -196,7 +196,7 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float, delta: float)
     free = F.isnull("n_good") | (part & (F.col("n_good") > 0))
     rows = features.where(~F.col("base_failed")).join(marked, "doc_id", "left")
     rows = rows.select("stratum", F.when(~part, F.col("n_good")).alias("n_good"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"), free.cast("long").alias("free"), *[c.alias(k) for k, c in _scores().items()])
-    rows = settle(rows, "quality-scores")
+    rows = scored = settle(rows, "quality-scores")
     sizes = rows.where("n_good > 0").groupBy("stratum").agg(F.sum("n_good").alias("n"))
     large = sorted(((r["n"], r["stratum"]) for r in sizes.where(F.col("stratum").isNotNull() & (F.col("n") >= needed(alpha, delta / 2))).collect()), reverse=True)
     own: list[str] = []
@@ -228,7 +228,10 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float, delta: float)
         return pd.DataFrame({"grp": pdf.grp[:1].to_numpy(), "bound": [upper_bound(k, n, level) if held else None], **{f"cut_{r}": pd.array([low[r]], "Int32") for r in RULES}})
 
     out = tested.groupBy("grp").applyInPandas(test, "grp string, bound double, " + ", ".join(f"cut_{r} int" for r in RULES))
-    return own, settle(out, "quality-cutoffs")
+    out = settle(out, "quality-cutoffs")
+    for table in (scored, paths):
+        discard(table)
+    return own, out
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:

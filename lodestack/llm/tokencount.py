@@ -94,7 +94,11 @@ def best_counts(running: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, slice_bytes: int = 2 * SLICE_BYTES) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens of every document row; null and empty text have none. Extra columns are ignored."""
+    """doc_id, n_pretokens, n_tokens of every document row; null and empty text have none. Extra columns are ignored.
+
+    Repeated rows are counted each; of segmentations with equal scores the one of fewest pieces counts. A text of any
+    length is taken whole, at least one a slice; a pre-token takes a numpy step a byte of the longest one of its slice.
+    """
     bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
