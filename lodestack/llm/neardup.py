@@ -286,21 +286,22 @@ def _meeting(groups: DataFrame, least: float) -> DataFrame:
 
     Such a pair, b the smaller one, has t = part * (size + size_b) shingles in common, part being ``least`` /
     (1 + ``least``). So one of b's first h_b - t + 1 is among a's first h - t + 1: a looks for it by shingle and by steps
-    of size that its own h allows, and the places of what it finds must be among these.
+    of size that its own h allows; what it finds must be at such a place, and be the first that both have.
     """
     part, step = least / (1 + least), math.log(1.03)
     up = lambda x: F.ceil(x - 1e-9).cast("int")
     level = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double")) / step).cast("int")
     head = lambda t: F.slice("hot", F.lit(1), F.greatest(F.col("h") - t + 1, F.lit(0)))
     mine = ["g", "lo", "hi", "size", "h"]
-    small = groups.select(*mine, level(F.col("size")).alias("level"), F.posexplode(head(up(2 * part * F.col("size")))).alias("i", "s"))
+    each = lambda rows, t: rows.withColumn("hot", head(up(t))).select(*mine, "level", "hot", F.posexplode("hot").alias("i", "s")).withColumn("hot", F.slice("hot", F.lit(1), F.col("i")))
+    small = each(groups.withColumn("level", level(F.col("size"))), 2 * part * F.col("size"))
     low, high = up(F.col("size") * least), F.least("size", F.floor(F.col("h") / part + 1e-9).cast("int") - F.col("size"))
     large = groups.where(low <= high).select(*mine, "hot", F.explode(F.sequence(level(low), level(high))).alias("level"))
-    large = large.select(*mine, "level", F.posexplode(head(up(part * (F.col("size") + F.floor(F.exp(F.col("level") * step)))))).alias("i", "s"))
-    other = small.toDF("g_b", "lo_b", "hi_b", "size_b", "h_b", "level_b", "i_b", "s_b")
+    large = each(large, part * (F.col("size") + F.floor(F.exp(F.col("level") * step))))
+    other = small.toDF("g_b", "lo_b", "hi_b", "size_b", "h_b", "level_b", "hot_b", "i_b", "s_b")
     mixed = ~((F.col("lo") == F.col("hi")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo") == F.col("lo_b")))
     t = part * (F.col("size") + F.col("size_b")) - 1e-9
-    close = (F.col("h") - F.col("i") >= t) & (F.col("h_b") - F.col("i_b") >= t)
+    close = (F.col("h") - F.col("i") >= t) & (F.col("h_b") - F.col("i_b") >= t) & ~F.arrays_overlap("hot", "hot_b")
     meet = large.join(other, (F.col("s") == F.col("s_b")) & (F.col("level") == F.col("level_b")) & mixed & close & (F.col("g") != F.col("g_b"))).select("g", "g_b").distinct()
     meet = settle(meet, "neardup-meet")
     own = groups.where("lo < hi").select("g", F.col("g").alias("g_b"))
