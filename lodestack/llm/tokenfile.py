@@ -24,9 +24,10 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -121,16 +122,21 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.literals = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path = path
         with open(path, "rb") as f:
-            self.piecewise = piecewise(json.load(f))
+            settings = json.load(f)
+        self.literals, self.piecewise = [t["content"] for t in settings.get("added_tokens") or []], piecewise(settings)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # pieces are ordinary text
         self.letters = str.maketrans({chr(b): x for b, x in enumerate(_byte_letters())})
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        """The tokenizer as it comes."""
+        return type(self.tokenizer).from_file(self.path)
+
     def ids_of(self, distinct: list[bytes]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
@@ -171,7 +177,8 @@ class Encoder:
         text, offsets = buffers(texts)
         starts = pieces(text, offsets)
         ends = np.append(starts[1:], len(text))
-        _, rep, of = np.unique(span_hash(running_sums(text), starts, ends), return_index=True, return_inverse=True)
+        of, _ = pd.factorize(span_hash(running_sums(text), starts, ends))  # numbered as they come first
+        rep = np.flatnonzero(np.diff(np.maximum.accumulate(of), prepend=-1)) if len(of) else of
         raw = text.tobytes()
         found = self.ids_of([raw[a:b] for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)])
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -182,6 +189,12 @@ class Encoder:
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary file; a Python worker keeps it, and the pieces it remembers, from task to task."""
+    return Encoder(path)
+
+
 def pack(ids: np.ndarray, bits: bool = False, level: int = 3) -> list[bytes]:
     """Compressed planes of a block of ids."""
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
@@ -254,14 +267,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chun
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    encoder: list[Encoder] = []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not encoder:
-            encoder.append(Encoder(tokenizer))
         shard, end = _Shard(TaskContext.get().partitionId(), chunk, bits), np.array([end_id], "<u4").tobytes()
         for part in slices(batches, most=2 * SLICE_BYTES):
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder[0].encode(part.column("text")), strict=True):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder(tokenizer).encode(part.column("text")), strict=True):
                 shard.add(doc_id, ids + end)
             if rows := list(shard.chunks()):
                 yield pa.RecordBatch.from_pylist(rows, _arrow)
