@@ -269,7 +269,7 @@ def _missed(nodes: DataFrame, docs: DataFrame, least: float, common: int | None
     discard(seen)
     rare = texts.select("node", "size", "c", "k", F.explode("first").alias("s"))
     enough = F.least("k", "k_b") >= least / (1 + least) * (F.col("size") + F.col("size_b")) - 1e-9
-    near = rare.alias("x").join(rare.toDF("node_b", "size_b", "c_b", "k_b", "s").alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("c") != F.col("c_b")) & (F.col("node") < F.col("node_b")) & enough)
+    near = rare.alias("x").hint("merge").join(rare.toDF("node_b", "size_b", "c_b", "k_b", "s").alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("c") != F.col("c_b")) & (F.col("node") < F.col("node_b")) & enough)
     hot = texts.where(F.size("hot") > 0).select("node", "size", "c", "h", "g", "hot")
     groups = hot.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("size", "node", "c", "h", "hot")).alias("r"))
     groups = settle(groups.select("g", "lo", "hi", "r.*"), "neardup-groups")
@@ -302,7 +302,8 @@ def _meeting(groups: DataFrame, least: float) -> DataFrame:
     mixed = ~((F.col("lo") == F.col("hi")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo") == F.col("lo_b")))
     t = part * (F.col("size") + F.col("size_b")) - 1e-9
     close = (F.col("h") - F.col("i") >= t) & (F.col("h_b") - F.col("i_b") >= t) & ~F.arrays_overlap("hot", "hot_b")
-    meet = large.join(other, (F.col("s") == F.col("s_b")) & (F.col("level") == F.col("level_b")) & mixed & close & (F.col("g") != F.col("g_b"))).select("g", "g_b").distinct()
+    # Sizes are estimated from the groups' file, so Spark would broadcast what the explodes made of it.
+    meet = large.hint("merge").join(other, (F.col("s") == F.col("s_b")) & (F.col("level") == F.col("level_b")) & mixed & close & (F.col("g") != F.col("g_b"))).select("g", "g_b").distinct()
     meet = settle(meet, "neardup-meet")
     own = groups.where("lo < hi").select("g", F.col("g").alias("g_b"))
     return meet.union(meet.select("g_b", "g")).union(own).distinct()
