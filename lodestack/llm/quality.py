@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import bound_batches, discard, settle
-from .textkit import Words, count_in, cover, mix, slices, span_hash, window_starts, windows
+from .textkit import Words, count_in, cover, mix, slices, span_hash, span_ids, window_starts, windows
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 _symbol = np.zeros(256, bool)
@@ -49,24 +49,26 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     has = np.searchsorted(w.starts, ends) > np.searchsorted(w.ends, starts, "right")
     starts, ends, doc = starts[has], ends[has], doc[has]
     out["n_lines"] = np.bincount(doc, minlength=n)
-    out["n_dup_lines"] = out["n_lines"] - _distinct(span_hash(w.running, starts, ends), doc, n)
-    # Windows of eight words seen twice or more in one document.
+    line, _ = span_ids(w.text, span_hash(w.running, starts, ends), starts, ends)
+    pair = doc * (int(line.max(initial=0)) + 1) + line
+    out["n_dup_lines"] = out["n_lines"] - np.bincount(doc[np.unique(pair, return_index=True)[1]], minlength=n)
+    # Windows of eight words seen twice or more in one document. Words are numbers that tell them apart for certain.
+    word, _ = span_ids(w.text, w.hash, w.starts, w.ends)
     at = window_starts(w.first, 8)
-    key = windows(w.hash, 8)[at] + mix(w.doc[at].astype(np.uint64))
+    key = windows(mix(word.astype(np.uint64)), 8)[at] + mix(w.doc[at].astype(np.uint64))
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
+    a, b = at[order[1:][same]], at[order[:-1][same]]
+    if not ((w.doc[a] == w.doc[b]) & np.all([word[a + j] == word[b + j] for j in range(8)], axis=0)).all():  # a collision: by the words
+        columns = [w.doc[at], *(word[at + j] for j in range(8))]
+        order = np.lexsort(columns[::-1])
+        same = np.all([c[order][1:] == c[order][:-1] for c in columns], axis=0)
     twice = np.zeros(len(key), bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     out["n_repeat_words"] = count_in(cover(len(w.hash), at[twice], 8), w.first)
     return {k: out[k].astype(np.int64) for k in FEATURES}
 
 
-def _distinct(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Distinct hashes of each document."""
-    keep = np.unique(hashes + mix(doc.astype(np.uint64)), return_index=True)[1]
-    return np.bincount(doc[keep], minlength=n)
-
-
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and FEATURES (long) of every row; rows with equal ids stay apart."""
 

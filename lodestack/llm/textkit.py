@@ -9,14 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 #: Text bytes that a kernel takes at a time (at least one document): bounds a task's memory.
 SLICE_BYTES = 2 << 20
 
 _P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
-_pow: dict[int, np.ndarray] = {}
+# Span hashes are two polynomials of the bytes, each modulo a prime below 2 ** 31 with a base of its own: modulo a power of
+# two, such texts as those of the Thue-Morse sequence would collide whatever the base.
+_PRIMES, _BASES = (2147483647, 2147483629), (1000000933, 1357913579)
+_INVERSES = tuple(pow(b, -1, p) for b, p in zip(_BASES, _PRIMES, strict=True))
+_pow: dict[tuple[int, int], np.ndarray] = {}
 
 _all = np.arange(256)
 _space = (_all == 32) | ((_all >= 9) & (_all <= 13))
@@ -57,18 +61,19 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _pow.get(base)
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo a prime below 2**31."""
+    have = _pow.get((base, prime))
     if have is None or len(have) < n:
         size = 1 << max(12, (n - 1).bit_length())
         have = np.ones(size, np.uint64)
         k = 1
         while k < size:
-            have[k : 2 * k] = have[:k] * np.uint64(pow(base, k, 1 << 64))
+            have[k : 2 * k] = have[:k] * np.uint64(pow(base, k, prime)) % np.uint64(prime)
             k *= 2
+        have = have.astype(np.uint32)
         if size <= 4 * SLICE_BYTES:
-            _pow[base] = have
+            _pow[base, prime] = have
     return have[:n]
 
 
@@ -89,17 +94,60 @@ def sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of byte spans from ``running_sums`` of their text; length counts."""
+def span_hash(running: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of byte spans from ``running_sums`` of their text; length counts. Spans of unequal hashes differ; those of
+    equal ones are compared by their bytes where that decides a result (``same_spans``)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    h = (running[ends] - running[starts]) * powers(_P_INV, int(starts[-1] if len(starts) == 1 else starts.max()) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    most, h = int(starts.max()) + 1, []
+    for sums_, inverse, prime in zip(running, _INVERSES, _PRIMES, strict=True):
+        p = np.uint64(prime)
+        h.append((sums_[ends] - sums_[starts]) % p * powers(inverse, prime, most)[starts] % p)
+    return mix((h[0] << np.uint64(31) | h[1]) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def running_sums(data: np.ndarray) -> list[np.ndarray]:
+    """What ``span_hash`` needs of a text's bytes. Sums don't overflow: 2**33 terms below 2**31."""
+    out, plus = [], data.astype(np.uint64) + np.uint64(1)
+    for base, prime in zip(_BASES, _PRIMES, strict=True):
+        terms = plus * powers(base, prime, len(data))
+        out.append(sums(terms if len(data) < 1 << 24 else terms % np.uint64(prime)))
+    return out
 
 
-def running_sums(data: np.ndarray) -> np.ndarray:
-    """What ``span_hash`` needs of a text's bytes."""
-    return sums((data.astype(np.uint64) + np.uint64(1)) * powers(_P, len(data)))
+def same_spans(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray, part: int = 1 << 20) -> np.ndarray:
+    """Whether each span has the bytes of span ``like``: compared byte by byte, about ``part`` bytes at a time. Both
+    spans of a pair must be of one length to be the same."""
+    size = ends - starts
+    same = size == size[like]
+    for i, j in _parts(np.where(same, size, 0), part):
+        at = np.flatnonzero(same[i:j]) + i
+        n = size[at]
+        differ = text[runs(starts[at], n)] != text[runs(starts[like[at]], n)]
+        bad = np.add.reduceat(np.append(differ, False), np.minimum(np.cumsum(n) - n, len(differ))) if differ.any() else np.zeros(len(at), np.int64)
+        same[at[(bad > 0) & (n > 0)]] = False
+    return same
+
+
+def _parts(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cut a row of sizes into runs of about ``most`` in all, or of one."""
+    upto, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def span_ids(text: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span's text, a span that has each number): spans get one number if their bytes are equal. Numbers
+    are as texts come first."""
+    of, _ = pd.factorize(hashes)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(of), prepend=-1)) if len(of) else of
+    if not same_spans(text, starts, ends, first[of]).all():  # a collision: by the bytes alone
+        raw = text.tobytes()
+        of, _ = pd.factorize(np.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object))
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(of), prepend=-1))
+    return of, first
 
 
 class Words:
@@ -130,7 +178,7 @@ class Words:
         self.hash = span_hash(self.running, self.starts, self.ends) if hashed else None
 
     @property
-    def running(self) -> np.ndarray:
+    def running(self) -> list[np.ndarray]:
         if self._running is None:
             self._running = running_sums(self.text)
         return self._running

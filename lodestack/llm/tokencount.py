@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .store import bound_batches
-from .textkit import NON_BLANK, SAME, SLICE_BYTES, Lookup, Words, running_sums, runs, slices, span_hash
+from .textkit import NON_BLANK, SAME, SLICE_BYTES, Lookup, Words, running_sums, runs, slices, span_hash, span_ids
 
 
 class Vocabulary:
@@ -33,7 +33,20 @@ class Vocabulary:
         ends = np.cumsum(length)
         data = np.frombuffer(b"".join(names), np.uint8)
         self.lengths = np.unique(length).tolist()
-        self.scores = Lookup(span_hash(running_sums(data), ends - length, ends), np.array(list(pieces.values())))
+        self.data, self.starts = data, ends - length
+        self.scores = Lookup(span_hash(running_sums(data), ends - length, ends), np.arange(len(names)))
+        self.values = np.array(list(pieces.values()))
+
+    def rows(self, running: list[np.ndarray], text: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+        """The piece that each span of ``size`` bytes up to ``ends`` is, -1 if none: found by hash, compared by bytes."""
+        at = self.scores.rows(span_hash(running, ends - size, ends))
+        row = np.where(at >= 0, self.scores.values[np.maximum(at, 0)], -1)
+        hit = np.flatnonzero(row >= 0)
+        for k in range(size):
+            hit = hit[self.data[self.starts[row[hit]] + k] == text[ends[hit] - size + k]]
+        out = np.full(len(ends), -1)
+        out[hit] = row[hit]
+        return out
 
 
 def from_ranks(path: str) -> Vocabulary:
@@ -59,7 +72,7 @@ def pretokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cuts[:-1], cuts[1:], np.searchsorted(cuts[:-1], w.offsets)
 
 
-def best_counts(running: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+def best_counts(running: list[np.ndarray], text: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Pieces in the best segmentation of each span (highest score, then fewest pieces), through the spans' trie."""
     length = ends - starts
     if not len(starts):
@@ -68,6 +81,11 @@ def best_counts(running: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab
     begin = np.repeat(starts, length)
     prefix = span_hash(running, begin, pos)
     _, rep, node_of = np.unique(prefix, return_index=True, return_inverse=True)
+    # A prefix is told by the one before it and its last byte: if these agree in each node, its prefixes are equal.
+    above = np.where(pos - begin > 1, np.append(0, node_of[:-1]), -1)
+    if (above != above[rep][node_of]).any() or (text[pos - 1] != text[pos - 1][rep][node_of]).any():  # a collision
+        raw = text.tobytes()
+        _, rep, node_of = np.unique(np.array([raw[a:b] for a, b in zip(begin.tolist(), pos.tolist(), strict=True)], object), return_index=True, return_inverse=True)
     end, depth = pos[rep], (pos - begin)[rep]
     # Every piece that ends at a node: (node, node before the piece or -1 for the root, score).
     to, before, score = [], [], []
@@ -75,11 +93,11 @@ def best_counts(running: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab
         deep = np.flatnonzero(depth >= size)
         if not len(deep):
             break
-        row = vocabulary.scores.rows(span_hash(running, end[deep] - size, end[deep]))
+        row = vocabulary.rows(running, text, end[deep], size)
         deep, row = deep[row >= 0], row[row >= 0]
         to.append(deep)
         before.append(np.where(depth[deep] > size, node_of[rep[deep] - size], -1))
-        score.append(vocabulary.scores.values[row])
+        score.append(vocabulary.values[row])
     to, before, score = np.concatenate(to), np.concatenate(before), np.concatenate(score)
     order = np.lexsort((to, depth[to]))
     to, before, score = to[order], before[order], score[order]
@@ -106,8 +124,8 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, slice_bytes: int = 2 *
         for part in slices(batches, most=slice_bytes):
             w = Words(part.column("text"), NON_BLANK, SAME, hashed=False)
             starts, ends, first = pretokens(w)
-            _, rep, of = np.unique(span_hash(w.running, starts, ends), return_index=True, return_inverse=True)
-            counts = best_counts(w.running, starts[rep], ends[rep], known.value)[of]
+            of, rep = span_ids(w.text, span_hash(w.running, starts, ends), starts, ends)
+            counts = best_counts(w.running, w.text, starts[rep], ends[rep], known.value)[of]
             total = np.concatenate([[0], np.cumsum(counts)])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array((total[first[1:]] - total[first[:-1]]).astype(np.int64))], ["doc_id", "n_pretokens", "n_tokens"])
 

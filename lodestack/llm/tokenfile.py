@@ -27,7 +27,6 @@ from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import bound_batches, new_path
-from .textkit import SLICE_BYTES, buffers, running_sums, runs, slices, span_hash
+from .textkit import SLICE_BYTES, buffers, running_sums, runs, slices, span_hash, span_ids
 
 CHUNK = 1 << 16
 END_ID = 2
@@ -177,8 +176,7 @@ class Encoder:
         text, offsets = buffers(texts)
         starts = pieces(text, offsets)
         ends = np.append(starts[1:], len(text))
-        of, _ = pd.factorize(span_hash(running_sums(text), starts, ends))  # numbered as they come first
-        rep = np.flatnonzero(np.diff(np.maximum.accumulate(of), prepend=-1)) if len(of) else of
+        of, rep = span_ids(text, span_hash(running_sums(text), starts, ends), starts, ends)
         raw = text.tobytes()
         found = self.ids_of([raw[a:b] for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)])
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
