@@ -107,40 +107,62 @@ def env_vars(files: DataFrame) -> DataFrame:
     return lines.select("repo_name", "name", X.strip(default).alias("default"), X.strip(F.coalesce(comment, F.lit(""))).alias("comment"), "n")
 
 
-def _services(text: str) -> list[dict]:
-    """Services of one compose text; broken or odd YAML has none."""
+#: Nodes of a document: the place of each (its number among its siblings, from the root down), what the node above it is,
+#: its key in a map, what it is itself (map, list, text or other) and its text (of maps and lists from the third level on).
+NODES = "array<struct<place:array<int>,inside:string,name:string,kind:string,value:string>>"
+#: Nodes below this depth stay inside the text of those at it.
+NODE_DEPTH = 4
+
+
+def document_nodes(text: str | None) -> list[tuple]:
+    """NODES of a YAML text, in its order and without the root; of broken YAML none."""
     import yaml
 
+    kind = lambda v: {dict: "map", list: "list", str: "text"}.get(type(v), "other")
     try:
-        data = yaml.safe_load(text or "") or {}
+        todo = [((), yaml.safe_load(text or ""))]
     except yaml.YAMLError:
         return []
-    services = data.get("services", {}) if isinstance(data, dict) else {}
     out = []
-    for name, s in services.items() if isinstance(services, dict) else ():
-        if isinstance(s, dict):
-            env, needs = s.get("environment"), s.get("depends_on")
-            out.append({
-                "name": str(name), "image": str(s.get("image", "")), "ports": [str(p) for p in s.get("ports", []) or []],
-                "environment": [f"{k}={v}" for k, v in env.items()] if isinstance(env, dict) else [str(x) for x in env] if isinstance(env, list) else [],
-                "depends_on": [str(x) for x in needs] if isinstance(needs, (dict, list)) else [],
-            })
-    return out
+    while todo:
+        place, node = todo.pop()
+        if len(place) < NODE_DEPTH and kind(node) in ("map", "list"):
+            named = node.items() if kind(node) == "map" else ((None, x) for x in node)
+            for i, (name, x) in enumerate(named):
+                out.append(((*place, i), kind(node), None if name is None and kind(node) == "list" else str(name), kind(x), str(x) if len(place) > 1 or kind(x) in ("text", "other") else None))
+                todo.append(((*place, i), x))
+    return sorted(out)
 
 
 def compose_services(files: DataFrame) -> DataFrame:
-    """DOCKER: services of each repository's first compose file by name, in its order. Needs PyYAML on the executors."""
+    """DOCKER: services of each repository's first compose file by name, in its order. A helper gives the nodes of the
+    file (PyYAML, on the executors); what a service is made of is told from these by Spark's functions."""
     rank = F.coalesce(*[F.when(F.col("path") == p, F.lit(i)) for i, p in enumerate(COMPOSE_FILES)])
     mine = files.where(F.col("path").isin(*COMPOSE_FILES))
     first = mine.groupBy("repo_name").agg(F.min_by("path", rank).alias("path"))
-    chosen = mine.join(first, ["repo_name", "path"])
 
-    @F.pandas_udf("array<struct<name:string,image:string,ports:array<string>,environment:array<string>,depends_on:array<string>>>")
+    @F.pandas_udf(NODES)
     def parse(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(_services)
-
-    return chosen.select("repo_name", F.posexplode(parse("content")).alias("n", "s")).select("repo_name", "s.*", "n").select(*DOCKER.names, "n")
+            yield s.map(document_nodes)
+
+    chosen = mine.join(first, ["repo_name", "path"]).select("repo_name", parse("content").alias("nodes"))
+    below = lambda nodes, top: F.filter(nodes, lambda x: (F.size(x["place"]) == F.size(top["place"]) + 1) & (F.slice(x["place"], 1, F.size(top["place"])) == top["place"]))
+    root = F.filter("nodes", lambda x: (F.size(x["place"]) == 1) & (x["inside"] == "map") & (x["name"] == "services"))
+    each = chosen.select("repo_name", "nodes", F.explode(root).alias("root")).where("root.kind = 'map'")
+    each = each.select("repo_name", "nodes", F.posexplode(below(F.col("nodes"), F.col("root"))).alias("n", "service")).where("service.kind = 'map'")
+    each = each.withColumn("fields", below(F.col("nodes"), F.col("service")))
+    named = lambda k: F.get(F.filter("fields", lambda x: x["name"] == k), F.lit(0))
+    field = {k: named(k) for k in ("image", "ports", "environment", "depends_on")}
+    values = lambda k: F.coalesce(F.transform(below(F.col("nodes"), field[k]), lambda x: x["value"]), F.array())
+    names = lambda k: F.transform(below(F.col("nodes"), field[k]), lambda x: x["name"])
+    pairs = F.transform(below(F.col("nodes"), field["environment"]), lambda x: F.concat(x["name"], F.lit("="), x["value"]))
+    of = lambda k, how: F.when(field[k]["kind"] == "map", how).otherwise(values(k))
+    letters = F.filter(F.split(field["ports"]["value"], ""), lambda c: c != "")
+    return each.select(
+        "repo_name", F.col("service.name").alias("name"), F.coalesce(field["image"]["value"], F.lit("")).alias("image"), F.when(field["ports"]["kind"] == "text", letters).otherwise(of("ports", names("ports"))).alias("ports"),
+        of("environment", pairs).alias("environment"), of("depends_on", names("depends_on")).alias("depends_on"), "n",
+    )
 
 
 @dataclass(frozen=True)

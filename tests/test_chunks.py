@@ -24,52 +24,73 @@ def chunks(spark, path, content, most=512, overlap=64):
     return out.orderBy("start_line", "id").collect()
 
 
-PHP = "<?php\nnamespace App\\Models;\n\nclass User {\n  public function one() { return 1; }\n  public function two() { return 2; }\n  private function three() { return 3; }\n}\n"
+INVOICE = """<?php
+
+namespace Billing\\Pdf;
+use Other\\Thing;
+/** A bill. */
+final class Invoice extends Thing
+{
+    private int $cents = 0;
+    public static function of(array $lines): self { $x = new self(); foreach ($lines as $l) { $x->add($l); } return $x; }
+    protected function add(array $line): void { $this->cents += $line['cents']; }
+}
+"""
 
 
-def test_php(spark):
-    small = chunks(spark, "User.php", PHP)
-    assert [(c.chunk_type, c.symbol_name) for c in small] == [("class", "App\\Models\\User")]
-    assert small[0].start_line == 3  # the blank line before counts
-    assert [(c.chunk_type, c.symbol_name) for c in chunks(spark, "User.php", PHP, 20)] == [("method", f"User.{m}") for m in ("one", "two", "three")]
-    assert [(c.chunk_type, c.symbol_name) for c in chunks(spark, "g.php", "<?php\nfunction greet($n) { return $n; }\n")] == [("function", "greet")]
+def test_php_classes_stay_whole_within_the_budget_and_fall_apart_into_methods_beyond_it(spark):
+    kinds = lambda most: [(c.chunk_type, c.symbol_name) for c in chunks(spark, "src/Invoice.php", INVOICE, most)]
+    assert kinds(512) == [("class", "Billing\\Pdf\\Invoice")]
+    assert kinds(40) == [("method", "Invoice.of"), ("method", "Invoice.add")]
+    (whole,) = chunks(spark, "src/Invoice.php", INVOICE)
+    assert whole.text.strip().startswith("final class Invoice") and whole.text.endswith("}") and whole.end_line == INVOICE.count("\n")
+    loose = "<?php\n\n  function tax_of($cents)\n{\n  return intdiv($cents * 19, 100);\n}\n$x = tax_of(5);\n"
+    (tax,) = chunks(spark, "tax.php", loose)
+    assert (tax.chunk_type, tax.symbol_name, tax.end_line) == ("function", "tax_of", 6) and tax.text.endswith("}")
 
 
-def test_go(spark):
-    text = "package main\n\nfunc Hello() {\n}\nfunc World(x interface{}) {\n  y()\n}\ntype User struct {\n  N string\n}\nfunc (s *Server) Run() {}\n"
-    found = chunks(spark, "m.go", text)
-    assert [c.symbol_name for c in found] == ["main.Hello", "main.World", "main.User", "s.Run"]
-    assert found[1].text == "func World(x interface{}"  # the first brace is the parameter's
+def test_go_functions_methods_and_structs(spark):
+    text = "package queue\n\nimport \"sync\"\n\ntype Ring struct {\n\tmu sync.Mutex\n\tbuf []byte\n}\n\nfunc (r *Ring) Push(b byte) { r.buf = append(r.buf, b) }\n\nfunc merge(opts map[string]struct{}, more ...int) (n int) {\n\tn = len(opts)\n\treturn\n}\n"
+    found = chunks(spark, "queue/ring.go", text)
+    assert [c.symbol_name for c in found] == ["queue.Ring", "r.Push", "queue.merge"]
+    assert found[0].text.strip() == "type Ring struct {\n\tmu sync.Mutex\n\tbuf []byte\n}"
+    assert found[2].text.strip() == "func merge(opts map[string]struct{}"  # a block ends with the first brace that is closed, here the parameter's
 
 
-def test_typescript(spark):
-    found = chunks(spark, "a.ts", "import x\nexport async function add(a) {\n}\nexport const PI = 3\n")
-    assert [(c.chunk_type, c.symbol_name, c.start_line, c.end_line) for c in found] == [("function", "add", 2, 3), ("const", "PI", 4, 4)]
+def test_typescript_exports_run_to_the_next_one(spark):
+    text = "// head\nconst hidden = 0\nexport default class Cart {\n  total = 0\n}\n\n  export const VAT = hidden\nexport function* none() {}\nexport async function pay(c: Cart) {\n  return c\n}"
+    found = chunks(spark, "web/cart.tsx", text)
+    assert [(c.chunk_type, c.symbol_name, c.start_line, c.end_line) for c in found] == [("class", "Cart", 3, 6), ("const", "VAT", 7, 7), ("function", None, 8, 8), ("function", "pay", 9, 11)]
+    assert "".join(c.text for c in found) == text[text.index("export default") :]
 
 
-def test_vue(spark):
-    text = "<template>\n<a/>\n</template>\n<script>\n" + "let x = 1\n" * 30 + "</script>\n<style>p{}</style>\n"
-    assert [c.chunk_type for c in chunks(spark, "A.vue", text)] == ["template", "script", "style"]
-    cut = [c for c in chunks(spark, "A.vue", text, 30) if c.chunk_type == "script"]
-    assert len(cut) > 1 and cut[0].start_line == 4 and cut[-1].end_line == 35 and all(c.symbol_name == "script" for c in cut)
+def test_vue_blocks_are_cut_to_windows_beyond_the_budget(spark):
+    text = "<script setup lang='ts'>\n" + "".join(f"const field{i} = ref({i})\n" for i in range(25)) + "</script>\n\n<style scoped>b { top: 0 }</style>\n<template><p>hi</p></template>\n"
+    assert [(c.chunk_type, c.start_line, c.end_line) for c in chunks(spark, "Form.vue", text)] == [("script", 1, 27), ("style", 29, 29), ("template", 30, 30)]
+    cut = [c for c in chunks(spark, "Form.vue", text, 40) if c.symbol_name == "script"]
+    assert len(cut) > 2 and (cut[0].start_line, cut[-1].end_line) == (1, 27) and all(b.start_line <= a.end_line + 1 for a, b in zip(cut, cut[1:]))
 
 
-def test_markdown(spark):
-    found = chunks(spark, "docs/README.md", "# A\ntext\n## B\nb\n## C\nc\n#### d\n")
-    assert [(c.symbol_name, c.start_line, c.end_line) for c in found] == [("A", 1, 7), ("B", 3, 4), ("C", 5, 7)]
-    assert found[0].id == "my-repo:docs/README.md:1" and found[0].abs_file_path == "/w/my-repo/docs/README.md" and found[0].file_mtime == 5.0
+def test_markdown_sections_hold_their_children(spark):
+    text = "intro\n# Guide\nhello\n### Deep\ndeep\n## Use\nrun it\n#### not one\n# End \nbye\n"
+    found = chunks(spark, "docs/guide.md", text)
+    assert [(c.symbol_name, c.start_line, c.end_line) for c in found] == [("Guide", 2, 8), ("Deep", 4, 5), ("Use", 6, 8), ("End", 9, 10)]
+    first = found[0]
+    assert (first.id, first.abs_file_path, first.file_mtime, first.chunk_type) == ("my-repo:docs/guide.md:2", "/w/my-repo/docs/guide.md", 5.0, "section")
 
 
-def test_yaml(spark):
-    text = "version: 3\nservices:\n  app:\n    image: x\n  db:\n    image: y\ndatabase: z\n"
-    assert [c.symbol_name for c in chunks(spark, "c.yaml", text)] == ["version", "services", "database"]
-    assert [(c.symbol_name, c.start_line, c.end_line) for c in chunks(spark, "docker-compose.yml", text)] == [("app", 3, 4), ("db", 5, 6)]
+def test_yaml_keys_and_compose_services(spark):
+    text = "name: shop\nservices:\n  # front\n  web-1:\n    build: .\n  cache.main:\n    image: redis\n    x: 1\nvolumes: {}\n"
+    assert [(c.symbol_name, c.start_line) for c in chunks(spark, "deploy/values.yml", text)] == [("name", 1), ("services", 2), ("volumes", 9)]
+    assert [(c.symbol_name, c.start_line, c.end_line) for c in chunks(spark, "deploy/docker-compose.prod.yml", text)] == [("web-1", 4, 5), ("cache.main", 6, 8)]
 
 
-def test_line_windows(spark):
-    text = "\n".join(f"line {i} with some words" for i in range(60))
-    found = chunks(spark, "a.txt", text, 20, 8)
-    assert len(found) > 1 and all(len(c.text) // 4 <= 24 for c in found) and found[1].start_line <= found[0].end_line
+def test_line_windows_share_lines(spark):
+    lines = [f"{i:03} " + "word " * (i % 7) + "\n" for i in range(90)]
+    found = chunks(spark, "notes.txt", "".join(lines), 30, 10)
+    weights = [max(len(x) // 4, 1) for x in lines]
+    assert [(c.start_line - 1, c.end_line) for c in found] == loop_windows(weights, 30, 10)
+    assert all(c.text == "".join(lines[c.start_line - 1 : c.end_line]) for c in found)
 
 
 def test_no_chunks_and_long_lines(spark):

@@ -68,8 +68,22 @@ def test_extractors(spark):
     assert rows.count() == 8 and summary.lookup(rows, "env", "gos").first().payload == "[]" and summary.lookup(rows, "env", "none").isEmpty()
 
 
-def test_broken_compose():
-    assert extract._services("a: [") == [] and extract._services("services: [1]") == [] and extract._services("- x") == []
+COMPOSE = {
+    "a: [": [], "services: [1]": [], "- x": [], "": [], "services: text": [], "- services: {web: {image: i}}": [], "services: {one: 1, two: [x], three: null}": [],
+    "services: {web: {}}": [("web", "", [], [], [])],
+    "x-base: &b {image: base:1}\nservices:\n  2: *b\n  api:\n    image: null\n    ports: [8080, '53:53/udp', 1.5]\n    environment: [A=1, B]\n    depends_on: {cache: {condition: up}, 2: {}}\n":
+        [("2", "base:1", [], [], []), ("api", "None", ["8080", "53:53/udp", "1.5"], ["A=1", "B"], ["cache", "2"])],
+    "services:\n  w:\n    ports: 81\n    environment: {K: 1, L: null, M: true, N: [1]}\n    depends_on: [p, 3]\n  v: {ports: '9:9', depends_on: w, environment: x, image: {a: b}}\n":
+        [("w", "", [], ["K=1", "L=None", "M=True", "N=[1]"], ["p", "3"]), ("v", "{'a': 'b'}", ["9", ":", "9"], [], [])],
+}
+
+
+def test_compose_services(spark):
+    texts = list(COMPOSE)
+    found = extract.compose_services(listing(spark, *[(f"r{i}", "compose.yml", t) for i, t in enumerate(texts)], ("both", "compose.yaml", "services: {late: {}}"), ("both", "docker-compose.yaml", "services: {first: {}}"), ("sub", "x/compose.yml", "services: {no: {}}"))).collect()
+    for i, t in enumerate(texts):
+        assert [(r.name, r.image, r.ports, r.environment, r.depends_on) for r in sorted(found, key=lambda r: r.n) if r.repo_name == f"r{i}"] == COMPOSE[t], t
+    assert [(r.repo_name, r.name) for r in found if not r.repo_name.startswith("r")] == [("both", "first")]
 
 
 def test_runs(spark, tmp_path):
