@@ -68,7 +68,8 @@ def numbered(rows: DataFrame, group: str, key: Column, range_rows: int = 100_000
     rows = salted(rows)
     key = F.concat(key, F.lit("!"), F.col("salt"))
     total = rows.count()
-    at = splitters(rows, total, F.concat(F.col(group), F.lit("!"), key), F.lit(1), -(-total // range_rows))
+    ranges = max(-(-total // range_rows), min(total // 1000, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    at = splitters(rows, total, F.concat(F.col(group), F.lit("!"), key), F.lit(1), ranges)
     ranged = rows.withColumn("range", range_of(F.concat(F.col(group), F.lit("!"), key), at)).withColumn("order", key)
     sizes = ranged.groupBy(group, "range").agg(F.count(F.lit(1)).alias("size"))
     before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
