@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as X
 from lodestack.operators import chunk, detect, embed, extract, files, incremental, search, summary
-from lodestack.schemas import CATEGORIES, SUMMARIES
-from lodestack.sources.tables import Store, small
+from lodestack.schemas import CATEGORIES, STORED, SUMMARIES
+from lodestack.sources.tables import Store
 
 
 @dataclass
@@ -49,17 +49,19 @@ def index(listing: DataFrame, store: Store, settings: Settings | None = None, fu
     # Embedded once, read twice below.
     new = _written(store, "run", embed.embed_chunks(chunk.chunk_files(todo, s.max_tokens, s.overlap_tokens), s.embed or embed.hashed_words(s.dim), s.dim))
     touched = scanned if full else changed.select("repo_name").distinct()
-    old = store.chunks().where(F.lit(not full)).join(small(touched), "repo_name", "left_semi")
-    store.write_chunks(incremental.upsert(old.select(*new.columns), new, s.upsert_by), touched)
+    kept_rows = new if full else incremental.upsert(store.chunks(touched).select(*new.columns), new, s.upsert_by)
+    store.write_chunks(kept_rows, touched)
     processed = _written(store, "processed", incremental.chunk_counts(changed, new))
     store.write("manifest", incremental.next_manifest(manifest, indexed, processed))
     wanted = _written(store, "extracted", extract.extractable(listing))  # all content is read once for all extractors
     for category, rows in extract.extract_structured(wanted, profiles).items():
         store.save_structured(category, rows, scanned)
-    routes = store.structured("routes").join(scanned, "repo_name", "left_semi")
+    routes = store.structured("routes", scanned)
     fresh = summary.summaries(profiles, routes, store.manifest(), store.summaries(), processed, X.utc_stamp(F.current_timestamp()))
     kept = store.summaries().join(profiles.select("name"), "name", "left_anti").select(*SUMMARIES.names)
     store.write("summaries", kept.unionByName(fresh))
+    for table, schema in (("chunks", STORED), *CATEGORIES.items()):
+        store.compact(table, schema)
     for table in ("chunks", "manifest", "summaries", "profiles", "changed", "run", "processed", "extracted", *CATEGORIES):
         store.clean(table)
     return summary.run_stats(processed)

@@ -23,8 +23,9 @@ DOCKER = _table(repo_name=_s, name=_s, image=_s, ports=_list, environment=_list,
 CATEGORIES = {"routes": ROUTES, "migrations": MIGRATIONS, "env": ENV, "docker": DOCKER}
 SUMMARIES = _table(name=_s, stack=_s, framework=_s, key_files=T.MapType(_s, _s), models=_list, endpoints_count=_l, chunk_count=_l, last_indexed=_s)
 MANIFEST = _table(abs_path=_s, repo_name=_s, mtime=_d, chunk_count=_l)
-#: Which part of a table a repository's rows are in.
-LIVE = _table(repo_name=_s, part=_s)
+#: Where the rows of a table's repositories are: a part (one write) and its bucket; how many they are, and how many rows
+#: that bucket of the part has in all.
+LIVE = _table(repo_name=_s, part=_s, bucket=_i, n=_l, total=_l)
 PAYLOADS = _table(repo_name=_s, category=_s, payload=_s)
 HITS = _table(chunk_text=_s, file_path=_s, repo_name=_s, start_line=_i, end_line=_i, language=_s, chunk_type=_s, symbol_name=_s, score=_d)
 

@@ -58,6 +58,19 @@ def small(names: DataFrame) -> DataFrame:
     return F.broadcast(names) if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else names
 
 
+#: Buckets of repositories that a part has, and so its folders.
+BUCKETS = 64
+#: Parts of a bucket from which on those are merged that aren't larger than all smaller ones together.
+PARTS = 8
+#: Most names that are pushed to the scan as a list.
+PUSHED = 1000
+
+
+def without(rows: DataFrame, repos: DataFrame) -> DataFrame:
+    """Rows of other repositories than ``repos``; a null name is a name."""
+    return rows.join(small(repos.select(F.col("repo_name").alias("_r"))), F.col("repo_name").eqNullSafe(F.col("_r")), "left_anti")
+
+
 class Store:
     """Tables below one folder, for one writer at a time.
 
@@ -65,12 +78,16 @@ class Store:
     whose name has the version's number: so a table can be read while it is replaced, and a write that fails at any point
     leaves the one before. ``clean`` deletes what no recent version has.
 
-    Chunks and typed rows lie in parts by repository: a write adds a part with the rows of the repositories that it
-    replaces, and a version is the table of which part each repository's rows are in. The others aren't touched.
+    Chunks and typed rows lie in parts: a write adds a part with the rows of the repositories that it replaces or adds, in
+    a folder for each bucket of repository names, sorted by name. A version is the table of where each repository's rows
+    are (LIVE). So a write makes ``BUCKETS`` folders at most however many repositories it has, a read of some repositories
+    opens their folders only, deleting touches no data, and null and empty names are names like others. What is replaced
+    or deleted stays in its file until ``compact`` writes the bucket anew: a bucket of a part is merged when less than half
+    of its rows are live, and the smaller ones of a bucket are when it lies in more than ``PARTS`` parts.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -97,50 +114,120 @@ class Store:
         found = self.versions(table)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{found[-1]}").select(*schema.names) if found else self.spark.createDataFrame([], schema)
 
-    def replace(self, table: str, rows: DataFrame, repos: DataFrame) -> None:
-        """Replace the rows of ``repos`` (repo_name) by ``rows``, which has none of other repositories. AQE deals a
-        repository with very many rows out to several tasks and files."""
+    def _add_part(self, table: str, rows: DataFrame) -> DataFrame:
+        """Write rows as a part; LIVE of it, counted from what was written. AQE deals a bucket with very many rows out to
+        several tasks and files."""
         part = uuid.uuid4().hex
-        rows.hint("rebalance", "repo_name").write.partitionBy("repo_name").parquet(f"{self.root}/{table}/parts/part={part}")
-        mine = repos.select("repo_name").distinct()
-        self.write(table, self._live(table).join(small(mine), "repo_name", "left_anti").unionByName(mine.withColumn("part", F.lit(part))))
+        path = f"{self.root}/{table}/parts/part={part}"
+        bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("repo_name"), F.lit(self.buckets)).cast("int")).hint("rebalance", "bucket")
+        bucketed.sortWithinPartitions("bucket", "repo_name").write.partitionBy("bucket").parquet(path)
+        if not any(x.startswith("bucket=") for x in self._names(path)):
+            return self.spark.createDataFrame([], LIVE)
+        written = self.spark.read.schema("repo_name string, bucket int").parquet(path)
+        counts = written.groupBy("repo_name", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        totals = counts.groupBy("bucket").agg(F.sum("n").alias("total"))
+        return counts.join(F.broadcast(totals), "bucket").select("repo_name", F.lit(part).alias("part"), "bucket", "n", "total")  # a row a bucket
+
+    def replace(self, table: str, rows: DataFrame, repos: DataFrame | None = None) -> None:
+        """Replace the rows of ``repos`` (repo_name), or of those that ``rows`` has, by ``rows``, which is computed once.
+        Rows of repositories that aren't among ``repos`` are added to what the table has."""
+        new = self._add_part(table, rows)
+        gone = (new if repos is None else repos).select("repo_name").distinct()
+        self.write(table, without(self._live(table), gone).unionByName(new))
+
+    def delete_repo(self, table: str, repo_name: str) -> int:
+        """Delete a repository's rows; how many they were. Only the table of places is written."""
+        live = self._live(table)
+        mine = F.col("repo_name").eqNullSafe(repo_name)
+        n = live.where(mine).agg(F.sum("n")).first()[0] or 0
+        if n:
+            self.write(table, live.where(~mine))
+        return n
 
     def _live(self, table: str) -> DataFrame:
         return self.read(table, LIVE)
 
-    def parts(self, table: str, schema: T.StructType) -> DataFrame:
-        """Rows of a table that ``replace`` keeps. Only parts and repositories of the current version are read."""
+    def folders(self, table: str, repos: DataFrame | None = None) -> list[tuple[str, int, int, int]]:
+        """(part, bucket, live rows, rows) of all folders that are in use, or of those that have rows of ``repos``.
+        ``compact`` bounds their number by buckets and the logarithm of the rows."""
         live = self._live(table)
-        names = [r["part"] for r in live.select("part").distinct().collect()]  # one a run that is still in use
-        paths = [f"{self.root}/{table}/parts/part={p}" for p in names if any(x.startswith("repo_name=") for x in self._names(f"{self.root}/{table}/parts/part={p}"))]
-        if not paths:
+        if repos is not None:
+            live = live.join(small(repos.select(F.col("repo_name").alias("_r")).distinct()), F.col("repo_name").eqNullSafe(F.col("_r")), "left_semi")
+        found = live.groupBy("part", "bucket").agg(F.sum("n").alias("n"), F.max("total").alias("total")).collect()
+        return sorted((r["part"], r["bucket"], r["n"], r["total"]) for r in found)
+
+    def parts(self, table: str, schema: T.StructType, repos: DataFrame | None = None) -> DataFrame:
+        """Rows of a table that ``replace`` keeps; of ``repos`` only, if given: then only the folders that have some are
+        opened, and of these, where the names are few, only the row groups that may."""
+        folders = [x[:2] for x in self.folders(table, repos)]
+        rows = self._rows(table, schema, folders)
+        if repos is None or not folders:
+            return rows
+        wanted = repos.select("repo_name").distinct()
+        names = [r["repo_name"] for r in wanted.limit(PUSHED + 1).collect()]
+        if len(names) <= PUSHED:
+            named = F.col("repo_name").isin(*[x for x in names if x is not None])
+            return rows.where(named | F.col("repo_name").isNull() if None in names else named)
+        return rows.join(small(wanted.withColumnRenamed("repo_name", "_r")), F.col("repo_name").eqNullSafe(F.col("_r")), "left_semi")
+
+    def _rows(self, table: str, schema: T.StructType, folders: list[tuple[str, int]]) -> DataFrame:
+        """Live rows of folders."""
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        kinds = T.StructType([f for f in schema.fields if f.name != "repo_name"]).add("part", "string").add("repo_name", "string")
-        rows = self.spark.read.schema(kinds).option("basePath", f"{self.root}/{table}/parts").parquet(*paths)
-        return rows.join(small(live), ["part", "repo_name"], "left_semi").select(*schema.names)
+        base = f"{self.root}/{table}/parts"
+        kinds = T.StructType([*schema.fields, T.StructField("part", T.StringType()), T.StructField("bucket", T.IntegerType())])
+        rows = self.spark.read.schema(kinds).option("basePath", base).parquet(*[f"{base}/part={p}/bucket={b}" for p, b in folders])
+        live = self._live(table).select(F.col("repo_name").alias("_r"), F.col("part").alias("_p"), F.col("bucket").alias("_b"))
+        here = (F.col("part") == F.col("_p")) & (F.col("bucket") == F.col("_b")) & F.col("repo_name").eqNullSafe(F.col("_r"))
+        return rows.join(small(live), here, "left_semi").select(*schema.names)
+
+    def compact(self, table: str, schema: T.StructType) -> int:
+        """Merge folders that are mostly dead or too many (see above) into a new part; how many were."""
+        merge: list[tuple[str, int]] = []
+        by: dict[int, list[tuple[str, int, int, int]]] = {}
+        for f in self.folders(table):
+            by.setdefault(f[1], []).append(f)
+        for folders in by.values():
+            dead = {f[0] for f in folders if 2 * f[2] < f[3]}
+            folders.sort(key=lambda f: f[2])
+            if len(folders) - len(dead) > PARTS:
+                smaller, upto = 0, 0
+                for i, f in enumerate(folders):
+                    if f[2] <= smaller:
+                        upto = i + 1
+                    smaller += f[2]
+                dead |= {f[0] for f in folders[: max(upto, 2)]}
+            merge += [f[:2] for f in folders if f[0] in dead]
+        if not merge:
+            return 0
+        new = self._add_part(table, self._rows(table, schema, merge))
+        gone = self.spark.createDataFrame(merge, "part string, bucket int")
+        self.write(table, self._live(table).join(F.broadcast(gone), ["part", "bucket"], "left_anti").select(*LIVE.names).unionByName(new))
+        return len(merge)
 
     def clean(self, table: str, keep: int = 2) -> None:
-        """Delete all but the last ``keep`` versions of a table, and parts that none of these has. Readers of older
-        versions fail; so keep as many as there may be runs while one is read."""
+        """Delete all but the last ``keep`` versions of a table, and folders of parts that none of these has. Readers of
+        older versions fail; so keep as many as there may be runs while one is read."""
         found = self.versions(table)
         old, rest = found[: max(0, len(found) - keep)], found[max(0, len(found) - keep) :]
         if parts := self._names(f"{self.root}/{table}/parts"):
             used = set()
             for v in rest:
-                used |= {f"part={r['part']}" for r in self.spark.read.schema(LIVE).parquet(f"{self.root}/{table}/{v}").select("part").distinct().collect()}
-            old = old + [f"parts/{p}" for p in parts if p not in used]
+                used |= {(f"part={r['part']}", f"bucket={r['bucket']}") for r in self.spark.read.schema(LIVE).parquet(f"{self.root}/{table}/{v}").select("part", "bucket").distinct().collect()}
+            old = old + [f"parts/{p}" for p in parts if p not in {u[0] for u in used}]
+            old += [f"parts/{p}/{b}" for p in {u[0] for u in used} for b in self._names(f"{self.root}/{table}/parts/{p}") if b.startswith("bucket=") and (p, b) not in used]
         for v in old:
             for path in (f"{self.root}/{table}/_versions/{v}", f"{self.root}/{table}/{v}"):
                 fs, p = self._fs(path)
                 fs.delete(p, True)
 
-    def chunks(self) -> DataFrame:
-        return self.parts("chunks", STORED)
+    def chunks(self, repos: DataFrame | None = None) -> DataFrame:
+        """All chunks, or those of ``repos`` (repo_name)."""
+        return self.parts("chunks", STORED, repos)
 
     def write_chunks(self, rows: DataFrame, repos: DataFrame | None = None) -> None:
-        """Replace the chunks of ``repos``, or of those that ``rows`` has."""
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
-        self.replace("chunks", rows, rows if repos is None else repos)
+        """Replace the chunks of ``repos``, or of those that ``rows`` has. ``rows`` is computed once."""
+        self.replace("chunks", rows.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields]), repos)
 
     def manifest(self) -> DataFrame:
         """What was indexed; an empty table if its files aren't such a table, so that everything is indexed anew."""
@@ -155,17 +242,16 @@ class Store:
     def summaries(self) -> DataFrame:
         return self.read("summaries", SUMMARIES)
 
-    def structured(self, category: str) -> DataFrame:
-        return self.parts(category, CATEGORIES[category])
+    def structured(self, category: str, repos: DataFrame | None = None) -> DataFrame:
+        return self.parts(category, CATEGORIES[category], repos)
 
     def save_structured(self, category: str, rows: DataFrame, repos: DataFrame | None = None) -> None:
         """Replace a category's rows of ``repos`` (repo_name), which may have none now; of those that ``rows`` has if no
         repositories are given."""
-        rows = rows.select(*CATEGORIES[category].names)
-        self.replace(category, rows, rows if repos is None else repos)
+        self.replace(category, rows.select(*CATEGORIES[category].names), repos)
 
     def load_structured(self, category: str, repo_name: str) -> DataFrame:
-        return self.structured(category).where(F.col("repo_name") == repo_name)
+        return self.structured(category, self.spark.createDataFrame([(repo_name,)], "repo_name string"))
 
     def save_json(self, payloads: DataFrame) -> None:
         """JSON lines of (repo_name, category, payload), a folder a pair; only the pairs that ``payloads`` has are

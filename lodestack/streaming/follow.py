@@ -7,8 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.operators import chunk, embed, files, incremental
 from lodestack.plans.index import Settings
-from lodestack.schemas import FILES
-from lodestack.sources.tables import Store, small
+from lodestack.schemas import FILES, STORED
+from lodestack.sources.tables import Store
 
 
 def follow(spark: SparkSession, source: str, store: Store, checkpoint: str, settings: Settings | None = None) -> StreamingQuery:
@@ -21,7 +21,8 @@ def follow(spark: SparkSession, source: str, store: Store, checkpoint: str, sett
         store.write("run", rows)
         rows = store.read("run", rows.schema)
         repos = rows.select("repo_name").distinct()
-        store.write_chunks(incremental.upsert(store.chunks().join(small(repos), "repo_name", "left_semi").select(*rows.columns), rows, s.upsert_by), repos)
+        store.write_chunks(incremental.upsert(store.chunks(repos).select(*rows.columns), rows, s.upsert_by), repos)
+        store.compact("chunks", STORED)
         store.clean("run")
         store.clean("chunks")
 

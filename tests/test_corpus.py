@@ -217,10 +217,110 @@ def test_only_touched_repositories_are_written(spark, tmp_path):
     index.index(listing(spark, ("a", "x.json", "one\n"), ("b", "y.json", "two\n")), store)
     index.index(listing(spark, ("a", "x.json", "one\n"), ("b", "y.json", "two\n"), ("b", "z.json", "three\n")), store)
     assert sorted((r.repo_name, r.text) for r in store.chunks().collect()) == [("a", "one\n"), ("b", "three\n"), ("b", "two\n")]
-    live = {r.repo_name: r.part for r in store.read("chunks", LIVE).collect()}
-    assert live["a"] != live["b"]
-    folders = {p.name for p in (tmp_path / "chunks" / "parts" / f"part={live['b']}").iterdir() if p.is_dir()}
-    assert folders == {"repo_name=b"}
+    live = {r.repo_name: r for r in store.read("chunks", LIVE).collect()}
+    assert live["a"].part != live["b"].part
+    assert {p.name for p in (tmp_path / "chunks" / "parts" / f"part={live['b'].part}").iterdir() if p.is_dir()} == {f"bucket={live['b'].bucket}"}
+
+
+def stored(spark, *rows):
+    """Chunks of (id, repository, text, vector)."""
+    from lodestack.schemas import STORED
+
+    return spark.createDataFrame([(i, t, r, "f", f"/w/{r}/f", 1, 1, "go", "text", None, 0.0, v) for i, r, t, v in rows], STORED)
+
+
+def kept(store, repos=None):
+    return sorted(((r.id, r.repo_name, r.text) for r in store.chunks(repos).collect()), key=str)
+
+
+def test_null_and_empty_names_are_names(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write_chunks(stored(spark, ("1", None, "a", [0.0]), ("2", "", "b", [0.0]), ("3", "x", "c", [0.0])))
+    assert kept(store) == [("1", None, "a"), ("2", "", "b"), ("3", "x", "c")]
+    store.write_chunks(stored(spark, ("4", None, "d", [0.0])))
+    assert kept(store) == [("2", "", "b"), ("3", "x", "c"), ("4", None, "d")]
+    assert kept(store, spark.createDataFrame([(None,), ("",)], "repo_name string")) == [("2", "", "b"), ("4", None, "d")]
+    store.write_chunks(stored(spark).limit(0), spark.createDataFrame([(None,)], "repo_name string"))
+    assert kept(store) == [("2", "", "b"), ("3", "x", "c")]
+
+
+def test_chunks_are_embedded_once_a_write(spark, tmp_path):
+    store, seen = Store(spark, str(tmp_path)), spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        seen.add(len(texts))
+        return [[float(len(t))] for t in texts]
+
+    rows = stored(spark, *[(str(i), f"r{i % 7}", f"text {i}", None) for i in range(90)]).drop("vector")
+    store.write_chunks(embed.embed_chunks(rows, counted, 1))
+    assert store.chunks().count() == 90 and seen.value == 90
+
+
+def test_reading_some_repositories_opens_their_folders_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for run in range(3):
+        store.write_chunks(stored(spark, *[(f"{run}-{i}", f"r{run}-{i}", "t", [0.0]) for i in range(60)]))
+    wanted = spark.createDataFrame([("r1-7",)], "repo_name string")
+    some = store.chunks(wanted)
+    assert [r.id for r in some.collect()] == ["1-7"]
+    opened = lambda rows: {f.rsplit("/", 1)[0] for f in rows.inputFiles() if "/parts/" in f}
+    assert len(opened(some)) == 1 < len(opened(store.chunks()))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "In(repo_name, [r1-7])" in plan or "EqualTo(repo_name,r1-7)" in plan
+
+
+def test_an_incremental_run_reads_only_touched_repositories(spark, tmp_path, monkeypatch):
+    store, opened = Store(spark, str(tmp_path)), []
+    real = Store._rows
+    monkeypatch.setattr(Store, "_rows", lambda self, table, schema, folders: opened.append((table, len(folders))) or real(self, table, schema, folders))
+    names = [f"r{i}" for i in range(40)]
+    index.index(listing(spark, *[(r, "x.json", f"{r}\n") for r in names]), store)
+    opened.clear()
+    changed = listing(spark, *[(r, "x.json", f"{r}\n") for r in names]).withColumn("mtime", F.when(F.col("repo_name") == "r3", 2.0).otherwise(1.0))
+    assert {r.repo_name: r.files_processed for r in index.index(changed, store).collect()} == {"r3": 1, None: 1}
+    assert [n for table, n in opened if table == "chunks"] == [1]
+    assert store.chunks().count() == 40
+
+
+def test_storage_is_bounded_after_many_runs(spark, tmp_path):
+    """Replacing and adding repositories for many runs leaves few folders, and no more dead rows than live ones."""
+    store, want = Store(spark, str(tmp_path), buckets=4), {}
+    for run in range(50):
+        names = [f"r{k}" for k in (run % 5, 5 + run % 11, 20 + run)]
+        store.write_chunks(stored(spark, *[(f"{n}-{run}-{i}", n, "t", [0.0]) for n in names for i in range(3)]))
+        want |= {n: [f"{n}-{run}-{i}" for i in range(3)] for n in names}
+        store.compact("chunks", tables.STORED)
+        store.clean("chunks", keep=1)
+    assert sorted(r.id for r in store.chunks().select("id").collect()) == sorted(i for ids in want.values() for i in ids)
+    folders = store.folders("chunks")
+    live, total = sum(f[2] for f in folders), sum(f[3] for f in folders)
+    on_disk = spark.read.schema("id string").parquet(f"{tmp_path}/chunks/parts/*/*").count()
+    assert live == 3 * len(want) and total <= 2 * live and on_disk == total and len(folders) <= 4 * (tables.PARTS + 8)
+
+
+def test_many_small_repositories_make_few_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=8)
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("text"), F.concat(F.lit("r"), "id").alias("repo_name"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in tables.STORED.fields[3:]])
+    store.write_chunks(rows)
+    assert store.chunks().count() == 20_000 and len(list((tmp_path / "chunks" / "parts").rglob("*.parquet"))) <= 64
+
+
+def test_deleting_touches_no_data(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write_chunks(stored(spark, *[(str(i), f"r{i % 3}", "t", [0.0]) for i in range(30)]))
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "chunks" / "parts").rglob("*.parquet")}
+    before = files()
+    assert store.delete_repo("chunks", "r1") == 10 and store.delete_repo("chunks", "r1") == 0 and store.delete_repo("chunks", None) == 0
+    assert files() == before and {r.repo_name for r in store.chunks().collect()} == {"r0", "r2"}
+    store.write_chunks(stored(spark, ("new", "r1", "t", [0.0])))
+    assert kept(store, spark.createDataFrame([("r1",)], "repo_name string")) == [("new", "r1", "t")]
+
+
+def test_search_measures_rows_of_one_id_apart(spark):
+    rows = stored(spark, ("same", "r", "near", [0.0, 0.0]), ("same", "r", "far", [4.0, 0.0]), ("b", "r", "middle", [1.0, 0.0]), ("c", "r", "none", None), (None, "r", "no id", [0.5, 0.0]))
+    found = [(r.chunk_text, r.score) for r in search.search(rows, [0.0, 0.0], limit=10).orderBy("rank").collect()]
+    assert found == [("near", 1.0), ("no id", 1 / 1.25), ("middle", 0.5), ("far", 1 / 17)]
+    assert [r.chunk_text for r in search.search(rows, [0.0, 0.0], limit=2).orderBy("rank").collect()] == ["near", "no id"]
 
 
 def test_json_is_replaced_by_pair_and_read_back(spark, tmp_path):
