@@ -16,19 +16,48 @@ EmbedFn = Callable[[list[str]], list[list[float]]]
 
 
 def hashed_words(dim: int = 64) -> EmbedFn:
-    """A deterministic embedder without a model: hashed word counts, of unit length."""
+    """A deterministic embedder without a model: hashed word counts, of unit length. A word's MD5 tells its entry and its
+    sign."""
+    known: dict[str, tuple[int, int]] = {}
+
+    def place(word: str) -> tuple[int, int]:
+        if len(known) > 1_000_000:
+            known.clear()
+        h = hashlib.md5(word.encode()).digest()
+        found = known[word] = int.from_bytes(h[:4], "big") % dim, 1 if h[4] & 1 else -1
+        return found
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = hashlib.blake2b(w.encode(), digest_size=8).digest()
-                out[i, int.from_bytes(h[:4], "little") % dim] += 1 if h[4] & 1 else -1
+            words = [known.get(w) or place(w) for w in t.lower().split()]
+            if words:
+                at = np.array(words)
+                out[i] = np.bincount(at[:, 0], weights=at[:, 1], minlength=dim)
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
     return embed
 
 
+def digest(text: Column) -> Column:
+    """What names a text's vector among the known ones: the bytes of its SHA-256."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def embed_distinct(chunks: DataFrame, known: DataFrame, embed: EmbedFn, dim: int, keep: Callable[[DataFrame], DataFrame], batch: int = BATCH) -> DataFrame:
+    """Rows with the vectors of their texts, each distinct text embedded once, and not at all if ``known`` (digest, vector)
+    has it. keep: stores the rows (digest, vector) that are new, and gives them back.
+
+    Texts are dealt out evenly before they are embedded, which costs far more than moving them. Copies of a text, however
+    many, are one row from the first task on; a null text is an empty one.
+    """
+    keyed = chunks.withColumn("digest", digest(F.col("text")))
+    texts = keyed.groupBy("digest").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    missing = texts.join(known.select("digest"), "digest", "left_anti")
+    fresh = keep(embed_chunks(missing, embed, dim, batch, partitions=2 * chunks.sparkSession.sparkContext.defaultParallelism).select("digest", "vector"))
+    return keyed.join(known.select("digest", "vector").unionByName(fresh), "digest").drop("digest")
+
+
 def embed_chunks(chunks: DataFrame, embed: EmbedFn, dim: int, batch: int = BATCH, column: str = "text", partitions: int = 0) -> DataFrame:
     """Rows with their vector, in batches of ``batch`` texts. A wrong number of vectors, or of a wrong length, fails the
     job with the first chunk id that has none. ``partitions``: deal

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import packing
 from lodestack.functions import text as X
-from lodestack.operators import chunk, detect, embed, extract, files, incremental, search, summary
+from lodestack.operators import chunk, detect, embed, extract, files, incremental, pivots, search, summary
 from lodestack.plans import index
 from lodestack.schemas import FILES
 from lodestack.sources.shared import new_path
@@ -491,7 +491,7 @@ def _stored(store: Store, stats: DataFrame) -> DataFrame:
 
 
 def _windows_sql(name: str, files: str) -> str:
-    """CTEs of all chunks (id, abs_path, repo_name, n characters) of files (repo_name, path, text): line windows of 512
+    """CTEs of all chunks (id, abs_path, repo_name, path, o characters before it, n characters) of files (repo_name, path, text): line windows of 512
     tokens that share 64, and lines over that cut every 2,048 characters."""
     return f"""
 {name}_l as (select repo_name, path, unnest(lines) line, generate_subscripts(lines, 1) n from (select repo_name, path, list_filter(regexp_extract_all(text, '[^\\n]*\\n?'), lambda x: x <> '') lines from {files})),
@@ -500,8 +500,8 @@ def _windows_sql(name: str, files: str) -> str:
  union all
  select repo_name, path, t, c, x, greatest(x + 1, len(list_filter(t, lambda y: y <= (case when x = 0 then 0 else t[x] end) + 512))) from (
   select repo_name, path, t, c, case when k > a then k else b end x from (select repo_name, path, t, c, a, b, least(len(list_filter(t, lambda y: y <= t[b] - 64)), b - 1) k from {name}_c where b < len(t)))),
-{name}_w as (select repo_name, path, a, b, c[b] - case when a = 0 then 0 else c[a] end n from {name}_c),
-{name} as (select repo_name || ':' || path || ':' || (a + 1) || case when i > 0 then '#part' || i else '' end id, '/w/' || repo_name || '/' || path abs_path, repo_name, least(n - i * 2048, case when k > 1 then 2048 else n end)::bigint n
+{name}_w as (select repo_name, path, a, b, case when a = 0 then 0 else c[a] end o, c[b] - case when a = 0 then 0 else c[a] end n from {name}_c),
+{name} as (select repo_name || ':' || path || ':' || (a + 1) || case when i > 0 then '#part' || i else '' end id, '/w/' || repo_name || '/' || path abs_path, repo_name, path, o + i * 2048 o, least(n - i * 2048, case when k > 1 then 2048 else n end)::bigint n
  from (select *, unnest(range(k::bigint)) i from (select *, case when b = a + 1 and n // 4 > 512 then (n + 2047) // 2048 else 1 end k from {name}_w)))"""
 
 
@@ -570,6 +570,110 @@ def index_after_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(store, index.index(kept, store))
 
 
+@query(f"""{_FIRST_SQL},
+edited as (select repo_name, path, mtime + 1 mtime, 'edited ' || text as text from docs where repo_name = 'src3'),
+fresh as (select * from edited where strlen(text) <= 1048576),
+{_windows_sql("two", "fresh")},
+redone as (select repo_name, path, mtime, coalesce(k, 0) chunk_count from fresh left join (select abs_path, count(*) k from two group by 1) on abs_path = '/w/' || repo_name || '/' || path),
+held as (select * from redone union all select * from done where repo_name <> 'src3' or path not in (select path from redone)),
+joined as (select id, n from one where id not in (select id from two) union all select id, n from two),
+tally as (select s.repo_name, case when s.repo_name = 'src3' then h.n else s.chunk_count end chunk_count, has from sums s left join (select repo_name, sum(chunk_count)::bigint n from held group by 1) h using (repo_name))
+{_stored_sql("joined", "held", "env", "tally", "redone")}""")
+def index_one_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored after a run over one repository, when all have other texts by then."""
+    first = _corpus(spark, sf_dir)
+    store = Store(spark, new_path(spark, "index"))
+    index.index(first, store)
+    doc = F.col("path").startswith("d/")
+    text = F.when(doc, F.concat(F.lit("edited "), "content")).otherwise(F.col("content"))
+    edited = first.withColumns({"mtime": F.col("mtime") + F.when(doc, 1.0).otherwise(0.0), "content": text, "size": F.octet_length(text).cast("long")})
+    return _stored(store, index.index(edited, store, repos=["src3"]))
+
+
+# Hashed words as both engines count them: the first four bytes of a word's MD5 modulo 64, and the last bit of the fifth.
+_EMBEDDED_SQL = """
+texts as (select id, substr(text, o::bigint + 1, n) t from one join fits using (repo_name, path)),
+hashed as (select id, md5(w) h from (select id, unnest(string_split_regex(trim(regexp_replace(lower(t), '\\s+', ' ', 'g')), ' ')) w from texts) where w <> ''),
+entries as (select id, ('0x' || substr(h, 1, 8))::bigint % 64 k, sum(case when ('0x' || substr(h, 9, 2))::int % 2 = 1 then 1 else -1 end) v from hashed group by all),
+norms as (select id, sqrt(sum(v * v)) norm from entries group by 1),
+vectors as (select e.id, k, (v / greatest(norm, 1e-12))::float::double v from entries e join norms using (id))"""
+
+
+@query(f"""with recursive {_CORPUS_SQL},
+{_windows_sql("one", "fits")}, {_EMBEDDED_SQL}
+select t.id, round(coalesce(sum(v * (k + 1)), 0), 3) weighed, round(coalesce(sum(v * v), 0), 3) squares, coalesce(count(*) filter (v <> 0), 0)::bigint filled from texts t left join vectors using (id) group by t.id""")
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all stored chunks, after a first run and one that knows the texts already."""
+    store = Store(spark, new_path(spark, "index"))
+    index.index(_corpus(spark, sf_dir), store)
+    index.index(_corpus(spark, sf_dir), store, full=True)
+    v = F.transform("vector", lambda x, i: x.cast("double"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return store.chunks().select(
+        "id", F.round(total(F.transform(v, lambda x, i: x * (i + 1))), 3).alias("weighed"), F.round(total(F.transform(v, lambda x: x * x)), 3).alias("squares"), F.size(F.filter(v, lambda x: x != 0)).cast("long").alias("filled")
+    )
+
+
+
+
+def _vector_chunks(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
+    """A stored chunk for each vector, of the document of its id."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = _t(spark, sf_dir, "documents").join(e, "doc_id")
+    line = F.lit(1)
+    return d.select(
+        key.alias("id"), "text", F.col("source").alias("repo_name"), F.col("doc_id").cast("string").alias("file_path"), F.concat(F.lit("/w/"), F.coalesce("source", F.lit("none")), F.lit("/"), "doc_id").alias("abs_file_path"), line.alias("start_line"),
+        line.alias("end_line"), F.col("lang").alias("language"), F.lit("text").alias("chunk_type"), F.lit(None).alias("symbol_name"), F.lit(0.0).alias("file_mtime"), F.col("embedding").alias("vector"),
+    )
+
+
+@query(f"""
+select '/w/' || coalesce(source, 'none') || '/' || doc_id file_path, coalesce(source, '') repo_name, round(1 / (1 + d), 6) score, row_number() over (order by d, doc_id) rank from (
+ select doc_id, source, {_DISTANCE} d from documents join embeddings e on e.vec_id = doc_id, (select embedding from embeddings where vec_id = 2) q) order by d, doc_id limit 25""")
+def search_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of stored chunks, fifty of which share each id: every row has its own distance."""
+    store = Store(spark, new_path(spark, "hits"))
+    store.write_chunks(_vector_chunks(spark, sf_dir, F.concat(F.lit("id"), F.col("doc_id") % 10)))
+    q = [float(x) for x in _t(spark, sf_dir, "embeddings").where("vec_id = 2").first()["embedding"]]
+    found = search.search(store.chunks(), q, limit=25)
+    return found.select("file_path", "repo_name", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+with d as (select source, doc_id from documents join embeddings on vec_id = doc_id)
+select 'kept' what, source repo_name, count(*) n, sum(doc_id)::bigint ids from d where source is distinct from 'src1' group by source
+union all select 'deleted', 'src1', (select count(*) from d where source = 'src1'), null""")
+def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store has after a repository is deleted from it, and how many chunks were."""
+    store = Store(spark, new_path(spark, "hits"))
+    store.write_chunks(_vector_chunks(spark, sf_dir, F.col("doc_id").cast("string")))
+    n = store.delete_repo("chunks", "src1")
+    kept = store.chunks().groupBy("repo_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("long")).alias("ids"))
+    return kept.select(F.lit("kept").alias("what"), "repo_name", "n", "ids").union(spark.createDataFrame([("deleted", "src1", n, None)], "what string, repo_name string, n bigint, ids bigint"))
+
+
+@query(f"""
+select query_id, id, rank, round(distance, 6) distance from (
+  select q.vec_id query_id, e.vec_id id, {_DISTANCE} distance, row_number() over (partition by q.vec_id order by {_DISTANCE}, e.vec_id) rank
+  from embeddings e, embeddings q where q.vec_id % 50 = 0) where rank <= 7""")
+def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven nearest vectors to each of the queries (ids divisible by 50), queries and rows both dealt into blocks."""
+    rows = _chunk_vectors(spark, sf_dir)
+    found = search.nearest_each(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 7, query_block=4, row_block=max(200, rows.count() // 8))
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"""
+select e.vec_id id, 'repo' || (e.vec_id % 5) repo_name, e.label::varchar "language", round(1 / (1 + {_DISTANCE}), 6) score
+from embeddings e, embeddings q where q.vec_id = 7 and e.vec_id % 5 in (0, 2, 3) order by {_DISTANCE}, e.vec_id limit 15""")
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen nearest vectors of three repositories, by an index of cells around pivots over all vectors."""
+    rows, path = _chunk_vectors(spark, sf_dir), new_path(spark, "pivots")
+    pivots.build(rows, path)
+    q = [float(x) for x in rows.where("id = 7").first()["vector"]]
+    return pivots.nearest(spark, path, q, 15, ["repo0", "repo2", "repo3"]).select("id", "repo_name", "language", F.round("score", 6).alias("score"))
+
+
 @query("""
 select '/w/' || source || '/' || doc_id file_path, source repo_name, score, rank, '[' || rank || '] score: ' || printf('%.3f', score) head from (
  select *, round(1 / (1 + d), 6) score, row_number() over (order by d, doc_id) rank from (

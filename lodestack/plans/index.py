@@ -23,8 +23,14 @@ class Settings:
     exclude: list[str] | None = None
     dim: int = 64
     embed: embed.EmbedFn | None = None
+    #: Names the embedder: texts that a run of it has embedded into the store aren't embedded again. None: nothing is kept.
+    model: str | None = None
     upsert_by: str = "id"
 
+    @property
+    def named(self) -> str | None:
+        return self.model or (None if self.embed else f"hashed-words-{self.dim}")
+
 
 def index(listing: DataFrame, store: Store, settings: Settings | None = None, full: bool = False, repos: list[str] | None = None) -> DataFrame:
     """Bring the store up to date with the files and return the run's statistics (``summary.run_stats``).
@@ -46,8 +52,7 @@ def index(listing: DataFrame, store: Store, settings: Settings | None = None, fu
         manifest = manifest.join(scanned, "repo_name", "left_anti").select(*manifest.columns)
     changed = _written(store, "changed", incremental.changed_files(indexed, manifest))
     todo = incremental.with_content(files.walk_files(listing, s.include, s.exclude), changed)
-    # Embedded once, read twice below.
-    new = _written(store, "run", embed.embed_chunks(chunk.chunk_files(todo, s.max_tokens, s.overlap_tokens), s.embed or embed.hashed_words(s.dim), s.dim))
+    new = _written(store, "run", embedded(store, chunk.chunk_files(todo, s.max_tokens, s.overlap_tokens), s))
     touched = scanned if full else changed.select("repo_name").distinct()
     kept_rows = new if full else incremental.upsert(store.chunks(touched).select(*new.columns), new, s.upsert_by)
     store.write_chunks(kept_rows, touched)
@@ -62,11 +67,22 @@ def index(listing: DataFrame, store: Store, settings: Settings | None = None, fu
     store.write("summaries", kept.unionByName(fresh))
     for table, schema in (("chunks", STORED), *CATEGORIES.items()):
         store.compact(table, schema)
-    for table in ("chunks", "manifest", "summaries", "profiles", "changed", "run", "processed", "extracted", *CATEGORIES):
+    store.merge_vectors(s.named or "unnamed")
+    for table in ("chunks", "manifest", "summaries", "profiles", "changed", "pieces", "run", "processed", "extracted", *CATEGORIES):
         store.clean(table)
     return summary.run_stats(processed)
 
 
+def embedded(store: Store, chunks: DataFrame, s: Settings) -> DataFrame:
+    """Chunks with their vectors: each distinct text is embedded once, and once only for all runs of a named model."""
+    chunks = _written(store, "pieces", chunks)  # cut once, read twice
+    model = s.named or "unnamed"
+    if not s.named:
+        store.forget_vectors(model)
+    known = store.vectors(model, chunks.select(embed.digest(F.col("text")).alias("digest")))
+    return embed.embed_distinct(chunks, known, s.embed or embed.hashed_words(s.dim), s.dim, lambda rows: store.add_vectors(model, rows))
+
+
 def _written(store: Store, table: str, rows: DataFrame) -> DataFrame:
     store.write(table, rows)
     return store.read(table, rows.schema)

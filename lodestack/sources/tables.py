@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.functions import text as X
-from lodestack.schemas import CATEGORIES, CHUNKS, LIVE, MANIFEST, PAYLOADS, STORED, SUMMARIES
+from lodestack.schemas import CATEGORIES, CHUNKS, LIVE, MANIFEST, PAYLOADS, STORED, SUMMARIES, VECTORS
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -229,6 +229,42 @@ class Store:
         """Replace the chunks of ``repos``, or of those that ``rows`` has. ``rows`` is computed once."""
         self.replace("chunks", rows.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields]), repos)
 
+    def vectors(self, model: str, texts: DataFrame | None = None) -> DataFrame:
+        """(digest, vector) of all texts that a model has embedded, or of ``texts`` (digest): few of those are pushed to the
+        scan, whose files are sorted by digest, so that it opens their pages only."""
+        parts = [f"{self.root}/vectors/{model}/{p}" for p in self._names(f"{self.root}/vectors/{model}") if not p.startswith("_")]
+        if not parts:
+            return self.spark.createDataFrame([], VECTORS)
+        rows = self.spark.read.schema(VECTORS).parquet(*parts)
+        if texts is not None:
+            few = [bytes(r["digest"]) for r in texts.select("digest").distinct().limit(PUSHED + 1).collect()]
+            rows = rows.where(F.col("digest").isin(*few)) if len(few) <= PUSHED else rows
+        return rows
+
+    def add_vectors(self, model: str, rows: DataFrame) -> DataFrame:
+        """Add vectors of new texts as a file set of its own, and read them back."""
+        path = f"{self.root}/vectors/{model}/{uuid.uuid4().hex}"
+        staged = f"{self.root}/vectors/{model}/_{uuid.uuid4().hex}"  # not seen by readers until it is whole
+        rows.sortWithinPartitions("digest").write.option("parquet.page.row.count.limit", 500).parquet(staged)
+        fs, p = self._fs(staged)
+        fs.rename(p, self._fs(path)[1])
+        return self.spark.read.schema(VECTORS).parquet(path)
+
+    def forget_vectors(self, model: str) -> None:
+        fs, path = self._fs(f"{self.root}/vectors/{model}")
+        fs.delete(path, True)
+
+    def merge_vectors(self, model: str, used: DataFrame | None = None, most: int = PARTS) -> None:
+        """Put the file sets of a model together once there are more than ``most``; only those of ``used`` (digest) texts,
+        if given. For one writer at a time, while nothing reads."""
+        sets = [p for p in self._names(f"{self.root}/vectors/{model}") if not p.startswith("_")]
+        if len(sets) > most or used is not None:
+            rows = self.vectors(model).dropDuplicates(["digest"])
+            self.add_vectors(model, rows if used is None else rows.join(used.select("digest").distinct(), "digest", "left_semi"))
+            for p in sets:
+                fs, path = self._fs(f"{self.root}/vectors/{model}/{p}")
+                fs.delete(path, True)
+
     def manifest(self) -> DataFrame:
         """What was indexed; an empty table if its files aren't such a table, so that everything is indexed anew."""
         found = self.versions("manifest")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestack.operators import chunk, embed, files, incremental
-from lodestack.plans.index import Settings
+from lodestack.operators import chunk, files, incremental
+from lodestack.plans.index import Settings, embedded
 from lodestack.schemas import FILES, STORED
 from lodestack.sources.tables import Store
 
@@ -17,7 +17,7 @@ def follow(spark: SparkSession, source: str, store: Store, checkpoint: str, sett
     s = settings or Settings()
 
     def take(batch: DataFrame, _: int) -> None:
-        rows = embed.embed_chunks(chunk.chunk_files(files.walk_files(batch, s.include, s.exclude), s.max_tokens, s.overlap_tokens), s.embed or embed.hashed_words(s.dim), s.dim)
+        rows = embedded(store, chunk.chunk_files(files.walk_files(batch, s.include, s.exclude), s.max_tokens, s.overlap_tokens), s)
         store.write("run", rows)
         rows = store.read("run", rows.schema)
         repos = rows.select("repo_name").distinct()
