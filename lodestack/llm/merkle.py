@@ -13,16 +13,20 @@ tampered row, follows the parents to the root, appends the siblings and folds th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import numbered, sortable
-from .store import discard, settle
+from .store import settle
 
 #: Levels that a node row climbs; a block of 2 ** STRIDE neighbours is put together to build them.
-STRIDE = 6
-#: Most upper node rows that are broadcast (some 500 bytes each); more are joined by shuffle.
+STRIDE = 10
+#: Most upper node rows that are broadcast (some 700 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 50_000
+#: Most rows of a level that one task builds, to spare the shuffle.
+FEW_ROWS = 10_000
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -47,42 +51,50 @@ _PAIRS = "transform(sequence(0, (size(x) - 1) div 2), i -> sha2(concat(get(x, 2
 _LEVELS = f"aggregate(sequence(1, depth), array(hashes), (done, k) -> concat(done, array(get(transform(array(element_at(done, -1)), x -> {_PAIRS}), 0))))"
 
 
-def levels(rows: DataFrame, stride: int = STRIDE, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(node rows of one built stride, the nodes above them). rows: tree, level, idx (place in the level), n (nodes of the
-    tree's level, two or more), hash.
+def levels(rows: DataFrame, stride: int = STRIDE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Node rows of one built stride. rows: tree, level, idx (place in the level), n (nodes of the tree's level), hash.
 
-    Node rows: tree, level, idx, hash, up_level, up_idx, up_hash (the parent; level -1: the tree's last node), siblings
-    (by level; null where a node is its level's single last one) and the ``keep`` columns. Nodes above: as rows.
+    Node rows: tree, level, idx, n, hash, up_level, up_idx, up_hash (the parent; level -1: the tree's last node), siblings
+    (by level; null where a node is its level's single last one) and the ``keep`` columns. A tree of one node has it for
+    its parent.
     """
     width = 1 << stride
     packed = F.array_sort(F.collect_list(F.struct("idx", "hash", *keep)))
-    blocks = rows.groupBy("tree", "level", "n", F.shiftright("idx", stride).alias("up_idx")).agg(packed.alias("own"))
+    blocks = rows.where("n > 1").groupBy("tree", "level", "n", F.shiftright("idx", stride).alias("up_idx")).agg(packed.alias("own"))
     blocks = blocks.withColumns({"hashes": F.col("own.hash"), "depth": F.when(F.col("n") >= width, stride).otherwise(F.length(F.bin(F.col("n") - 1)))})
     blocks = blocks.withColumn("built", F.expr(_LEVELS))
     blocks = blocks.withColumns({"up_hash": F.get(F.element_at("built", -1), F.lit(0)), "up_level": F.when(F.col("n") <= width, -1).otherwise(F.col("level") + stride)})
     kept = "".join(f", o.{c} as {c}" for c in keep)
     nodes = F.expr(f"transform(own, (o, p) -> struct(o.idx as idx, o.hash as hash{kept}, transform(sequence(0, depth - 1), k -> unhex(get(get(built, k), shiftright(p, k) ^ 1))) as siblings))")
-    nodes = blocks.select("tree", "level", "up_level", "up_idx", "up_hash", F.explode(nodes).alias("node")).select("tree", "level", "node.*", "up_level", "up_idx", "up_hash")
-    above = blocks.select("tree", F.col("up_level").alias("level"), F.col("up_idx").alias("idx"), F.ceil(F.col("n") / width).cast("long").alias("n"), F.col("up_hash").alias("hash"))
-    return nodes, above
+    nodes = blocks.select("tree", "level", "n", "up_level", "up_idx", "up_hash", F.explode(nodes).alias("node")).select("tree", "level", "n", "node.*", "up_level", "up_idx", "up_hash")
+    alone = rows.where("n = 1").select("tree", "level", "n", "idx", "hash", *keep, F.array().cast("array<binary>").alias("siblings"), F.lit(-1).alias("up_level"), F.col("idx").alias("up_idx"), F.col("hash").alias("up_hash"))
+    return nodes.unionByName(alone)
+
+
+def above(nodes: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """Rows of the level that node rows climb to, but for the trees' last nodes."""
+    first = nodes.where(f"idx % {1 << stride} = 0 and up_level <> -1")
+    return first.select("tree", F.col("up_level").alias("level"), F.col("up_idx").alias("idx"), F.ceil(F.col("n") / (1 << stride)).cast("long").alias("n"), F.col("up_hash").alias("hash"))
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Rows in one task if they are counted to be few."""
+    return rows.coalesce(1) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
 
 
 def build(leaves: DataFrame, stride: int = STRIDE, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(node rows of the leaves, node rows of all levels above, last nodes of the trees), all settled. leaves: settled rows
-    of tree, level 0, idx, n, hash and the ``keep`` columns."""
-    single = leaves.where("n = 1")
-    nodes, above = levels(leaves.where("n > 1"), stride, keep)
-    alone = single.select("tree", "level", "idx", "hash", *keep, F.array().cast("array<binary>").alias("siblings"), F.lit(-1).alias("up_level"), F.col("idx").alias("up_idx"), F.col("hash").alias("up_hash"))
-    first = settle(nodes.unionByName(alone), "merkle-leaves")
-    last = first.where("up_level = -1").groupBy("tree").agg(F.first("up_hash").alias("hash"))
-    rows, upper = settle(above.where("level <> -1"), "merkle-level"), None
-    while not rows.isEmpty():
-        nodes, above = levels(rows, stride)
-        nodes = settle(nodes, "merkle-nodes")
-        last = last.unionByName(nodes.where("up_level = -1").groupBy("tree").agg(F.first("up_hash").alias("hash")))
-        upper = nodes if upper is None else upper.unionByName(nodes)
-        rows = settle(above.where("level <> -1"), "merkle-level")
-    return first, upper if upper is not None else first.drop(*keep).limit(0), last
+    """(node rows of the leaves, node rows of all levels above, last nodes of the trees). leaves: settled rows of tree,
+    level 0, idx, n, hash and the ``keep`` columns."""
+    most = leaves.agg(F.max("n")).first()[0] or 0
+    first = nodes = settle(levels(few(leaves), stride, keep), "merkle-leaves")
+    upper, last = first.drop(*keep).limit(0), []
+    while True:
+        last.append(nodes.where("up_level = -1 and idx = 0").select("tree", F.col("up_hash").alias("hash")))
+        if most <= 1 << stride:
+            break
+        nodes = settle(levels(few(above(nodes, stride)), stride), "merkle-nodes")
+        upper, most = upper.unionByName(nodes), (most + (1 << stride) - 1) >> stride
+    return first, upper, reduce(DataFrame.unionByName, last)
 
 
 # A hash folded with the siblings of its row, as bytes: each sibling stands left of odd places and right of even ones.
@@ -117,7 +129,8 @@ def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     limit = spark.conf.get(key)
     spark.conf.set(key, "-1")  # a row a leaf and step
     try:
-        return settle(spark.sql(sql, leaves=leaves, nodes=nodes), "merkle-climb")
+        # Each step deals its rows out anew, maybe to very many tasks; a file for each would cost more than the rows.
+        return settle(spark.sql(sql, leaves=leaves, nodes=nodes).coalesce(-(-leaves.count() // FEW_ROWS) or 1), "merkle-climb")
     finally:
         spark.conf.set(key, limit)
 
@@ -137,7 +150,7 @@ def manifest(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
     placed = numbered(rows.withColumn("start", F.coalesce("bad", "hash")).drop("bad"), "tree", F.concat(sortable(F.col("doc_id")), F.lit("!"), "hash"))
     leaves, nodes, subroots = build(settle(placed, "merkle-placed"), stride, ("doc_id", "start"))
     # The last tree's leaves are the groups' last nodes: their parent rows are found by the group's name.
-    tops = settle(numbered(settle(subroots.withColumn("group", F.lit("")), "merkle-subroots"), "group", F.col("tree")).select(F.lit("").alias("tree"), F.lit(0).alias("level"), "idx", "n", "hash", F.col("tree").alias("of")), "merkle-tops")
+    tops = settle(numbered(few(subroots.withColumn("group", F.lit(""))), "group", F.col("tree")).select(F.lit("").alias("tree"), F.lit(0).alias("level"), "idx", "n", "hash", F.col("tree").alias("of")), "merkle-tops")
     joint, over, root = build(tops, stride, ("of",))
     linked = lambda df: df.select("tree", "level", "at", "idx", "siblings", "up_tree", "up_level", "up_idx", "up_hash")
     own = lambda df: df.withColumns({"at": F.col("idx"), "up_tree": F.col("tree")})

@@ -63,7 +63,7 @@ def numbered(rows: DataFrame, group: str, key: Column, range_rows: int = 100_000
     rows of equal keys are in any order. No task sees more of a group than a range: places are counted in each range, and
     the rows of a group's earlier ranges are added.
 
-    rows must be settled, as they are read several times; key and group must not be null.
+    rows must be settled tables or cuts of these, as they are read several times; key and group must not be null.
     """
     rows = salted(rows)
     key = F.concat(key, F.lit("!"), F.col("salt"))
