@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bound_batches, settle
-from .textkit import ALNUM, LOWER, Words, cover, mix, runs, slices
+from .store import bound_batches, settle, whole_rows
+from .textkit import ALNUM, LOWER, Words, cover, mix, parts, runs, slices
 
 #: Most bytes of benchmark text that one pass searches for; more text takes more passes.
 BLOCK_BYTES = 8 << 20
+#: Most pairs of a place in the text and a pattern that are compared at once.
+MOST_PAIRS = 1 << 20
 _LANE = 256
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -99,14 +101,19 @@ class _Tables:
             np.minimum.at(self.shift, self.index(p.hash[first + j - b], p.hash[first + j - 1]) >> np.uint64(64 - self.bits), m - j)
         self.small = min(self.bits, max(10, len(which).bit_length()))
         bucket = self.index(p.hash[first + m - b], p.hash[first + m - 1]) >> np.uint64(64 - self.small)
-        order = np.argsort(bucket, kind="stable")
-        self.ids = which[order].astype(np.int32)
-        self.begin = np.searchsorted(bucket[order], np.arange((1 << self.small) + 1, dtype=np.uint64)).astype(np.int32)
+        # Entries lie by bucket, and in each by a hash of the window's first block: of a hot bucket only those are looked at
+        # that also begin as the text does.
+        key = self.entry(bucket, self.index(p.hash[first], p.hash[first + b - 1]))
+        order = np.argsort(key, kind="stable")
+        self.ids, self.keys = which[order].astype(np.int32), key[order]
 
     def index(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hash of blocks of two words, or of one."""
         return mix(last if self.block == 1 else before * _Q + last)
 
+    def entry(self, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return bucket.astype(np.uint64) << np.uint64(64 - self.small) | first >> np.uint64(self.small)
+
     def search(self, w: Words, p: Patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m, none = self.m, np.zeros(0, np.int64)
         ends = np.maximum(w.counts - m + 1, 0)  # places where a window may end, by document
@@ -131,9 +138,16 @@ class _Tables:
         if not hits:
             return none, none, none
         at, bucket = (np.concatenate([h[i] for h in hits]) for i in range(2))
-        n = (self.begin[bucket + 1] - self.begin[bucket]).astype(np.int64)
-        pattern = self.ids[runs(self.begin[bucket].astype(np.int64), n)].astype(np.int64)
-        begin = np.repeat(at, n) - m + 1
+        begin = at - m + 1
+        key = self.entry(bucket, self.index(w.hash[begin], w.hash[begin + self.block - 1]))
+        low = np.searchsorted(self.keys, key)
+        n = np.searchsorted(self.keys, key, "right") - low
+        found = [self._compared(begin[i:j], low[i:j], n[i:j], w, p) for i, j in parts(n, MOST_PAIRS)]
+        return tuple(np.concatenate([f[i] for f in found]) if found else none for i in range(3))
+
+    def _compared(self, begin: np.ndarray, low: np.ndarray, n: np.ndarray, w: Words, p: Patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, pattern, words) where a pattern of the entries low, low + 1, ... has the text's word hashes."""
+        pattern, begin = self.ids[runs(low, n)].astype(np.int64), np.repeat(begin, n)
         length = p.length[pattern].astype(np.int64)
         room = w.first[np.searchsorted(w.first, begin, "right")] - begin
         ok = length <= room
@@ -238,6 +252,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
     )
 
 
+@whole_rows
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without any benchmark window, with all their columns."""
     return _mark(docs, benchmark, docs.columns, window, block_bytes).where("__hits = 0").select(*docs.columns)

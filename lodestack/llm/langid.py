@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bound_batches
+from .store import bound_batches, whole_rows
 from .textkit import LOWER, Lookup, buffers, slices
 
 ORDER = 4
@@ -190,6 +190,7 @@ def predict(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__bits").alias("bits_per_byte"))
 
 
+@whole_rows
 def keep_known(docs: DataFrame) -> DataFrame:
     """Documents in one of the learnt languages, with all their columns.
 

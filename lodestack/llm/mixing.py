@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import settle
+from .store import settle, whole_rows
 
 #: Documents that fly together.
 BLOCK = 2048
@@ -184,6 +184,7 @@ def plan_mix(docs: DataFrame, **how) -> DataFrame:
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__times")).alias("taken"))
 
 
+@whole_rows
 def take_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row as often as the mix takes it, with all its columns."""
     out = mix(docs, keep=tuple(docs.columns), **how).where("__times > 0")

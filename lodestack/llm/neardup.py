@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bound_batches, discard, settle
+from .store import bound_batches, discard, settle, whole_rows
 from .textkit import ALNUM, LOWER, Words, grouped_min, mix, runs, slices, windows
 
 SHINGLE, SIMILARITY, SKETCHES, LENGTH = 5, 0.8, 16, 2
@@ -382,6 +382,7 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return classes(docs, **how).select("doc_id", "class_id")
 
 
+@whole_rows
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with all its columns; null texts all stay.
 

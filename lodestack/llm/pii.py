@@ -116,8 +116,8 @@ class Regions:
         for p, s in zip(parts, spans, strict=True):
             end = 0
             for a, b in s:
-                key = (p[a:b] if b - a < 24 else p[a : a + 24], a > end)
-                v = kept.get(key)
+                key = (p[a:b], a > end)
+                v = kept.get(key) if b - a < 24 else shape(*key)  # long ones are rare, and not kept
                 if v is None:
                     v = kept[key] = shape(*key)
                 ids[i] = v

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestack.sources.shared import new_path
 
@@ -40,3 +44,29 @@ def bound_batches(spark: SparkSession) -> None:
     now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
     if now <= 0 or now > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+#: Columns that operators on whole rows know by name.
+KNOWN = ("doc_id", "text", "lang", "source")
+
+
+def packed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Rows of the known columns and ``rest``, a struct of all others, and what unpacks such rows. Columns are told apart by
+    their places, so that names of any kind don't clash with those that operators use."""
+    names = docs.columns
+    own = [names.index(c) for c in KNOWN if c in names]
+    rest = [i for i in range(len(names)) if i not in own]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    inside = plain.select(*[F.col(f"c{i}").alias(names[i]) for i in own], *([F.struct(*[f"c{i}" for i in rest]).alias("rest")] if rest else []))
+    return inside, lambda rows: rows.select(*[F.col(names[i] if i in own else f"rest.c{i}").alias(f"c{i}") for i in range(len(names))]).toDF(*names)
+
+
+def whole_rows(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Of an operator that returns some of its rows: columns of any names go through it unseen."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        inside, unpack = packed(docs)
+        return unpack(operator(inside, *args, **how))
+
+    return run

@@ -115,12 +115,12 @@ def running_sums(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def same_spans(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray, part: int = 1 << 20) -> np.ndarray:
-    """Whether each span has the bytes of span ``like``: compared byte by byte, about ``part`` bytes at a time. Both
+def same_spans(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Whether each span has the bytes of span ``like``: compared byte by byte, about ``most`` bytes at a time. Both
     spans of a pair must be of one length to be the same."""
     size = ends - starts
     same = size == size[like]
-    for i, j in _parts(np.where(same, size, 0), part):
+    for i, j in parts(np.where(same, size, 0), most):
         at = np.flatnonzero(same[i:j]) + i
         n = size[at]
         differ = text[runs(starts[at], n)] != text[runs(starts[like[at]], n)]
@@ -129,7 +129,7 @@ def same_spans(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.
     return same
 
 
-def _parts(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def parts(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Cut a row of sizes into runs of about ``most`` in all, or of one."""
     upto, at = np.cumsum(size), 0
     while at < len(size):

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import bound_batches, new_path
+from .store import bound_batches, new_path, packed
 from .textkit import SLICE_BYTES, buffers, running_sums, runs, slices, span_hash, span_ids
 
 CHUNK = 1 << 16
@@ -371,5 +371,5 @@ def round_trip(docs: DataFrame, tokenizer: str, **how) -> DataFrame:
     an empty result. Extra columns are ignored.
     """
     path = new_path(docs.sparkSession, "tokens")
-    write(docs, path, tokenizer, **how)
+    write(packed(docs)[0], path, tokenizer, **how)
     return digest(docs.sparkSession, path)

@@ -366,13 +366,15 @@ def test_pipeline(spark, small):
 def test_pipeline_stages_on_odd_rows(spark, small):
     """Null and empty texts go first; of equal texts one stays; rows keep all their columns; nothing of nothing."""
     rows = [(1, "the cat sat on the mat", "en", "s", 22), (1, "the cat sat on the mat", "en", "s", 22), (None, "the cat sat on the mat", None, None, None), (2, None, None, None, None), (3, "", "fr", "s", 0), (4, "le chat est sur la table " * 9000, "fr", "t", 5), (5, "a dog and a bone", "en", "s", 3)]
-    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, class_id string")
+    odd = ("node", "class_id", "__key", "__size", "__source", "__words", "__lang", "__copy", "rest", "a.b", "Text", "c0", "it`s")
+    docs = spark.createDataFrame([(*r, *[f"{k} {r[0]}" for k in range(len(odd))]) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in odd))
     want = [{1, None, 4, 5}, {1, 4, 5}, {1, 4, 5}, {1, 4, 5}]
     for (_, stage), ids in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
         out = stage(spark, docs, small)
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), docs.schema)
         assert {r.doc_id for r in docs.collect()} <= ids
+        assert all(tuple(r)[5:] == tuple(f"{k} {r[0]}" for k in range(len(odd))) for r in docs.collect())
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == docs.count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0

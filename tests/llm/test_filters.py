@@ -377,6 +377,42 @@ def test_patterns_stay_small():
     assert len(p.first) == 64 * 3991
 
 
+def test_hot_suffixes_stay_small():
+    """Words by Zipf's law: buckets of frequent word pairs hold very many patterns, and are looked at in bounded parts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{k}" for k in range(3000)])
+    text = lambda n: " ".join(words[np.minimum(rng.zipf(1.3, n) - 1, 2999)])
+    items = [(f"i{k}", text(4000)) for k in range(100)]
+    p = decontam.Patterns(items)
+    docs = [text(200_000) + " " + items[7][1][:3000] + " " + text(9)]
+    part = pa.record_batch([pa.array(docs)], ["text"])
+    tracemalloc.start()
+    counts, found = decontam._found(p, part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and counts[0] > 200_000 and "i7" in found[0][1]
+    w, own = docs[0].split(), {}
+    for name, t in items:
+        x = t.split()
+        for i in range(len(x) - 9):
+            own.setdefault(tuple(x[i : i + 10]), set()).add(name)
+    hit, names = np.zeros(len(w), bool), set()
+    for i in range(len(w) - 9):
+        if tuple(w[i : i + 10]) in own:
+            hit[i : i + 10] = True
+            names |= own[tuple(w[i : i + 10])]
+    assert (found[0][0] == hit).all() and found[0][1] == names
+
+
+def test_long_tokens_are_described_whole():
+    a, b = "x" * 30, "x" * 29 + "X"
+    assert pii.shape(a, False) != pii.shape(b, False)
+    one, two = (pii.Regions([f"to {t} now"]).features[1] for t in (a, b))
+    assert one[0] != two[0]
+
+
 def test_other_languages_are_rejected(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     finnish = "Suomen kieli on yksi maailman kielistä ja sitä puhuu noin viisi miljoonaa ihmistä pääasiassa Suomessa, mutta myös Ruotsissa ja Norjassa asuu suomenkielisiä."
