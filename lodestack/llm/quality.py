@@ -36,7 +36,7 @@ _capital[65:91] = True
 
 def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     """FEATURES of each text: words are runs of non-blank characters; a line counts if it has a word; null is empty."""
-    w = Words(texts)
+    w = Words(texts, keep=True)
     n = len(texts)
     out = {"n_words": w.counts, "n_symbols": count_in(_symbol[w.text], w.offsets), "n_capitals": count_in(_capital[w.text], w.offsets)}
     out["word_chars"] = count_in(w.is_word & ((w.text & 0xC0) != 0x80), w.offsets)

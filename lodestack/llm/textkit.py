@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 
 #: Text bytes that a kernel takes at a time (at least one document): bounds a task's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15
 # Span hashes are two polynomials of the bytes, each modulo a prime below 2 ** 31 with a base of its own: modulo a power of
@@ -72,7 +72,7 @@ def powers(base: int, prime: int, n: int) -> np.ndarray:
             have[k : 2 * k] = have[:k] * np.uint64(pow(base, k, prime)) % np.uint64(prime)
             k *= 2
         have = have.astype(np.uint32)
-        if size <= 4 * SLICE_BYTES:
+        if size <= 8 * SLICE_BYTES:
             _pow[base, prime] = have
     return have[:n]
 
@@ -87,31 +87,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def sums(values: np.ndarray) -> np.ndarray:
-    """Running sums modulo 2**64 with a leading 0."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values, out=out[1:])
-    return out
-
-
 def span_hash(running: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of byte spans from ``running_sums`` of their text; length counts. Spans of unequal hashes differ; those of
     equal ones are compared by their bytes where that decides a result (``same_spans``)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     most, h = int(starts.max()) + 1, []
-    for sums_, inverse, prime in zip(running, _INVERSES, _PRIMES, strict=True):
+    for total, inverse, prime in zip(running, _INVERSES, _PRIMES, strict=True):
         p = np.uint64(prime)
-        h.append((sums_[ends] - sums_[starts]) % p * powers(inverse, prime, most)[starts] % p)
+        h.append((total[ends] - total[starts]) % p * powers(inverse, prime, most)[starts] % p)
     return mix((h[0] << np.uint64(31) | h[1]) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def running_sums(data: np.ndarray) -> list[np.ndarray]:
     """What ``span_hash`` needs of a text's bytes. Sums don't overflow: 2**33 terms below 2**31."""
-    out, plus = [], data.astype(np.uint64) + np.uint64(1)
+    out, plus = [], data.astype(np.uint16) + np.uint16(1)
     for base, prime in zip(_BASES, _PRIMES, strict=True):
-        terms = plus * powers(base, prime, len(data))
-        out.append(sums(terms if len(data) < 1 << 24 else terms % np.uint64(prime)))
+        total = np.zeros(len(data) + 1, np.uint64)
+        terms = total[1:]  # summed where they lie: long texts have eight bytes a byte for each prime, and no more
+        np.multiply(powers(base, prime, len(data)), plus, out=terms, dtype=np.uint64)
+        if len(data) >= 1 << 24:
+            terms %= np.uint64(prime)
+        np.cumsum(terms, out=terms)
+        out.append(total)
     return out
 
 
@@ -154,10 +152,10 @@ class Words:
     """The words of a batch of texts.
 
     text: bytes after the map; starts, ends: each word's span; first: each document's first word, and one more;
-    hash: each word's hash; doc: each word's document.
+    hash: each word's hash; doc: each word's document. keep: what hashes are made of stays, for other spans of the texts.
     """
 
-    def __init__(self, texts: pa.Array, is_word: np.ndarray = NON_BLANK, lower: np.ndarray = SAME, hashed: bool = True):
+    def __init__(self, texts: pa.Array, is_word: np.ndarray = NON_BLANK, lower: np.ndarray = SAME, hashed: bool = True, keep: bool = False):
         data, self.offsets = buffers(texts)
         self.text = data if lower is SAME else lower[data]
         word = is_word[self.text]
@@ -176,6 +174,8 @@ class Words:
         self.counts = np.diff(self.first)
         self._running = None
         self.hash = span_hash(self.running, self.starts, self.ends) if hashed else None
+        if not keep:
+            self._running = None
 
     @property
     def running(self) -> list[np.ndarray]:

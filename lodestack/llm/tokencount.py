@@ -111,7 +111,7 @@ def best_counts(running: list[np.ndarray], text: np.ndarray, starts: np.ndarray,
     return count[node_of[np.cumsum(length) - 1]]
 
 
-def count_tokens(docs: DataFrame, vocabulary: Vocabulary, slice_bytes: int = 2 * SLICE_BYTES) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: Vocabulary, slice_bytes: int = 4 * SLICE_BYTES) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every document row; null and empty text have none. Extra columns are ignored.
 
     Repeated rows are counted each; of segmentations with equal scores the one of fewest pieces counts. A text of any

@@ -268,7 +268,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chun
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, end = _Shard(TaskContext.get().partitionId(), chunk, bits), np.array([end_id], "<u4").tobytes()
-        for part in slices(batches, most=2 * SLICE_BYTES):
+        for part in slices(batches, most=3 * SLICE_BYTES):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder(tokenizer).encode(part.column("text")), strict=True):
                 shard.add(doc_id, ids + end)
             if rows := list(shard.chunks()):
