@@ -13,6 +13,14 @@ def table_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("total_chunks"), F.array_sort(F.collect_set("repo_name")).alias("repos"), F.array_sort(F.collect_set("language")).alias("languages"))
 
 
+def table_names(chunks: DataFrame) -> DataFrame:
+    """(kind, name, chunks): each repository and language with its number of chunks; nulls don't count. What ``table_stats``
+    has in one row, for tables of any number of names."""
+    pairs = chunks.groupBy("repo_name", "language").agg(F.count(F.lit(1)).alias("n"))
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in (("repo", "repo_name"), ("language", "language"))])
+    return pairs.select(F.explode(each).alias("x"), "n").where("x.name is not null").groupBy("x.kind", "x.name").agg(F.sum("n").alias("chunks"))
+
+
 def run_stats(processed: DataFrame) -> DataFrame:
     """(repo_name, files_processed, chunks_created) of a run and its total, whose repo_name is null."""
     return processed.rollup("repo_name").agg(F.count(F.lit(1)).alias("files_processed"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks_created"))

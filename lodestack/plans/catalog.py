@@ -450,6 +450,36 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.lookup(out.withColumn("category", F.col("category")), "env", "c1").select("repo_name", "payload").union(out.where("repo_name <> 'c1'").select("repo_name", "payload"))
 
 
+@query("""
+select 's' || s_suppkey repo_name, c category, case c
+  when 'routes' then '[{"method":"GET","path":"/s/' || s_suppkey || '","handler":"C@show","middleware":["auth"],"name":null}]'
+  when 'migrations' then '[{"file_name":"1_s.php","table_name":"t' || s_nationkey || '","columns":["id","k' || s_suppkey || '"]}]'
+  when 'env' then '[{"name":"KEY","default":"' || s_suppkey || '","comment":"of ' || s_nationkey || '"},{"name":"EMPTY","default":"","comment":""}]'
+  else case when s_suppkey % 2 = 0 then '[]' else '[{"name":"app","image":"img:' || s_nationkey || '","ports":["80:1"],"environment":["A=1"],"depends_on":[]}]' end end payload
+from supplier, (values ('routes'), ('migrations'), ('env'), ('docker')) v(c)""")
+def payloads_of_all_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of routes, migrations, settings and services of each supplier's repository; every second has no services."""
+    s = _t(spark, sf_dir, "supplier")
+    name = F.concat(F.lit("s"), F.col("s_suppkey"))
+    texts = {
+        "composer.json": F.lit("{}"), "artisan": F.lit(""), "routes/web.php": F.format_string("Route::middleware(['auth'])->group(function () {\nRoute::get('/s/%d', C@show);\n});\n", "s_suppkey"),
+        "database/migrations/1_s.php": F.format_string("Schema::create('t%d', function ($t) { $table->id('id'); $table->int('k%d'); });", "s_nationkey", "s_suppkey"), ".env.example": F.format_string("KEY=%d # of %d\nEMPTY=\n", "s_suppkey", "s_nationkey"),
+    }
+    compose = _sources(s.where("s_suppkey % 2 = 1"), name, F.lit("compose.yml"), F.format_string("services: {app: {image: 'img:%d', ports: ['80:1'], environment: {A: 1}}}\n", "s_nationkey"))
+    for path, text in texts.items():
+        compose = compose.unionByName(_sources(s, name, F.lit(path), text))
+    profiles = detect.profiles(compose)
+    return extract.payloads(extract.extract_structured(compose, profiles), profiles).select("repo_name", "category", "payload")
+
+
+@query("""
+select 'repo' kind, source as name, count(*) chunks from documents where source is not null group by source
+union all select 'language', lang, count(*) from documents where lang is not null group by lang""")
+def table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories and languages of the documents, with how many each has."""
+    return summary.table_names(_t(spark, sf_dir, "documents").select(F.col("source").alias("repo_name"), F.col("lang").alias("language")))
+
+
 # --- JSON, whole index runs, search in what they store ----------------------------------------------------------------
 
 
@@ -639,6 +669,18 @@ def search_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_path", "repo_name", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""
+select '[' || row_number() over (order by d, doc_id) || '] score: ' || printf('%.3f', 1 / (1 + d)) || chr(10) || '/w/' || coalesce(source, 'none') || '/' || doc_id || ':1-1 (' || coalesce(source, '') || ')' || chr(10) || '```' || coalesce(lang, '') || chr(10) || text || chr(10) || '```' shown
+from (select doc_id, source, lang, text, {_DISTANCE} d from documents join embeddings e on e.vec_id = doc_id, (select embedding from embeddings where vec_id = 3) q) order by d, doc_id limit 12""")
+def search_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as callers see them, whole."""
+    store = Store(spark, new_path(spark, "hits"))
+    store.write_chunks(_vector_chunks(spark, sf_dir, F.format_string("%012d", "doc_id")))
+    q = [float(x) for x in _t(spark, sf_dir, "embeddings").where("vec_id = 3").first()["embedding"]]
+    found = search.search(store.chunks(), q, limit=12)
+    return found.select(search.rendered(found).alias("shown"))
+
+
 @query("""
 with d as (select source, doc_id from documents join embeddings on vec_id = doc_id)
 select 'kept' what, source repo_name, count(*) n, sum(doc_id)::bigint ids from d where source is distinct from 'src1' group by source

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lodestack.functions import text as X
 from lodestack.schemas import CATEGORIES, CHUNKS, LIVE, MANIFEST, PAYLOADS, STORED, SUMMARIES, VECTORS
+from lodestack.sources.files import FilesSource
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -22,25 +23,9 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Like ``read_files``, with dot files too: Hadoop lists the folder, and tasks read the files by name, in Spark's own
-    binary reader's stead. For folders that all executors have mounted."""
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, walk = [], fs.listFiles(base, True)
-    while walk.hasNext():
-        s = walk.next()
-        found.append((s.getPath().toUri().getPath(), s.getLen(), s.getModificationTime() / 1000.0))
-    listing = spark.createDataFrame(found, "abs_path string, size bigint, mtime double")
-
-    def load(frames):
-        for frame in frames:
-            texts = []
-            for p in frame.abs_path:
-                with open(p, "rb") as f:
-                    texts.append(f.read().decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))
-            yield frame.assign(content=texts)
-
-    return listing.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism * 4))).mapInPandas(load, "abs_path string, size bigint, mtime double, content string")
+    """Like ``read_files``, with dot files too: tasks list and read the folders, in Spark's own binary reader's stead."""
+    spark.dataSource.register(FilesSource)
+    return spark.read.format("corpus_files").load(root)
 
 
 def decoded(content: Column) -> Column:
@@ -183,6 +168,8 @@ class Store:
 
     def compact(self, table: str, schema: T.StructType) -> int:
         """Merge folders that are mostly dead or too many (see above) into a new part; how many were."""
+        if len(self._names(f"{self.root}/{table}/parts")) < 2:
+            return 0
         merge: list[tuple[str, int]] = []
         by: dict[int, list[tuple[str, int, int, int]]] = {}
         for f in self.folders(table):
@@ -210,7 +197,7 @@ class Store:
         older versions fail; so keep as many as there may be runs while one is read."""
         found = self.versions(table)
         old, rest = found[: max(0, len(found) - keep)], found[max(0, len(found) - keep) :]
-        if parts := self._names(f"{self.root}/{table}/parts"):
+        if len(parts := self._names(f"{self.root}/{table}/parts")) > 1:
             used = set()
             for v in rest:
                 used |= {(f"part={r['part']}", f"bucket={r['bucket']}") for r in self.spark.read.schema(LIVE).parquet(f"{self.root}/{table}/{v}").select("part", "bucket").distinct().collect()}

@@ -154,6 +154,22 @@ def test_reading_files(spark, tmp_path):
     assert listed == {f"{tmp_path}/a/x.txt": "one\ntwo\nthree", f"{tmp_path}/a/.env.example": "A=1\n"}
 
 
+def test_file_source(spark, tmp_path):
+    """All files, in folders of any depth and by any name, with what Spark's reader gives of those that it sees."""
+    from lodestack.sources.files import FilesReader
+
+    names = ["top.md", ".hidden", "a/_x/y.go", "a/.git/HEAD", "a/b/c/d/e.txt", "a/b/empty", "b/..odd/z"]
+    for i, n in enumerate(names):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"" if "empty" in n else f"{n}\r\n".encode() * (i + 1) + b"\xff")
+    got = {r.abs_path: (r.size, r.mtime, r.content) for r in tables.list_files(spark, f"file://{tmp_path}").collect()}
+    assert set(got) == {f"{tmp_path}/{n}" for n in names} and got[f"{tmp_path}/top.md"][2] == "top.md\n"
+    for r in tables.read_files(spark, str(tmp_path)).collect():
+        assert got[r.abs_path] == (r.size, r.mtime, r.content)
+    folders = FilesReader({"path": str(tmp_path)}).partitions()
+    assert {(f.path.removeprefix(str(tmp_path)), f.recursive) for f in folders} == {("", False), ("/a", False), ("/b", False), ("/a/_x", True), ("/a/.git", True), ("/a/b", True), ("/b/..odd", True)}
+
+
 def test_store_survives_odd_tables(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.write("manifest", spark.createDataFrame([("/a", "r", 1.0, 2)], MANIFEST))
@@ -173,6 +189,31 @@ def test_stream(spark, tmp_path):
     assert store.chunks().where("repo_name = 'lar'").count() == n and store.chunks().count() > n
 
 
+def contents(store):
+    """What a store has, for comparing stores."""
+    rows = lambda df, *names: sorted((tuple(r) for r in df.select(*names).collect()), key=str)
+    return {
+        "chunks": rows(store.chunks(), "id", "text", "file_mtime", "vector"), "manifest": rows(store.manifest(), "abs_path", "mtime", "chunk_count"),
+        "summaries": rows(store.summaries(), "name", "stack", "endpoints_count", "chunk_count"), **{c: rows(store.structured(c), *s.names) for c, s in index.CATEGORIES.items()},
+    }
+
+
+def test_stream_equals_runs_over_whole_listings(spark, tmp_path):
+    """New versions, removals, late and repeated events: the stream has what runs over the listings of these times have."""
+    event = lambda repo, path, mtime, content: (repo, f"/w/{repo}", path, f"/w/{repo}/{path}", len(content or ""), mtime, content, content is None)
+    a1, a2, a3 = ("a", "x.json", 1.0, "one\n"), ("a", "x.json", 2.0, "two\nlines\n"), ("a", "x.json", 3.0, None)
+    env1, env2 = ("a", ".env.example", 1.0, "A=1\n"), ("a", ".env.example", 2.0, "A=2\nB=3\n")
+    go, b1 = ("a", "go.mod", 1.0, "m\n"), ("b", "y.md", 1.0, "# T\nt\n")
+    batches = [[a1, env1, go, b1, a2, a1], [a3, a1, env2, env1, b1], [a2, ("b", "y.md", 1.0, None)]]
+    listings = [[a2, env1, go, b1], [env2, go, b1], [env2, go]]
+    source, streamed, batch = f"{tmp_path}/in", Store(spark, f"{tmp_path}/s"), Store(spark, f"{tmp_path}/b")
+    for events, whole in zip(batches, listings, strict=True):
+        spark.createDataFrame([event(*e) for e in events], follow.EVENTS).write.mode("append").parquet(source)
+        follow.follow(spark, source, streamed, f"{tmp_path}/cp").awaitTermination()
+        index.index(spark.createDataFrame([event(*e)[:-1] for e in whole], FILES), batch)
+        assert contents(streamed) == contents(batch)
+
+
 def listing(spark, *named):
     return spark.createDataFrame([(r, f"/w/{r}", p, f"/w/{r}/{p}", len(c), 1.0, c) for r, p, c in named], FILES)
 
