@@ -202,6 +202,11 @@ FINDERS: dict[str, Callable[[str, int], Spans]] = {"php": php_spans, "go": go_sp
 def helper_spans(text: Column, language: Column, most: int, overlap: int, fallback: int = 64) -> Column:
     """SPANS of text that Spark's own functions can't cut: blocks of the languages of ``FINDERS``; line windows that
     share ``overlap`` for ``text``, and ``fallback`` for other languages and where no block is found. Null text: null."""
+    return spans_udf(most, overlap, fallback)(text, language)
+
+
+def spans_udf(most: int, overlap: int, fallback: int = 64):
+    """What ``helper_spans`` calls."""
 
     def rows(t: str, lang: str) -> list[dict]:
         found = block_rows(t, most, FINDERS[lang]) if lang in FINDERS else []
@@ -212,26 +217,36 @@ def helper_spans(text: Column, language: Column, most: int, overlap: int, fallba
         for texts, langs in parts:
             yield pd.Series([None if t is None else rows(t, k) for t, k in zip(texts, langs, strict=True)], dtype=object)
 
-    return run(text, language)
+    return run
 
 
 def windows(text: Column, most: int, overlap: int) -> Column:
     """PIECES of a text by line windows; null text has none."""
+    return windows_udf(most, overlap)(text)
+
+
+def windows_udf(most: int, overlap: int):
+    """What ``windows`` calls."""
 
     @F.pandas_udf(PIECES)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield pd.Series([[dict(zip(("start_line", "end_line", "text"), x, strict=True)) for x in line_windows(t or "", most, overlap)] for t in s], dtype=object)
 
-    return run(text)
+    return run
 
 
 def token_pieces(text: Column, most: int) -> Column:
     """array<string>: a text cut to at most ``most`` tokens a piece; null text: null."""
+    return pieces_udf(most)(text)
+
+
+def pieces_udf(most: int):
+    """What ``token_pieces`` calls."""
 
     @F.pandas_udf("array<string>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield pd.Series([None if t is None else split_pieces(t, most) for t in s], dtype=object)
 
-    return run(text)
+    return run

@@ -8,6 +8,7 @@ of ``part``, ``supplier``, ``customer``, ``nation`` and ``orders`` by Spark, and
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import packing
 from lodestack.functions import text as X
 from lodestack.operators import chunk, detect, embed, extract, files, incremental, pivots, search, summary
-from lodestack.plans import index
+from lodestack.plans import index, sql
 from lodestack.schemas import FILES
 from lodestack.sources.shared import new_path
 from lodestack.sources.tables import Store
@@ -25,13 +26,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(text: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        if text:
+            ORACLE_SQL[f.__name__] = text
         return f
 
     return add
@@ -385,6 +386,30 @@ def yaml_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _symbols(chunk.chunk_files(_parts(spark, sf_dir, "/a.yml", "# front\nsize_{size}: 1\n  deep: 2\nservices: []\nk.{name} : x\n  - y\n")))
 
 
+# --- SQL ---------------------------------------------------------------------------------------------------------------
+
+_FILES_IN_SQL = {
+    "/a.md": "front\n# Part {name}\ntext\n## Size {size}\nmore\n\n# Key\n{key}", "/a.ts": "import x\nexport default async function f{key}(a) {\n  return {size}\n}\nexport const SIZE_{size} = 1\nexport class C_{name} {\n}\n",
+    "/a.vue": "<template>\n  {key}\n</template>\n<script>\n" + "  const n = 'some text of thirty-odd'\n" * 9 + "</script>\n", "/a.yml": "# front\nsize_{size}: 1\n  deep: 2\nservices: []\nk.{name} : x\n  - y\n",
+    "/a.go": "package main\n\ntype T{key} struct {\n  x int\n}\n\nfunc F_{name}() {\n  if x { y() }\n}\nfunc (s *Server) Get{size}() {}\n",
+}
+
+
+@query(" union all ".join(f"select * from ({ORACLE_SQL[k]})" for k in ("markdown_chunks", "typescript_chunks", "vue_cuts", "yaml_chunks", "go_chunks")))
+def chunks_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the parts' files in five languages, by a lateral join in plain SQL."""
+    sql.register(spark, 80)
+    listing = reduce(DataFrame.unionByName, (_parts(spark, sf_dir, path, template) for path, template in _FILES_IN_SQL.items()))
+    return _long(spark.sql("select c.id, c.chunk_type, c.symbol_name, c.start_line, c.end_line from {listing} f, lateral file_chunks(f.repo_name, f.path, f.content) c", listing=listing))
+
+
+@query(ORACLE_SQL["line_windows"])
+def windows_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line windows of every document, by a lateral join in plain SQL."""
+    sql.register(spark)
+    return _long(spark.sql("select d.doc_id, w.start_line, w.end_line from {documents} d, lateral text_windows(d.text) w", documents=_t(spark, sf_dir, "documents")))
+
+
 # --- extraction: text from rows, parsed back -------------------------------------------------------------------------
 
 

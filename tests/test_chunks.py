@@ -181,3 +181,21 @@ def test_marks_in_text(spark):
     t = "export const A = ''\nexport const B = 1\n"
     files = spark.createDataFrame([("r", "/r", "a.ts", "/r/a.ts", len(t), 0.0, t)], FILES)
     assert [r.text for r in chunk.chunk_files(files).orderBy("start_line").collect()] == [t[: t.index("export const B")], t[t.index("export const B") :]]
+
+
+def test_table_functions_of_sql_equal_the_chunkers(spark):
+    from lodestack.plans import sql
+
+    long = "word " * 900
+    named = {
+        "a.md": f"# A\n{long}\n## B\nb\n", "b.ts": "export const A = 1\nexport class B {\n}\n", "c/docker-compose.yml": "services:\n  web:\n    image: x\n", "d.yaml": "k: 1\n", "e.vue": "<script>\n" + "let x = 1\n" * 60 + "</script>\n<style>a{}</style>\n",
+        "User.PHP": INVOICE, "f.go": "package p\nfunc F() {\n}\n", "g.txt": "".join(f"line {i}\n" for i in range(200)), "h.json": long, "i.md": "no header\n", "j.txt": "", "k.txt": None,
+    }
+    rows = files(spark, **named)
+    sql.register(spark, 60, 20)
+    got = spark.sql("select c.* from {rows} f, lateral file_chunks(f.repo_name, f.path, f.content) c", rows=rows)
+    want = chunk.chunk_files(rows, 60, 20).select(*got.columns)
+    plain = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert plain(got) == plain(want) and got.count() > 30
+    blocks = spark.sql("select b.symbol_name from {rows} f, lateral markdown_blocks(f.content) b where f.path = 'a.md'", rows=rows)
+    assert sorted(r.symbol_name for r in blocks.collect()) == ["A", "B"] and "Python" not in blocks._jdf.queryExecution().executedPlan().toString()
