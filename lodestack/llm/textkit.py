@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 #: Text bytes that a kernel takes at a time (at least one document): bounds a task's memory.
@@ -139,6 +138,8 @@ def parts(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def span_ids(text: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each span's text, a span that has each number): spans get one number if their bytes are equal. Numbers
     are as texts come first."""
+    import pandas as pd  # some 50 MB, which workers that only hash don't need
+
     of, _ = pd.factorize(hashes)
     first = np.flatnonzero(np.diff(np.maximum.accumulate(of), prepend=-1)) if len(of) else of
     if not same_spans(text, starts, ends, first[of]).all():  # a collision: by the bytes alone
