@@ -767,6 +767,6 @@ def embedded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all document files, embedded by hashed words and stored, and the ten nearest to the first document's
     text."""
     store = Store(spark, new_path(spark, "search"))
-    store.write_chunks(embed.embed_chunks(chunk.chunk_files(_files(spark, sf_dir), 512, 64), embed.hashed_words(64), 64))
+    store.write_chunks(embed.embed_chunks(chunk.chunk_files(_files(spark, sf_dir), 512, 64), embed.hashed_words(64), 64, partitions=2 * spark.sparkContext.defaultParallelism))
     text = _t(spark, sf_dir, "documents").where("text is not null").orderBy("doc_id").first()["text"]
     return search.search(store.chunks(), embed.hashed_words(64)([text])[0], limit=10)

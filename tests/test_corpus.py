@@ -139,6 +139,69 @@ def test_nearest(spark):
     assert search.nearest_each(rows, q.limit(0), 2).isEmpty() and search.nearest_each(rows.limit(0), q, 2).isEmpty()
 
 
+def test_nearest_in_blocks_equals_broadcast(spark):
+    """More queries than are broadcast, ids and queries that repeat, ties, and blocks merged in two steps."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(f"c{i % 290}", [float(x) for x in rng.integers(0, 4, 3)]) for i in range(300)] + [("none", None)], "id string, vector array<float>")
+    q = spark.createDataFrame([(i % 70, [float(x) for x in rng.integers(0, 4, 3)]) for i in range(75)] + [(99, None)], "query_id int, vector array<float>")
+    plain = lambda df: sorted((r.query_id, r["rank"], r.distance, r.id) for r in df.collect())
+    want = plain(search.nearest_each(rows, q, 4))
+    assert len(want) == 300
+    for query_block, row_block in ((10, 100), (74, 1000), (20, 3)):
+        assert plain(search.nearest_each(rows, q, 4, query_block, row_block)) == want
+    assert search.nearest_each(rows.limit(0), q, 4, 10, 10).isEmpty()
+
+
+def test_pivots_leave_most_rows_unread_and_lose_none(spark, tmp_path):
+    import numpy as np
+
+    from lodestack.operators import pivots
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((30, 16)) * 5
+    vectors = [(centres[i % 30] + rng.standard_normal(16) * 0.3).tolist() for i in range(3000)]
+    rows = spark.createDataFrame([(f"c{i}", v, f"r{i % 4}", "go" if i % 10 else None) for i, v in enumerate(vectors)] + [("none", None, "r1", "go")], "id string, vector array<double>, repo_name string, language string")
+    pivots.build(rows, f"{tmp_path}/i", 30)
+    plain = lambda df: [(r.id, round(r.distance, 9), round(r.score, 9)) for r in df.orderBy("distance", "id").collect()]
+    for k in (0, 17, 1234):
+        q = [x + 0.01 for x in vectors[k]]
+        for how in ({}, {"repos": ["r1", "r2"]}, {"languages": ["go"]}):
+            assert plain(pivots.nearest(spark, f"{tmp_path}/i", q, 10, **how)) == plain(search.nearest(search.filtered(rows, **how), q, 10))
+        left, rest = pivots.rows_left(spark, f"{tmp_path}/i", q, 10)
+        assert rest == 3000 and left < 600
+    assert len(plain(pivots.nearest(spark, f"{tmp_path}/i", q, 10, languages=["none"]))) == 0
+    assert len(plain(pivots.nearest(spark, f"{tmp_path}/i", q, 5000))) == 3000  # no bound: all rows
+    pivots.build(rows.limit(0), f"{tmp_path}/none")
+    assert pivots.nearest(spark, f"{tmp_path}/none", q, 3).isEmpty()
+
+
+def test_texts_are_embedded_once_over_all_runs(spark, tmp_path):
+    store, seen = Store(spark, str(tmp_path)), spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        seen.add(len(texts))
+        return [[float(len(t))] for t in texts]
+
+    named = index.Settings(dim=1, embed=counted, model="counted")
+    first = [("a", "x.json", "one\n"), ("b", "y.json", "one\n"), ("b", "z.json", "two two\n")]
+    index.index(listing(spark, *first), store, named)
+    assert seen.value == 2
+    more = [*first, ("c", "v.json", "two two\n"), ("c", "w.json", "three\n")]
+    index.index(listing(spark, *more), store, named, full=True)
+    assert seen.value == 3
+    vectors = lambda: sorted((r.repo_name, r.text, r.vector[0]) for r in store.chunks().collect())
+    want = sorted((r, t, float(len(t))) for r, _, t in more)
+    assert vectors() == want
+    store.merge_vectors("counted", most=0)
+    assert sorted(r.vector[0] for r in store.vectors("counted").collect()) == [4.0, 6.0, 8.0]
+    store.merge_vectors("counted", store.chunks().where("repo_name = 'a'").select(embed.digest(F.col("text")).alias("digest")))
+    assert [r.vector[0] for r in store.vectors("counted").collect()] == [4.0]
+    index.index(listing(spark, *more), store, index.Settings(dim=1, embed=counted), full=True)  # a model without a name
+    assert seen.value == 6 and vectors() == want
+
+
 def test_rendered(spark):
     row = spark.createDataFrame([(1, 0.5, "/w/a.go", 3, 9, "r", "go", "main.F", "code")], "rank int, score double, file_path string, start_line int, end_line int, repo_name string, language string, symbol_name string, chunk_text string")
     assert row.select(search.rendered(row)).first()[0] == "[1] score: 0.500\n/w/a.go:3-9 (r)\nsymbol: main.F\n```go\ncode\n```"
