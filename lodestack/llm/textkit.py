@@ -6,6 +6,7 @@ bytes give the same words as code points. Hashes have 64 bits and depend on the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +35,20 @@ ALNUM_ANY_CASE = ALNUM | ((_all >= 65) & (_all <= 90))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each slice holds about ``most`` bytes of ``column``, or one row."""
+    """Cut batches so that each slice holds about ``most`` bytes of ``column``, or one row. Before the first and after the
+    last, what the worker has freed goes back to the system: workers stay from stage to stage."""
+    give_back()
+    yield from _cut(batches, column, most)
+    give_back()
+
+
+def give_back() -> None:
+    """Have the C library, if it is one that can, return freed memory to the system."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def _cut(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         if not n:
