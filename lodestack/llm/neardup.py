@@ -10,7 +10,8 @@ similarity. Texts that agree in a sketch share a bucket.
   digest and by length. They are found by pre-aggregated minima, so a hot bucket is never in one task.
 * A candidate is a link if the banded alignment of the two shingle sequences has similarity ``SIMILARITY`` or more:
   matched / (n + m - matched), matched being the longest chain of equal labelled shingles in both orders whose diagonal
-  stays in the band that this similarity allows. First each text is aligned with the partner it shares most sketches
+  stays in the band that this similarity allows. Pairs whose parity bits (``parity``) show too few common shingles for
+  that are no links and are not aligned. First each text is aligned with the partner it shares most sketches
   with; of the remaining candidates those between different classes follow.
 * Members of one bucket that are still in different classes may resemble each other and no centre (texts that share a
   long passage). They are put in order of their sketches, from each sketch on in turn, and aligned with the next texts of
@@ -94,6 +95,38 @@ def sketch(hashes: np.ndarray, first: np.ndarray, sketches: int = SKETCHES, leng
     return out
 
 
+def parity(hashes: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Parity bits of each set of hashes, as 64-bit words: bit i is odd if an odd number of hashes has i for its low bits.
+
+    A set has a power of two of bits, at least two a hash. Folded to one length (``_common``), bits that differ are at most
+    the hashes that one of two sets has alone, as common ones cancel out.
+    """
+    count = np.diff(first)
+    words = 2 ** np.ceil(np.log2(np.maximum(1, -(-count // 32)))).astype(np.int64)
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(words, out=at[1:])
+    out = np.zeros(at[-1], np.uint64)
+    low = hashes.view(np.uint64) & np.repeat(words * 64 - 1, count).astype(np.uint64)
+    np.bitwise_xor.at(out, np.repeat(at[:-1], count) + (low >> np.uint64(6)).astype(np.int64), np.uint64(1) << (low & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out.view(np.int64)))
+
+
+def _common(n: str, m: str, x: str, y: str, least: float) -> Column:
+    """Most hashes that sets of ``n`` and ``m`` with parity bits ``x`` and ``y`` can have in common. Null or any number if
+    one set has less than ``least`` times the other's."""
+    xor = lambda p, q: p.bitwiseXOR(q)
+    words = F.least(F.size(x), F.size(y))
+
+    def folded(z: Column) -> Column:
+        for _ in range(math.ceil(math.log2(1 / least))):
+            half = F.shiftright(F.size(z), 1)
+            z = F.when(F.size(z) > words, F.zip_with(F.slice(z, F.lit(1), half), F.slice(z, half + 1, half), xor)).otherwise(z)
+        return z
+
+    apart = F.aggregate(F.zip_with(folded(F.col(x)), folded(F.col(y)), lambda p, q: F.bit_count(xor(p, q))), F.lit(0), lambda total, d: total + d)
+    return (F.col(n) + F.col(m) - apart) / 2
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Similarity of two labelled shingle sequences; 0 if it is below ``least``."""
     n, m = len(a), len(b)
@@ -128,7 +161,8 @@ def _digest() -> Column:
 
 
 def _sketched(docs: DataFrame, sketches: int, length: int) -> DataFrame:
-    """(doc_id, node, size, values) of every row: digest, number of shingles and sketch of its text; all null for null."""
+    """(doc_id, node, size, values, bits) of every row: digest, number of shingles, sketch and parity bits of its text; all
+    null for null."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +170,9 @@ def _sketched(docs: DataFrame, sketches: int, length: int) -> DataFrame:
             h, first = labelled_shingles(part.column("text"))
             values = sketch(h, first, sketches, length)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * sketches), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(np.diff(first).astype(np.int32)), lists], ["doc_id", "node", "size", "values"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(np.diff(first).astype(np.int32)), lists, parity(h, first)], ["doc_id", "node", "size", "values", "bits"])
 
-    return docs.select("doc_id", _digest().alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node binary, size int, values array<bigint>")
+    return docs.select("doc_id", _digest().alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node binary, size int, values array<bigint>, bits array<bigint>")
 
 
 def _candidates(rows: DataFrame, least: float) -> DataFrame:
@@ -171,7 +205,11 @@ def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _aligned_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """(a, b) of those pairs whose texts align with ``least`` similarity or more, written out."""
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").toDF("n", "d"), "neardup-wanted")
+    end = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"d{x}"), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    may = _common("na", "nb", "bits_a", "bits_b", least) >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = settle(pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").where(may).select("a", "da", "b", "db"), "neardup-likely")
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("n"), F.col(f"d{x}").alias("d")) for x in "ab"]))
+    wanted = settle(pairs.select(ends.alias("end")).select("end.n", "end.d").distinct(), "neardup-wanted")
     held = _shingled(docs, wanted)
     both = pairs.select("a", "b").join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
 
@@ -184,6 +222,7 @@ def _aligned_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least: f
     links = settle(both.mapInArrow(verify, "a binary, b binary").distinct(), "neardup-links")
     discard(held)
     discard(wanted)
+    discard(pairs)
     return links
 
 
@@ -231,9 +270,9 @@ def _missed(nodes: DataFrame, docs: DataFrame, least: float, common: int | None
     Similar texts have ``least`` of each one's shingles in common. So of a text's shingles that texts of other classes
     have too, rarest first, one of the first k - ``least`` * size + 1 of k is in the first ones of both; a text with less
     than ``least`` of such shingles has no partner. Texts with a common shingle of at most ``common`` (``COMMON``) texts
-    are paired. Similar texts without one share common shingles only: then those with the same sequence of common
-    shingles and the smallest size is as near to either, and each text is paired with it alone, for its own sequence and
-    for every one that ``_meeting`` finds for it.
+    are paired, if the parity bits of all these shingles allow for enough common ones. Similar texts without one share
+    common shingles only: then those with the same sequence of common shingles and the smallest size is as near to either,
+    and each text is paired with it alone, for its own sequence and for every one that ``_meeting`` finds for it.
     """
     common = COMMON if common is None else common
     held = _shingled(docs, nodes.select(F.col("node").alias("n"), F.col("doc_id").alias("d")))
@@ -250,7 +289,8 @@ def _missed(nodes: DataFrame, docs: DataFrame, least: float, common: int | None
     shared = held.select("node", "s").mapInArrow(single, "node binary, s bigint").join(seen, "s").groupBy("node").agg(F.collect_list("s").alias("xs"), F.collect_list("n").alias("ns"))
     need = F.ceil(F.col("size") * least - 1e-9).cast("int")
     texts = shared.join(nodes.select("node", "size", "c", need.alias("need")), "node").where(F.size("xs") >= F.col("need")).join(held, "node")
-    names = ["node", "size", "c", "k", "h", "g", "first", "hot"]
+    names = ["node", "size", "c", "k", "h", "g", "first", "hot", "bits", "hot_bits"]
+    bits = lambda sets: parity(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
 
     def ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "s"):
@@ -260,53 +300,55 @@ def _missed(nodes: DataFrame, docs: DataFrame, least: float, common: int | None
                 x, n = x[order := np.lexsort((x, n))], n[order]
                 head, hot = x[: len(x) - need + 1], x[n > common]
                 in_text = np.frombuffer(s.as_buffer(), np.int64)
-                rows.append((len(x), len(hot), md5(in_text[np.isin(in_text, hot)].tobytes()).digest(), head[n[: len(head)] <= common], hot[: max(0, len(hot) - need + 1)]))
-            k, h, g, first, hot = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), pa.array(k, pa.int32()), pa.array(h, pa.int32()), pa.array(g, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], names)
+                rows.append((len(x), len(hot), md5(in_text[np.isin(in_text, hot)].tobytes()).digest(), head[n[: len(head)] <= common], hot[: max(0, len(hot) - need + 1)], x, hot))
+            k, h, g, first, hot, x, all_hot = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), pa.array(k, pa.int32()), pa.array(h, pa.int32()), pa.array(g, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64())), bits(x), bits(all_hot)], names)
 
-    texts = settle(texts.mapInArrow(ranked, "node binary, size int, c bigint, k int, h int, g binary, first array<bigint>, hot array<bigint>"), "neardup-texts")
+    texts = settle(texts.mapInArrow(ranked, "node binary, size int, c bigint, k int, h int, g binary, first array<bigint>, hot array<bigint>, bits array<bigint>, hot_bits array<bigint>"), "neardup-texts")
     discard(held)
     discard(seen)
-    rare = texts.select("node", "size", "c", "k", F.explode("first").alias("s"))
-    enough = F.least("k", "k_b") >= least / (1 + least) * (F.col("size") + F.col("size_b")) - 1e-9
-    near = rare.alias("x").hint("merge").join(rare.toDF("node_b", "size_b", "c_b", "k_b", "s").alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("c") != F.col("c_b")) & (F.col("node") < F.col("node_b")) & enough)
-    hot = texts.where(F.size("hot") > 0).select("node", "size", "c", "h", "g", "hot")
-    groups = hot.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("size", "node", "c", "h", "hot")).alias("r"))
+    rare = texts.select("node", "size", "c", "k", "bits", F.explode("first").alias("s"))
+    t = least / (1 + least) * (F.col("size") + F.col("size_b")) - 1e-9
+    enough = (F.least("k", "k_b") >= t) & (_common("k", "k_b", "bits", "bits_b", least) >= t)
+    near = rare.alias("x").hint("merge").join(rare.toDF("node_b", "size_b", "c_b", "k_b", "bits_b", "s").alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("c") != F.col("c_b")) & (F.col("node") < F.col("node_b")) & enough)
+    hot = texts.where(F.size("hot") > 0).select("node", "size", "c", "h", "g", "hot", "hot_bits")
+    groups = hot.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("size", "node", "c", "h", "hot", F.col("hot_bits").alias("bits"))).alias("r"))
     groups = settle(groups.select("g", "lo", "hi", "r.*"), "neardup-groups")
-    ends = groups.select(F.col("g").alias("g_b"), F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"), F.col("h").alias("h_b"))
+    ends = groups.select(F.col("g").alias("g_b"), F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"))
     ends = _meeting(groups, least).join(ends, "g_b")
-    close = F.least("h", "h_b") >= least / (1 + least) * (F.col("size") + F.col("size_b")) - 1e-9
-    same = hot.alias("x").join(ends.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("c") != F.col("c_b")) & close)
+    same = hot.drop("hot_bits").alias("x").join(ends.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("c") != F.col("c_b")) & (F.col("common") >= t))
     return near.select("node", "node_b").union(same.select("node", "node_b")).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 
 def _meeting(groups: DataFrame, least: float) -> DataFrame:
-    """(g, g_b) of groups of different classes whose smallest texts may be similar by common shingles, either way round,
-    and of each group of several classes with itself.
+    """(g, g_b, common) of groups of different classes whose smallest texts may be similar by common shingles, either way
+    round, and of each group of several classes with itself. common: the most that they can have in common.
 
     Such a pair, b the smaller one, has t = part * (size + size_b) shingles in common, part being ``least`` /
     (1 + ``least``). So one of b's first h_b - t + 1 is among a's first h - t + 1: a looks for it by shingle and by steps
-    of size that its own h allows; what it finds must be at such a place, and be the first that both have.
+    of size that its own h allows; what it finds must be at such a place, be the first that both have, and have enough in
+    common by parity bits. So a group of texts that are nearly, but not, similar makes no rows for its pairs.
     """
     part, step = least / (1 + least), math.log(1.03)
     up = lambda x: F.ceil(x - 1e-9).cast("int")
     level = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double")) / step).cast("int")
     head = lambda t: F.slice("hot", F.lit(1), F.greatest(F.col("h") - t + 1, F.lit(0)))
-    mine = ["g", "lo", "hi", "size", "h"]
+    mine = ["g", "lo", "hi", "size", "h", "bits"]
     each = lambda rows, t: rows.withColumn("hot", head(up(t))).select(*mine, "level", "hot", F.posexplode("hot").alias("i", "s")).withColumn("hot", F.slice("hot", F.lit(1), F.col("i")))
     small = each(groups.withColumn("level", level(F.col("size"))), 2 * part * F.col("size"))
     low, high = up(F.col("size") * least), F.least("size", F.floor(F.col("h") / part + 1e-9).cast("int") - F.col("size"))
     large = groups.where(low <= high).select(*mine, "hot", F.explode(F.sequence(level(low), level(high))).alias("level"))
     large = each(large, part * (F.col("size") + F.floor(F.exp(F.col("level") * step))))
-    other = small.toDF("g_b", "lo_b", "hi_b", "size_b", "h_b", "level_b", "hot_b", "i_b", "s_b")
+    other = small.toDF("g_b", "lo_b", "hi_b", "size_b", "h_b", "bits_b", "level_b", "hot_b", "i_b", "s_b")
     mixed = ~((F.col("lo") == F.col("hi")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo") == F.col("lo_b")))
     t = part * (F.col("size") + F.col("size_b")) - 1e-9
-    close = (F.col("h") - F.col("i") >= t) & (F.col("h_b") - F.col("i_b") >= t) & ~F.arrays_overlap("hot", "hot_b")
+    common = _common("h", "h_b", "bits", "bits_b", least)
+    close = (F.col("h") - F.col("i") >= t) & (F.col("h_b") - F.col("i_b") >= t) & (common >= t) & ~F.arrays_overlap("hot", "hot_b")
     # Sizes are estimated from the groups' file, so Spark would broadcast what the explodes made of it.
-    meet = large.hint("merge").join(other, (F.col("s") == F.col("s_b")) & (F.col("level") == F.col("level_b")) & mixed & close & (F.col("g") != F.col("g_b"))).select("g", "g_b").distinct()
+    meet = large.hint("merge").join(other, (F.col("s") == F.col("s_b")) & (F.col("level") == F.col("level_b")) & mixed & close & (F.col("g") != F.col("g_b"))).select("g", "g_b", common.alias("common")).distinct()
     meet = settle(meet, "neardup-meet")
-    own = groups.where("lo < hi").select("g", F.col("g").alias("g_b"))
-    return meet.union(meet.select("g_b", "g")).union(own).distinct()
+    own = groups.where("lo < hi").select("g", F.col("g").alias("g_b"), F.col("h").cast("double").alias("common"))
+    return meet.union(meet.select("g_b", "g", "common")).union(own).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -349,9 +391,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES
     docs = docs.select("doc_id", "text")
     every = settle(_sketched(docs, sketches, length), "neardup-sketches")
     ids = every.select("doc_id", "node")
-    distinct = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("values").alias("values"))
+    distinct = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("size", "values", "bits")])
     distinct = settle(distinct, "neardup-nodes")
-    nodes = distinct.select("node", "doc_id")
+    nodes = distinct.select("node", "doc_id", "size", "bits")
     rows = distinct.where("size > 0").select("node", "size", F.posexplode("values").alias("i", "value"))
     pairs = settle(_candidates(rows, least), "neardup-pairs")
     # First round: for each text, the partner with the most shared sketches.
@@ -370,6 +412,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES
     if not left.isEmpty():
         found = settle(_missed(left, docs, least).join(pairs.select("a", "b").union(rest), ["a", "b"], "left_anti"), "neardup-missed")
         label = merged(label, _aligned_pairs(found, docs, nodes, least))
+    nodes = nodes.select("node", "doc_id")
     low = label.join(nodes, "node").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     linked = label.join(low, "label").select("node", "class_id")  # most texts are in no link
     named = nodes.join(linked, "node", "left").select(F.col("node").alias("n"), F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -291,6 +291,51 @@ def test_missed_pairs_of_common_shingles(spark):
     assert all(j in found[i] for i, j in links)
 
 
+def test_common_shingles_by_parity_bits(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for least in (0.8, 0.3):
+        for _ in range(60):
+            x = rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64)
+            keep = rng.integers(math.ceil(least * len(x)), len(x) + 1)
+            y = np.concatenate([x[:keep], rng.integers(0, 2**63, rng.integers(0, max(1, int(len(x) / least) - keep))).astype(np.uint64)])
+            bits = neardup.parity(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).to_pylist()
+            rows.append((least, int(keep), len(x), len(y), *bits))
+    d = spark.createDataFrame(rows, "least double, keep int, n int, m int, x array<bigint>, y array<bigint>")
+    for least in (0.8, 0.3):
+        got = d.where(f"least = {least}D").select("keep", "n", "m", neardup._common("n", "m", "x", "y", least).alias("most")).collect()
+        assert all(r.keep <= r.most <= (r.n + r.m) / 2 for r in got)
+        assert all(r.most == r.keep for r in got if r.n == r.m == r.keep)
+    assert neardup.parity(np.zeros(0, np.uint64), np.zeros(1, np.int64)).to_pylist() == []
+
+
+def test_template_group_makes_few_pairs(spark):
+    """Texts of one template that nearly resemble one another; some have a near copy."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, texts, want = words(300), [], []
+    for i in range(160):
+        t = list(template)
+        for k in rng.sample(range(300), 7):
+            t[k] = words(1)[0]
+        texts.append(t)
+        want.append(len(texts) - 1)
+        if i % 20 == 0:
+            texts.append(t[:-2] + words(2))
+            want.append(want[-1])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    h, first = neardup.labelled_shingles(pa.array([t for _, t in rows]))
+    sets = [h[a:b] for a, b in zip(first[:-1], first[1:])]
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if neardup.aligned(sets[i], sets[j]) > 0}
+    assert links == {(x, i) for i, x in enumerate(want) if x != i}
+    at = {bytes(r.node): r.doc_id for r in d.select("doc_id", neardup._digest().alias("node")).collect()}
+    n = spark.createDataFrame([(x, i, len(sets[i]), i) for x, i in at.items()], "node binary, doc_id bigint, size int, c bigint")
+    got = {tuple(sorted((at[bytes(r.a)], at[bytes(r.b)]))) for r in neardup._missed(n, d, 0.8).collect()}
+    assert links <= got and len(got) < 2 * len(texts)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()} == dict(enumerate(want))
+
+
 def test_near_duplicates_odd_rows(spark):
     d = odd(spark)
     assert neardup.near_duplicates(d).count() == 7 and neardup.near_duplicates(d.limit(0)).count() == 0
