@@ -336,6 +336,26 @@ def test_template_group_makes_few_pairs(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()} == dict(enumerate(want))
 
 
+def test_only_likely_pairs_are_read(spark, monkeypatch):
+    settle, read = neardup.settle, []
+
+    def counted(df, name):
+        out = settle(df, name)
+        if name == "neardup-wanted":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "settle", counted)
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = words(120)
+    texts = [passage + words(80) for _ in range(40)]
+    texts.append(texts[7][:-2] + words(2))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
+    assert got == {i: 7 if i == 40 else i for i in range(41)} and sum(read) <= 4
+
+
 def test_near_duplicates_odd_rows(spark):
     d = odd(spark)
     assert neardup.near_duplicates(d).count() == 7 and neardup.near_duplicates(d.limit(0)).count() == 0
