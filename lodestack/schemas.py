@@ -28,7 +28,8 @@ MANIFEST = _table(abs_path=_s, repo_name=_s, mtime=_d, chunk_count=_l)
 LIVE = _table(repo_name=_s, part=_s, bucket=_i, n=_l, total=_l)
 #: Vectors of texts by their digests.
 VECTORS = _table(digest=T.BinaryType(), vector=T.ArrayType(T.FloatType()))
-PAYLOADS = _table(repo_name=_s, category=_s, payload=_s)
+#: Payloads in a store: ``repo_name`` is the key of repository and category together, ``name`` the repository.
+PAIRED = _table(repo_name=_s, name=_s, category=_s, payload=_s)
 HITS = _table(chunk_text=_s, file_path=_s, repo_name=_s, start_line=_i, end_line=_i, language=_s, chunk_type=_s, symbol_name=_s, score=_d)
 
 #: Blocks of a file that become chunks: characters before it, its lines, text, type and symbol.

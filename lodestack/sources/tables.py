@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.functions import text as X
-from lodestack.schemas import CATEGORIES, CHUNKS, LIVE, MANIFEST, PAYLOADS, STORED, SUMMARIES, VECTORS
+from lodestack.schemas import CATEGORIES, CHUNKS, LIVE, MANIFEST, PAIRED, STORED, SUMMARIES, VECTORS
 from lodestack.sources.files import FilesSource
 
 
@@ -277,17 +277,16 @@ class Store:
         return self.structured(category, self.spark.createDataFrame([(repo_name,)], "repo_name string"))
 
     def save_json(self, payloads: DataFrame) -> None:
-        """JSON lines of (repo_name, category, payload), a folder a pair; only the pairs that ``payloads`` has are
-        replaced."""
-        rows = payloads.select("payload", "repo_name", "category")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_name", "category").text(f"{self.root}/json")
+        """Keep (repo_name, category, payload), payloads being JSON, in parts like typed rows; only the pairs of repository
+        and category that ``payloads`` has are replaced. ``payloads`` is computed once."""
+        pair = F.to_json(F.array("category", "repo_name"))
+        self.replace("json", payloads.select(pair.alias("repo_name"), F.col("repo_name").alias("name"), "category", "payload"))
+        self.compact("json", PAIRED)
+        self.clean("json")
 
     def load_json(self) -> DataFrame:
         """(repo_name, category, payload) of all pairs that were saved."""
-        if not self._names(f"{self.root}/json"):
-            return self.spark.createDataFrame([], PAYLOADS)
-        rows = self.spark.read.schema("value string, repo_name string, category string").text(f"{self.root}/json")
-        return rows.select("repo_name", "category", F.col("value").alias("payload"))
+        return self.parts("json", PAIRED).select(F.col("name").alias("repo_name"), "category", "payload")
 
 
 def chunk_schema_cast(rows: DataFrame) -> DataFrame:

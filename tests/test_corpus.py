@@ -438,6 +438,21 @@ def test_json_is_replaced_by_pair_and_read_back(spark, tmp_path):
     assert got.columns == ["repo_name", "name", "default", "comment"] and sorted(map(tuple, got.collect())) == [("a", "X", "", "c"), ("b", "Y", "1", "")]
 
 
+def test_json_of_many_repositories_makes_few_files(spark, tmp_path):
+    """Files don't grow with repositories, saves replace whole pairs, and null and empty names, line feeds and null payloads come back."""
+    store = Store(spark, str(tmp_path), buckets=4)
+    rows = lambda *x: spark.createDataFrame(list(x), "repo_name string, category string, payload string")
+    store.save_json(rows(*[(f"r{i}", c, "[0]") for i in range(100) for c in ("env", "docker")], (None, "env", "none"), ("", "env", "empty\nname"), ("r1", None, None)))
+    assert len(list(tmp_path.rglob("*.parquet"))) <= 20
+    for k in range(1, 4):
+        store.save_json(rows(*[(f"r{i}", "env", f"[{k}]") for i in range(50)], ("", "env", f"empty {k}")))
+    got = {(r.repo_name, r.category): r.payload for r in store.load_json().collect()}
+    want = {(f"r{i}", c): "[3]" if i < 50 and c == "env" else "[0]" for i in range(100) for c in ("env", "docker")}
+    assert got == want | {(None, "env"): "none", ("", "env"): "empty 3", ("r1", None): None} and store.load_json().count() == len(got)
+    stored = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "json" / "parts")).count()
+    assert stored <= 2 * len(got) + 102  # dead rows go: of the pairs, and of the two versions that are kept
+
+
 def test_queries_are_embedded(spark):
     q = spark.createDataFrame([(1, "a b"), (2, "c")], "query_id int, text string")
     got = {r.query_id: r.vector for r in embed.embed_query(q, embed.hashed_words(8), 8).collect()}
