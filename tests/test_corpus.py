@@ -154,6 +154,49 @@ def test_nearest_in_blocks_equals_broadcast(spark):
     assert search.nearest_each(rows.limit(0), q, 4, 10, 10).isEmpty()
 
 
+def test_best_of_tiles_equals_the_whole_order(monkeypatch):
+    """Ties, null ids, vectors that are no numbers, sums that overflow or vanish, and lengths that hide the distances."""
+    import numpy as np
+    import pyarrow as pa
+
+    for name, n in {"TILE_QUERIES": 3, "TILE_ROWS": 7, "SLICE": 5, "KEPT": 2}.items():
+        monkeypatch.setattr(search, name, n)
+    rng = np.random.default_rng(4)
+    ids = [None if i % 13 == 0 else f"c{i * 7 % 50}" for i in range(60)]
+    for kind, scale, shift in ((np.float32, 1, 0), (np.float32, 1e-25, 0), (np.float32, 1e18, 0), (np.float32, 1e30, 0), (np.float32, 2**-8, 3000), (np.float64, 1, 0), (np.float64, 1e-170, 0), (np.float64, 1e200, 0)):
+        v, q = ((rng.integers(-2, 3, (n, 4)) * scale + shift).astype(kind) for n in (60, 8))
+        v[5, 1], v[9, 0] = np.nan, np.inf
+        for limit in (1, 4, 100):
+            best = search._Best(q, limit)
+            with np.errstate(all="ignore"):
+                for at in range(0, 60, 11):
+                    best.see(v[at : at + 11], pa.array(ids[at : at + 11], pa.string()))
+                asked, distance, found = best.found()
+                want = []
+                for k in range(8):
+                    d = np.cumsum((q[k].astype(float) - v) ** 2, axis=1)[:, -1].tolist()
+                    order = sorted(range(60), key=lambda i: (d[i] != d[i], 0 if d[i] != d[i] else d[i], ids[i] is not None, ids[i] or ""))  # noqa: B023
+                    want += [(k, d[i], ids[i]) for i in order[:limit]]
+            assert str(list(zip(asked.tolist(), distance.tolist(), found.to_pylist(), strict=True))) == str(want), (kind, scale, limit)
+
+
+def test_blocks_move_rows_once(spark):
+    """Rows and queries are shuffled once, however many blocks they make."""
+    rows = spark.range(400).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector"))
+    q = rows.where("id % 2 = 0").select(F.col("id").alias("query_id"), "vector")
+    context = spark.sparkContext
+
+    def moved():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+        return {(s := stages.apply(i)).stageId(): s.shuffleWriteRecords() for i in range(stages.size())}
+
+    before = moved()
+    got = search.nearest_each(rows, q, 2, query_block=4, row_block=50).collect()
+    assert {(r.query_id, r["rank"], r.id) for r in got} == {(k, n, k if n == 1 else (k - 1 if k else 1)) for k in range(0, 400, 2) for n in (1, 2)}
+    assert sum(n for k, n in moved().items() if k not in before) < 400 + 200 + 200 * 8 * 2 + 100  # with the best of eight blocks
+
+
 def test_pivots_leave_most_rows_unread_and_lose_none(spark, tmp_path):
     import numpy as np
 
